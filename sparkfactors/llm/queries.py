@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from . import common as c
 from .line_dedup import dedup_lines
+from .packing import pack
+from .pii import scan_pii
 from .quality import quality_report
 from .sql import ORACLES
+from .token_count import count_documents
 from .url_filter import filter_urls
 
 
@@ -26,6 +29,24 @@ def op5_line_dedup(spark, sf_dir):
     return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_packing(spark, sf_dir):
+    return pack(c.table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op9_token_counts(spark, sf_dir):
+    return count_documents(c.table(spark, sf_dir, "documents"), tokenizer_path(), eod=49407)
+
+
+def op10_pii(spark, sf_dir):
+    return scan_pii(c.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 

@@ -91,8 +91,7 @@ def templates(urls: DataFrame, limits: Limits = Limits()) -> DataFrame:
     joined = merged_siblings(branch, limits)
     total = branch.agg(((F.sum("n_block") + 1e0) / (F.sum("n_label") + 2e0)).alias("p_all"))
     host = branch.groupBy("host").agg(F.sum("n_block").alias("hb"), F.sum("n_label").alias("hn"))
-    # total is one row, by aggregation.
-    host = host.join(F.broadcast(total)).select("host", ((F.col("hb") + limits.weight * F.coalesce("p_all", F.lit(0.5))) / (F.col("hn") + limits.weight)).alias("p_host"))
+    host = host.select("host", ((F.col("hb") + limits.weight * total.scalar()) / (F.col("hn") + limits.weight)).alias("p_host"))
     scored = joined.join(host, "host").withColumn("purity", (F.col("mb") + limits.weight * F.col("p_host")) / (F.col("mn") + limits.weight))
     return per.select("host", "shape", "general").join(scored.select("host", "general", "template", "purity"), ["host", "general"])
 
