@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import common as c
+from .decontaminate import contamination_report
 from .line_dedup import dedup_lines
 from .packing import pack
 from .pii import scan_pii
@@ -29,6 +30,11 @@ def op5_line_dedup(spark, sf_dir):
     return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op6_benchmark_decontamination(spark, sf_dir):
+    out = contamination_report(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "benchmark"))
+    return out.drop("items")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
