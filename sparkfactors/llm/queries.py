@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from . import common as c
 from .decontaminate import contamination_report
 from .line_dedup import dedup_lines
+from .near_dedup import near_components
 from .packing import pack
 from .pii import scan_pii
 from .quality import quality_report
@@ -25,6 +26,10 @@ def op3_quality_rules(spark, sf_dir):
     return quality_report(c.table(spark, sf_dir, "documents")).drop("failed_rule")
 
 
+def op4_minhash_near_dedup(spark, sf_dir):
+    return near_components(c.table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark, sf_dir):
     out = dedup_lines(c.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))

@@ -112,4 +112,19 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
   sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)"""
 
-ORACLES = {"op6_benchmark_decontamination": OP6, "op2_url_filters": OP2, "op3_quality_rules": OP3, "op5_line_dedup": OP5}
+OP4 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, max(x.n) AS na, max(y.n) AS nb, count(*) AS k FROM e x JOIN e y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM common WHERE 100 * k >= 75 * (na + nb - k)),
+both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id AS v, doc_id AS r FROM s UNION SELECT b, r FROM reach JOIN both_ways ON v = a WHERE r < b)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM s JOIN (SELECT v AS doc_id, min(r) AS component_id FROM reach GROUP BY v) m USING (doc_id)"""
+
+ORACLES = {"op4_minhash_near_dedup": OP4, "op6_benchmark_decontamination": OP6, "op2_url_filters": OP2, "op3_quality_rules": OP3, "op5_line_dedup": OP5}
