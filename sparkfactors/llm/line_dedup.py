@@ -97,7 +97,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, n_batch
     smaller than any other. Extra columns, whatever their names, stay inside row.
     """
     runs = index_lines(docs, min_chars, n_batches, fan_out)
-    often = merged(runs.union()).where(F.col("n_docs") >= min_docs).select(*KEY, "max_doc")
+    # Written, so that the join below reads both sides by exchanges of its own and a very common line's can be split.
+    often = c.materialize(merged(runs.union()).where(F.col("n_docs") >= min_docs).select(*KEY, "max_doc"))
     lines = keyed_lines(docs, min_chars).select("doc_id", "k", F.explode("lines").alias("x")).select("doc_id", "k", "x.*")
     hits = lines.join(often, list(KEY)).where(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
     drops = hits.groupBy("doc_id", "k").agg(F.collect_set("i").alias("drop"))
