@@ -12,10 +12,15 @@ from .packing import pack
 from .pii import scan_pii
 from .quality import quality_report
 from .sql import ORACLES
+from .substring_dedup import dedup_substrings
 from .token_count import count_documents
 from .url_filter import filter_urls
 
 
+def op1_substring_dedup(spark, sf_dir):
+    return dedup_substrings(c.table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op2_url_filters(spark, sf_dir):
     pages = c.table(spark, sf_dir, "pages").select("page_id", "url")
     out = filter_urls(pages)

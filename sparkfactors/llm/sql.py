@@ -127,4 +127,16 @@ reach AS (SELECT doc_id AS v, doc_id AS r FROM s UNION SELECT b, r FROM reach JO
 SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
 FROM s JOIN (SELECT v AS doc_id, min(r) AS component_id FROM reach GROUP BY v) m USING (doc_id)"""
 
-ORACLES = {"op4_minhash_near_dedup": OP4, "op6_benchmark_decontamination": OP6, "op2_url_filters": OP2, "op3_quality_rules": OP3, "op5_line_dedup": OP5}
+OP1 = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 19], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM w WHERE len(w) >= 20) x),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS r FROM p) x WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM late),
+l AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM w),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM l ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)"""
+
+ORACLES = {"op1_substring_dedup": OP1, "op4_minhash_near_dedup": OP4, "op6_benchmark_decontamination": OP6, "op2_url_filters": OP2, "op3_quality_rules": OP3, "op5_line_dedup": OP5}
