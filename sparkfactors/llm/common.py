@@ -75,7 +75,7 @@ def text_key(text: Column) -> Column:
 class WordHashes(dict):
     """64-bit hashes of words (bytes); forgets all when it holds `most`, so that its memory is bounded."""
 
-    def __init__(self, most: int = 400_000, seed: int = 0):
+    def __init__(self, most: int = 100_000, seed: int = 0):
         super().__init__()
         self.most, self.seed = most, seed
 

@@ -1,8 +1,8 @@
 """Packing of documents, in order, into sequences by dynamic programming.
 
 The ids of consecutive documents form one line, cut into windows of at most `size`. Cuts fall at ends of documents (no
-penalty) or of sentences (small penalty); where neither comes for more than `size` ids, cuts every `size` ids are
-offered (large penalty). The best cuts minimise padding plus penalties. Padding to `size` is linear in the window's
+penalty) or of sentences (small penalty); where neither comes for long, cuts at regular steps are offered (large
+penalty). The best cuts minimise padding plus penalties. Padding to `size` is linear in the window's
 length, so the best start of a window is the minimum over a sliding range: a monotone queue makes that constant time
 per cut. Windows whose length is a power of two need no padding and are extra transitions.
 
@@ -45,9 +45,10 @@ def cut_positions(doc_ends: np.ndarray, sentence_ends: np.ndarray, size: int) ->
     pos, kind = pos[order], kind[order]
     first = np.concatenate([[True], pos[1:] != pos[:-1]])
     pos, kind = pos[first], kind[first]
-    gaps = np.flatnonzero(np.diff(pos) > size)
+    step = max(1, size // 32)
+    gaps = np.flatnonzero(np.diff(pos) > 2 * step)
     if len(gaps):
-        extra = np.concatenate([np.arange(pos[g] + size, pos[g + 1], size) for g in gaps])
+        extra = np.concatenate([np.arange(pos[g] + step, pos[g + 1], step) for g in gaps])
         pos = np.concatenate([pos, extra])
         kind = np.concatenate([kind, np.full(len(extra), 2, np.int8)])
         order = np.argsort(pos, kind="stable")

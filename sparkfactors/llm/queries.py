@@ -11,6 +11,7 @@ from .near_dedup import near_components
 from .packing import pack
 from .pii import scan_pii
 from .quality import quality_report
+from .secret_scan import scan_secrets
 from .sql import ORACLES
 from .substring_dedup import dedup_substrings
 from .token_count import count_documents
@@ -55,6 +56,10 @@ def op7_packing(spark, sf_dir):
     return pack(c.table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_secret_scans(spark, sf_dir):
+    return scan_secrets(c.table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark, sf_dir):
     return count_documents(c.table(spark, sf_dir, "documents"), tokenizer_path(), eod=49407)
 

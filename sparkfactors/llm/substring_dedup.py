@@ -119,7 +119,7 @@ def announce(rows: DataFrame, window: int, parts: int, block_words: int) -> Data
         yield out.reindex(columns=[x.split()[0] for x in STEP1.split(", ")]).fillna(dict.fromkeys(NUMBERS, 0)).astype(dict.fromkeys(NUMBERS, "int64"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, wait, n = c.WordHashes(300_000), ([], [], [], [], []), 0
+        hashes, wait, n = c.WordHashes(), ([], [], [], [], []), 0
         for batch in batches:
             for d, k, text in zip(batch["d"].tolist(), batch["k"].tolist(), batch["text"], strict=True):
                 words = words_of(text)
