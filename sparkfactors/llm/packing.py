@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as c
-from .tokens import WordTokenizer
+from .tokens import joined, sentence_ends, shared_tokenizer
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -157,7 +157,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, eod: int = 1, c
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer, block = WordTokenizer(tokenizer_path), Block(size, costs)
+        tokenizer, block = shared_tokenizer(tokenizer_path), Block(size, costs)
         first = TaskContext.get().partitionId() << 40
 
         def frame(rows: list[tuple]) -> pd.DataFrame:
@@ -169,9 +169,9 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, eod: int = 1, c
             return out
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"], strict=True):
-                ids, ends = tokenizer.encode_ends(text)
-                block.add(None if doc_id != doc_id else doc_id, np.append(ids, np.uint32(eod)), ends)
+            for doc_id, (words, parts) in zip(batch["doc_id"].tolist(), tokenizer.encode_many(batch["text"]), strict=True):
+                ids = np.append(joined(parts), np.uint16(eod))
+                block.add(None if doc_id != doc_id else doc_id, ids, sentence_ends(words, parts))
                 if block.n >= block_ids:
                     rows, block = block.cut(last=False)
                     yield frame(rows)

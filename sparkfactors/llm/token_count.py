@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as c
-from .tokens import WordTokenizer
+from .tokens import joined, shared_tokenizer
 
 BLOCKS = "file string, block long, n long, ids binary"
 #: Blocks in a run of the prefix scan's lower level.
@@ -46,7 +46,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, eod: int, block_ids: int
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = WordTokenizer(tokenizer_path, specials=False)
+        tokenizer = shared_tokenizer(tokenizer_path, specials=False)
         file, wait, n, block, ordinal = f"part-{TaskContext.get().partitionId():05d}", [], 0, 0, 0
 
         def blocks(last: bool) -> Iterator[dict]:
@@ -63,10 +63,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, eod: int, block_ids: int
         for batch in batches:
             out = [{"kind": "docs", "file": file, "block": ordinal, "n": len(batch), "ids": None, "docs": [None if d != d else int(d) for d in batch["doc_id"].tolist()]}]
             ordinal += len(batch)
-            for text in batch["text"]:
-                ids = tokenizer.encode(text)
-                wait.append(np.append(ids, np.uint32(eod)).astype("<u2"))
-                n += len(ids) + 1
+            for _, parts in tokenizer.encode_many(batch["text"]):
+                wait.append(np.append(joined(parts), np.uint16(eod)))
+                n += len(wait[-1])
                 out += blocks(False)
             yield pd.DataFrame(out)
         if n:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -11,56 +12,107 @@ from . import common as c
 
 #: Characters that the vocabulary's splitter parts from a letter or digit before them.
 _ENDS = b".,;:?)"
+_CLOSING = (b".", b"!", b"?")
+#: Stands between words that are encoded together; words that contain it are encoded alone.
+_BAR = b"|"
 
 
 class WordTokenizer:
-    """Ids of whole texts by a vocabulary that drops white space and never joins what it parts.
+    """Ids (16 bits) of whole texts by a vocabulary that drops white space and never joins what it parts.
 
     For such a vocabulary the ids of a text are those of its words (parted by ASCII white space) one after the other,
-    so each distinct word is encoded once while the cache holds it. The cache forgets all when it holds `most` words.
+    so each distinct word is encoded once while the cache holds it. The cache is two generations of at most `most`
+    words; a full one takes the place of the older, and words in use move on to the newer.
     """
 
-    def __init__(self, path: str, most: int = 250_000, specials: bool = True):
+    def __init__(self, path: str, most: int = 350_000, specials: bool = True):
         """specials: the strings of special tokens in a text become those tokens, as the library does by default."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids of this vocabulary don't fit in 16 bits")
         self.tokenizer.encode_special_tokens = not specials
-        self.most, self.cache = most, {}
+        (self.bar,) = self.tokenizer.encode(_BAR.decode(), add_special_tokens=False).ids
+        self.most, self.cache, self.older = most, {}, {}
 
     def words(self, text: str | None) -> list[bytes]:
         raw = (text or "").encode("utf-8", "replace")
         return (raw if b"<|" in raw else raw.translate(c.LOWER_BYTES)).split()
 
-    def learn(self, words: list[bytes]) -> None:
-        """Put the words into the cache."""
-        cache = self.cache
-        new = {w for w in words if w not in cache}
+    def _encode(self, words: list[bytes]) -> None:
+        """Encode distinct words into the cache, most of them as one text."""
+        alone = [w for w in words if _BAR in w]
+        for w, e in zip(alone, self.tokenizer.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False), strict=True):
+            self.cache[w] = np.array(e.ids, "<u2").tobytes()
+        rest = [w for w in words if _BAR not in w] if alone else words
+        if rest:
+            (e,) = self.tokenizer.encode_batch_fast([b" | ".join([*rest, b""]).decode()], add_special_tokens=False)
+            ids = np.array(e.ids, "<u2")
+            ends, raw = np.flatnonzero(ids == self.bar), ids.tobytes()
+            assert len(ends) == len(rest)
+            starts = np.append(0, ends[:-1] + 1) * 2
+            self.cache.update(zip(rest, [raw[a:b] for a, b in zip(starts.tolist(), (ends * 2).tolist(), strict=True)], strict=True))
+
+    def learn(self, words) -> None:
+        """Put all the words into the cache; call it for many texts at once."""
+        cache, words = self.cache, set(words)
+        new = [w for w in words if w not in cache]
         if not new:
             return
         if len(cache) + len(new) > self.most:
-            cache.clear()
-            new = set(words)
-        tails = [w for w in new if w[-1] in _ENDS and len(w) > 1 and w[-2:-1].isalnum() and w[:1] != b"<"]
-        cores = new.difference(tails) | {w[:-1] for w in tails} | {w[-1:] for w in tails}
-        cores = [w for w in cores if w not in cache]
-        for w, e in zip(cores, self.tokenizer.encode_batch_fast([w.decode() for w in cores], add_special_tokens=False), strict=True):
-            cache[w] = e.ids
+            self.older, self.cache = cache, {}
+            cache, new = self.cache, list(words)
+        older, todo, tails = self.older, set(), []
+        for w in new:
+            if (ids := older.get(w)) is not None:
+                cache[w] = ids
+            elif w[-1] in _ENDS and len(w) > 1 and w[-2:-1].isalnum() and b"<" not in w:
+                tails.append(w)
+                todo.add(w[:-1])
+                todo.add(w[-1:])
+            else:
+                todo.add(w)
+        self._encode([w for w in todo if w not in cache])
         for w in tails:
             cache[w] = cache[w[:-1]] + cache[w[-1:]]
 
+    def encode_many(self, texts, chunk_words: int = 100_000):
+        """Of each text, in order: its words and the ids of each as bytes."""
+        wait, n = [], 0
+
+        def ready():
+            self.learn(chain.from_iterable(wait))
+            get = self.cache.__getitem__
+            return [(w, list(map(get, w))) for w in wait]
+
+        for text in texts:
+            wait.append(self.words(text))
+            n += len(wait[-1])
+            if n >= chunk_words:
+                yield from ready()
+                wait, n = [], 0
+        yield from ready()
+
     def encode(self, text: str | None) -> np.ndarray:
         words = self.words(text)
         self.learn(words)
-        return np.fromiter(chain.from_iterable(map(self.cache.__getitem__, words)), np.uint32)
+        return np.frombuffer(b"".join(map(self.cache.__getitem__, words)), "<u2")
 
-    def encode_ends(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """The ids, and how many ids precede the end of each sentence (a word that ends with . ! or ?)."""
-        words = self.words(text)
-        self.learn(words)
-        parts = list(map(self.cache.__getitem__, words))
-        ids = np.fromiter(chain.from_iterable(parts), np.uint32)
-        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
-        closing = np.fromiter((w[-1] in b".!?" for w in words), bool, len(words))
-        return ids, ends[closing]
+
+@lru_cache(maxsize=2)
+def shared_tokenizer(path: str, specials: bool = True) -> WordTokenizer:
+    """One for all tasks that a Python worker runs, so that words stay cached from one task to the next."""
+    return WordTokenizer(path, specials=specials)
+
+
+def joined(parts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(parts), "<u2")
+
+
+def sentence_ends(words: list[bytes], parts: list[bytes]) -> np.ndarray:
+    """How many ids precede the end of each sentence (a word that ends with . ! or ?)."""
+    n = len(words)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, n)) >> 1
+    return ends[np.fromiter((w.endswith(_CLOSING) for w in words), bool, n)]
