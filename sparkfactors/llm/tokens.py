@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from functools import lru_cache
 from itertools import chain
 
@@ -10,13 +12,107 @@ import numpy as np
 
 from . import common as c
 
-#: Characters that the vocabulary's splitter parts from a letter or digit before them.
-_ENDS = b".,;:?)"
-_CLOSING = (b".", b"!", b"?")
 #: Stands between words that are encoded together; words that contain it are encoded alone.
 _BAR = b"|"
 
 
+#: A word of Latin letters up to U+00FF, the first maybe a capital, and ASCII punctuation after it. The letters pass the
+#: vocabulary's normaliser and splitter as they are but for the capital, and punctuation is parted from them.
+_SHAPE = re.compile(b"(\xc3[\x80-\x96\x98-\x9e])?((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])*)([!-;=-@\\[-`{}~]*)").fullmatch
+_NO_RANK = np.uint32(0xFFFFFFFF)
+
+
+class Merger:
+    """Byte-pair merges of many words at once, as the library's model does them one by one.
+
+    In each round every word's pair of least rank, leftmost first, is merged; words without a pair to merge are done.
+    Ranks are looked up in an open hash table.
+    """
+
+    def __init__(self, model: dict):
+        vocab = model["vocab"]
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        extra = iter(range(256, 512))
+        chars = [chr(b) if b in printable else chr(next(extra)) for b in range(256)]
+        end = model["end_of_word_suffix"]
+        self.inner = np.array([vocab[x] for x in chars], np.int64)
+        self.last = np.array([vocab[x + end] for x in chars], np.int64)
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        keys = np.array([vocab[a] << 16 | vocab[b] for a, b in pairs], np.int64)
+        self.bits = max(10, int(len(keys) * 4).bit_length())
+        self.keys, self.ranks = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, _NO_RANK, np.uint32)
+        todo = np.arange(len(keys))
+        slot = self._slot(keys)
+        while len(todo):
+            free = self.keys[slot] < 0
+            first = np.unique(slot[free], return_index=True)[1]
+            put = np.flatnonzero(free)[first]
+            self.keys[slot[put]], self.ranks[slot[put]] = keys[todo[put]], todo[put]
+            left = np.ones(len(todo), bool)
+            left[put] = False
+            todo, slot = todo[left], (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keys = a << 16 | b
+        slot = self._slot(keys)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.ranks[slot], _NO_RANK)
+        on = np.flatnonzero((there != keys) & (there >= 0))
+        while len(on):
+            slot[on] = (slot[on] + 1) & ((1 << self.bits) - 1)
+            there = self.keys[slot[on]]
+            hit = there == keys[on]
+            out[on[hit]] = self.ranks[slot[on[hit]]]
+            on = on[~hit & (there >= 0)]
+        return out
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each plain word, 16 bits each."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum(sizes)
+        ids = self.inner[raw]
+        ids[ends - 1] = self.last[raw[ends - 1]]
+        out: list[bytes] = [b""] * len(words)
+        which, word = np.arange(len(words)), np.repeat(np.arange(len(words)), sizes)
+        rank = np.full(len(ids), _NO_RANK, np.uint32)
+        inner = np.flatnonzero(word[:-1] == word[1:])
+        rank[inner] = self.rank(ids[inner], ids[inner + 1])
+        while len(which):
+            starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            least = np.minimum.reduceat(rank, starts)
+            done = least == _NO_RANK
+            sizes = np.diff(np.append(starts, len(ids)))
+            if done.any():
+                over = np.repeat(done, sizes)
+                flat = ids[over].astype("<u2").tobytes()
+                stop = (np.cumsum(sizes[done]) * 2).tolist()
+                for w, a, b in zip(which[done].tolist(), [0, *stop], stop, strict=False):
+                    out[w] = flat[a:b]
+                ids, rank, least, sizes, which = ids[~over], rank[~over], least[~done], sizes[~done], which[~done]
+                word = np.repeat(np.arange(len(which)), sizes)
+                if not len(which):
+                    break
+            at = np.flatnonzero(rank == np.repeat(least, sizes))
+            at = at[np.concatenate([[True], word[at[1:]] != word[at[:-1]]])]
+            ids[at] = self.made[rank[at]]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            at = at - np.arange(len(at))
+            ids, word, rank = ids[keep], word[keep], rank[keep]
+            # Pairs that begin or end at a merged place.
+            rank[at] = _NO_RANK
+            a = np.concatenate([at, at[at > 0] - 1])
+            a = a[a + 1 < len(ids)]
+            a = a[word[a] == word[a + 1]]
+            rank[a] = self.rank(ids[a], ids[a + 1])
+        return out
+
+
 class WordTokenizer:
     """Ids (16 bits) of whole texts by a vocabulary that drops white space and never joins what it parts.
 
@@ -36,13 +132,14 @@ class WordTokenizer:
         self.tokenizer.encode_special_tokens = not specials
         (self.bar,) = self.tokenizer.encode(_BAR.decode(), add_special_tokens=False).ids
         self.most, self.cache, self.older = most, {}, {}
+        self.merger = Merger(json.loads(self.tokenizer.to_str())["model"])
 
     def words(self, text: str | None) -> list[bytes]:
         raw = (text or "").encode("utf-8", "replace")
         return (raw if b"<|" in raw else raw.translate(c.LOWER_BYTES)).split()
 
     def _encode(self, words: list[bytes]) -> None:
-        """Encode distinct words into the cache, most of them as one text."""
+        """Encode distinct words into the cache by the library, most of them as one text."""
         alone = [w for w in words if _BAR in w]
         for w, e in zip(alone, self.tokenizer.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False), strict=True):
             self.cache[w] = np.array(e.ids, "<u2").tobytes()
@@ -61,22 +158,30 @@ class WordTokenizer:
         new = [w for w in words if w not in cache]
         if not new:
             return
-        if len(cache) + len(new) > self.most:
+        if len(cache) + 2 * len(new) > self.most:
             self.older, self.cache = cache, {}
             cache, new = self.cache, list(words)
-        older, todo, tails = self.older, set(), []
+        older, plain, odd, parts = self.older, set(), set(), []
         for w in new:
             if (ids := older.get(w)) is not None:
                 cache[w] = ids
-            elif w[-1] in _ENDS and len(w) > 1 and w[-2:-1].isalnum() and b"<" not in w:
-                tails.append(w)
-                todo.add(w[:-1])
-                todo.add(w[-1:])
+            elif (m := _SHAPE(w)) and (m[1] or m[2]) and len(w) <= 64:
+                capital, letters, tail = m.groups()
+                core = b"\xc3" + bytes([capital[1] + 32]) + letters if capital else letters
+                if core not in cache:
+                    plain.add(core)
+                if core != w:
+                    parts.append((w, core, tail))
+                    if tail and tail not in cache:
+                        odd.add(tail)
             else:
-                todo.add(w)
-        self._encode([w for w in todo if w not in cache])
-        for w in tails:
-            cache[w] = cache[w[:-1]] + cache[w[-1:]]
+                odd.add(w)
+        if plain:
+            plain = list(plain)
+            cache.update(zip(plain, self.merger.encode(plain), strict=True))
+        self._encode(list(odd))
+        for w, core, tail in parts:
+            cache[w] = cache[core] + cache[tail] if tail else cache[core]
 
     def encode_many(self, texts, chunk_words: int = 100_000):
         """Of each text, in order: its words and the ids of each as bytes."""
@@ -111,8 +216,17 @@ def joined(parts: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(parts), "<u2")
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_CLOSES = np.zeros(256, bool)
+_CLOSES[list(b".!?")] = True
+
+
 def sentence_ends(words: list[bytes], parts: list[bytes]) -> np.ndarray:
     """How many ids precede the end of each sentence (a word that ends with . ! or ?)."""
     n = len(words)
+    if not n:
+        return np.zeros(0, np.int64)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, n)) >> 1
-    return ends[np.fromiter((w.endswith(_CLOSING) for w in words), bool, n)]
+    raw = np.frombuffer(b" ".join(words) + b" ", np.uint8)
+    return ends[_CLOSES[raw[np.flatnonzero(_BLANK[raw]) - 1]]]
