@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
-#: ASCII letters and digits and all other characters above U+007F are in words (fixed values of the contract).
-WORD_RE = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+#: ASCII letters and digits and all characters above U+007F are in words (fixed values of the contract, before A-Z are
+#: lower-cased).
+WORD_RE = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 #: bytes.translate table: A-Z to lower case, every other ASCII byte that is in no word to a blank.
 _TO_WORDS = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)

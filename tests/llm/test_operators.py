@@ -162,6 +162,8 @@ def test_decontaminate(spark, docs, rows):
     assert clean.columns == docs.columns and clean.count() == docs.count()
     again = decontaminate.contamination_report(clean, bench)
     assert again.where("contaminated").count() == 0
+    cased = spark.createDataFrame([(1, "Clean Start. ONE more"), (2, "AB Cd eF, (one) Tail")], "doc_id long, text string")
+    assert [x["text"] for x in decontaminate.decontaminate(cased, bench).orderBy("doc_id").collect()] == ["Clean Start. \n more", "AB Cd eF, (\n) Tail"]
     none = decontaminate.contamination_report(docs, bench.limit(0))
     assert none.where("contaminated").count() == 0 and none.count() == len(rows)
 
