@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as c
-from .tokens import joined, sentence_ends, shared_tokenizer
+from .tokens import shared_tokenizer
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -169,9 +169,8 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, eod: int = 1, c
             return out
 
         for batch in batches:
-            for doc_id, (words, parts) in zip(batch["doc_id"].tolist(), tokenizer.encode_many(batch["text"]), strict=True):
-                ids = np.append(joined(parts), np.uint16(eod))
-                block.add(None if doc_id != doc_id else doc_id, ids, sentence_ends(words, parts))
+            for doc_id, (ids, ends) in zip(batch["doc_id"].tolist(), tokenizer.encode_many(batch["text"]), strict=True):
+                block.add(None if doc_id != doc_id else doc_id, np.append(ids, np.uint16(eod)), ends)
                 if block.n >= block_ids:
                     rows, block = block.cut(last=False)
                     yield frame(rows)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as c
-from .tokens import joined, shared_tokenizer
+from .tokens import shared_tokenizer
 
 BLOCKS = "file string, block long, n long, ids binary"
 #: Blocks in a run of the prefix scan's lower level.
@@ -63,8 +63,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, eod: int, block_ids: int
         for batch in batches:
             out = [{"kind": "docs", "file": file, "block": ordinal, "n": len(batch), "ids": None, "docs": [None if d != d else int(d) for d in batch["doc_id"].tolist()]}]
             ordinal += len(batch)
-            for _, parts in tokenizer.encode_many(batch["text"]):
-                wait.append(np.append(joined(parts), np.uint16(eod)))
+            for ids, _ in tokenizer.encode_many(batch["text"]):
+                wait.append(np.append(ids, np.uint16(eod)))
                 n += len(wait[-1])
                 out += blocks(False)
             yield pd.DataFrame(out)

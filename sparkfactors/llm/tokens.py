@@ -9,16 +9,23 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-
-from . import common as c
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Stands between words that are encoded together; words that contain it are encoded alone.
 _BAR = b"|"
 
 
-#: A word of Latin letters up to U+00FF, the first maybe a capital, and ASCII punctuation after it. The letters pass the
-#: vocabulary's normaliser and splitter as they are but for the capital, and punctuation is parted from them.
-_SHAPE = re.compile(b"(\xc3[\x80-\x96\x98-\x9e])?((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])*)([!-;=-@\\[-`{}~]*)").fullmatch
+#: Bytes of lower-case Latin letters up to U+00FF in UTF-8. Words of these alone pass the vocabulary's normaliser and
+#: splitter as they are.
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(97, 123), 0xC3]] = True
+_AFTER_C3 = np.zeros(256, bool)
+_AFTER_C3[[*range(0x9F, 0xB7), *range(0xB8, 0xC0)]] = True
+_CAPITAL_AFTER_C3 = np.zeros(256, bool)
+_CAPITAL_AFTER_C3[[*range(0x80, 0x97), *range(0x98, 0x9F)]] = True
+#: The splitter parts a letter from punctuation after it; a blank there changes no ids and makes for fewer words.
+_LETTER_MARK = "([a-z\u00df-\u00f6\u00f8-\u00ff])([!-/:-@\\[-`{-~])"
 _NO_RANK = np.uint32(0xFFFFFFFF)
 
 
@@ -70,58 +77,58 @@ class Merger:
             on = on[~hit & (there >= 0)]
         return out
 
-    def encode(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each plain word, 16 bits each."""
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        raw = np.frombuffer(b"".join(words), np.uint8)
-        ends = np.cumsum(sizes)
+    def encode(self, raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words as bytes one after the other and their sizes (not 0): their ids likewise and the numbers of ids."""
+        n, ends = len(sizes), np.cumsum(sizes)
+        counts = np.zeros(n, np.int64)
         ids = self.inner[raw]
         ids[ends - 1] = self.last[raw[ends - 1]]
-        out: list[bytes] = [b""] * len(words)
-        which, word = np.arange(len(words)), np.repeat(np.arange(len(words)), sizes)
+        over_ids, over_words = [], []
+        which, word = np.arange(n), np.repeat(np.arange(n), sizes)
         rank = np.full(len(ids), _NO_RANK, np.uint32)
         inner = np.flatnonzero(word[:-1] == word[1:])
         rank[inner] = self.rank(ids[inner], ids[inner + 1])
         while len(which):
-            starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            starts = np.cumsum(sizes) - sizes
             least = np.minimum.reduceat(rank, starts)
             done = least == _NO_RANK
-            sizes = np.diff(np.append(starts, len(ids)))
             if done.any():
                 over = np.repeat(done, sizes)
-                flat = ids[over].astype("<u2").tobytes()
-                stop = (np.cumsum(sizes[done]) * 2).tolist()
-                for w, a, b in zip(which[done].tolist(), [0, *stop], stop, strict=False):
-                    out[w] = flat[a:b]
+                over_ids.append(ids[over])
+                over_words.append(np.repeat(which[done], sizes[done]))
+                counts[which[done]] = sizes[done]
                 ids, rank, least, sizes, which = ids[~over], rank[~over], least[~done], sizes[~done], which[~done]
-                word = np.repeat(np.arange(len(which)), sizes)
                 if not len(which):
                     break
+            word = np.repeat(np.arange(len(which)), sizes)
             at = np.flatnonzero(rank == np.repeat(least, sizes))
             at = at[np.concatenate([[True], word[at[1:]] != word[at[:-1]]])]
             ids[at] = self.made[rank[at]]
             keep = np.ones(len(ids), bool)
             keep[at + 1] = False
-            at = at - np.arange(len(at))
-            ids, word, rank = ids[keep], word[keep], rank[keep]
+            ids, word, rank, sizes = ids[keep], word[keep], rank[keep], sizes - 1
             # Pairs that begin or end at a merged place.
+            at = at - np.arange(len(at))
             rank[at] = _NO_RANK
             a = np.concatenate([at, at[at > 0] - 1])
             a = a[a + 1 < len(ids)]
             a = a[word[a] == word[a + 1]]
             rank[a] = self.rank(ids[a], ids[a + 1])
-        return out
+        if not over_ids:
+            return np.zeros(0, np.uint16), counts
+        order = np.argsort(np.concatenate(over_words), kind="stable")
+        return np.concatenate(over_ids)[order].astype(np.uint16), counts
 
 
 class WordTokenizer:
     """Ids (16 bits) of whole texts by a vocabulary that drops white space and never joins what it parts.
 
-    For such a vocabulary the ids of a text are those of its words (parted by ASCII white space) one after the other,
-    so each distinct word is encoded once while the cache holds it. The cache is two generations of at most `most`
-    words; a full one takes the place of the older, and words in use move on to the newer.
+    For such a vocabulary the ids of a text are those of its words (parted by ASCII white space) one after the other.
+    Texts are taken in chunks, and each distinct word of a chunk is encoded once: plain ones by Merger, others by the
+    library, whose results a cache of at most `most` words keeps.
     """
 
-    def __init__(self, path: str, most: int = 350_000, specials: bool = True):
+    def __init__(self, path: str, most: int = 100_000, specials: bool = True):
         """specials: the strings of special tokens in a text become those tokens, as the library does by default."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -131,13 +138,13 @@ class WordTokenizer:
             raise ValueError("ids of this vocabulary don't fit in 16 bits")
         self.tokenizer.encode_special_tokens = not specials
         (self.bar,) = self.tokenizer.encode(_BAR.decode(), add_special_tokens=False).ids
-        self.most, self.cache, self.older = most, {}, {}
+        self.most, self.cache = most, {}
+        vocab, end = self.tokenizer.get_vocab(), "</w>"
+        #: By id: whether it ends a word with . ! or ?
+        self.closing = np.zeros(1 << 16, bool)
+        self.closing[[i for x, i in vocab.items() if x.removesuffix(end)[-1:] in (".", "!", "?") and x.endswith(end)]] = True
         self.merger = Merger(json.loads(self.tokenizer.to_str())["model"])
 
-    def words(self, text: str | None) -> list[bytes]:
-        raw = (text or "").encode("utf-8", "replace")
-        return (raw if b"<|" in raw else raw.translate(c.LOWER_BYTES)).split()
-
     def _encode(self, words: list[bytes]) -> None:
         """Encode distinct words into the cache by the library, most of them as one text."""
         alone = [w for w in words if _BAR in w]
@@ -152,58 +159,74 @@ class WordTokenizer:
             starts = np.append(0, ends[:-1] + 1) * 2
             self.cache.update(zip(rest, [raw[a:b] for a, b in zip(starts.tolist(), (ends * 2).tolist(), strict=True)], strict=True))
 
-    def learn(self, words) -> None:
-        """Put all the words into the cache; call it for many texts at once."""
-        cache, words = self.cache, set(words)
-        new = [w for w in words if w not in cache]
-        if not new:
-            return
-        if len(cache) + 2 * len(new) > self.most:
-            self.older, self.cache = cache, {}
-            cache, new = self.cache, list(words)
-        older, plain, odd, parts = self.older, set(), set(), []
-        for w in new:
-            if (ids := older.get(w)) is not None:
-                cache[w] = ids
-            elif (m := _SHAPE(w)) and (m[1] or m[2]) and len(w) <= 64:
-                capital, letters, tail = m.groups()
-                core = b"\xc3" + bytes([capital[1] + 32]) + letters if capital else letters
-                if core not in cache:
-                    plain.add(core)
-                if core != w:
-                    parts.append((w, core, tail))
-                    if tail and tail not in cache:
-                        odd.add(tail)
-            else:
-                odd.add(w)
-        if plain:
-            plain = list(plain)
-            cache.update(zip(plain, self.merger.encode(plain), strict=True))
-        self._encode(list(odd))
-        for w, core, tail in parts:
-            cache[w] = cache[core] + cache[tail] if tail else cache[core]
-
-    def encode_many(self, texts, chunk_words: int = 100_000):
-        """Of each text, in order: its words and the ids of each as bytes."""
+    def _ids_of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words, by the library or from the cache."""
+        if len(self.cache) + len(words) > self.most:
+            self.cache.clear()
+        self._encode([w for w in words if w not in self.cache])
+        return list(map(self.cache.__getitem__, words))
+
+    def _distinct(self, words: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words, one after the other, and how many each has."""
+        n = len(words)
+        bounds = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + n + 1]
+        raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]].copy()
+        sizes = np.diff(bounds)
+        c3 = np.concatenate([[False], raw[:-1] == 0xC3]) if len(raw) else np.zeros(0, bool)
+        low = raw + np.uint8(32) * (c3 & _CAPITAL_AFTER_C3[raw])
+        good = np.where(c3, _AFTER_C3[low], _LETTER[low])
+        plain = (sizes > 0) & (sizes <= 64)
+        if len(raw):
+            some = np.flatnonzero(sizes)
+            plain[some] &= np.logical_and.reduceat(good, (bounds[:-1] - bounds[0])[some])
+        flat, counts = self.merger.encode(low[np.repeat(plain, sizes)], sizes[plain])
+        odd = self._ids_of(words.filter(pa.array(~plain & (sizes > 0))).to_pylist())
+        out = np.zeros(n, np.int64)
+        out[plain] = counts
+        out[~plain & (sizes > 0)] = np.fromiter(map(len, odd), np.int64, len(odd)) >> 1
+        ids = np.zeros(out.sum(), np.uint16)
+        of_plain = np.repeat(plain, out)
+        ids[of_plain] = flat
+        ids[~of_plain] = joined(odd)
+        return ids, out
+
+    def _chunk(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids and ends of texts. Words are parted and numbered by Arrow, so each distinct one is encoded once."""
+        text = pa.array(texts, pa.large_string())
+        special = pc.match_substring(text, "<|")
+        split = pc.replace_substring_regex(pc.ascii_lower(text), _LETTER_MARK, r"\1 \2")
+        # What might hold a special token's name stays as it is.
+        split = pc.ascii_split_whitespace(pc.if_else(special, text, split))
+        coded = split.flatten().dictionary_encode()
+        flat, sizes = self._distinct(coded.dictionary.cast(pa.large_binary()))
+        first = np.cumsum(sizes) - sizes
+        closes = np.zeros(len(sizes), bool)
+        some = sizes > 0
+        closes[some] = self.closing[flat[(first + sizes - 1)[some]]]
+        code = coded.indices.to_numpy()
+        n = sizes[code]
+        ends = np.cumsum(n)
+        out = flat[np.repeat(first[code] - (ends - n), n) + np.arange(n.sum())]
+        close = closes[code]
+        at = np.append(0, ends)
+        offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
+        return [(out[at[x] : at[y]], ends[x:y][close[x:y]] - at[x]) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
+    def encode_many(self, texts, chunk_chars: int = 3_000_000):
+        """Of each text, in order: its ids, and how many of them precede the end of each sentence, which is a word
+        that ends with . ! or ?"""
         wait, n = [], 0
-
-        def ready():
-            self.learn(chain.from_iterable(wait))
-            get = self.cache.__getitem__
-            return [(w, list(map(get, w))) for w in wait]
-
         for text in texts:
-            wait.append(self.words(text))
+            wait.append(text or "")
             n += len(wait[-1])
-            if n >= chunk_words:
-                yield from ready()
+            if n >= chunk_chars:
+                yield from self._chunk(wait)
                 wait, n = [], 0
-        yield from ready()
+        if wait:
+            yield from self._chunk(wait)
 
     def encode(self, text: str | None) -> np.ndarray:
-        words = self.words(text)
-        self.learn(words)
-        return np.frombuffer(b"".join(map(self.cache.__getitem__, words)), "<u2")
+        return self._chunk([text or ""])[0][0]
 
 
 @lru_cache(maxsize=2)
@@ -214,19 +237,3 @@ def shared_tokenizer(path: str, specials: bool = True) -> WordTokenizer:
 
 def joined(parts: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(parts), "<u2")
-
-
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
-_CLOSES = np.zeros(256, bool)
-_CLOSES[list(b".!?")] = True
-
-
-def sentence_ends(words: list[bytes], parts: list[bytes]) -> np.ndarray:
-    """How many ids precede the end of each sentence (a word that ends with . ! or ?)."""
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.int64)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, n)) >> 1
-    raw = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-    return ends[_CLOSES[raw[np.flatnonzero(_BLANK[raw]) - 1]]]

@@ -348,3 +348,18 @@ def test_empty_tables(spark, empty):
     assert pii.scan_pii(empty).count() == 0
     bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert decontaminate.decontaminate(empty, bench).count() == 0
+
+
+def test_tokenizer_gives_the_librarys_ids():
+    import random
+
+    from sparkfactors.llm.tokens import WordTokenizer
+
+    r = random.Random(2)
+    parts = ["a", "é", "É", "É", "ß", "ŝ", ".", "!?", "'s", "'LL", "'", "|", "<|", "|>", "<|endoftext|>", "<|EndOfText|>", "7", "½", " ", "\x0b", "\n", " ", "\x1c", "Σ", "İ", "×", "the", "tion", "###", "_", "‍", "漢", "x" * 70]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(30))) for _ in range(1500)] + [""]
+    for specials in (True, False):
+        tok = WordTokenizer(PATH, specials=specials)
+        for text, (ids, ends) in zip(texts, tok.encode_many(texts, 900), strict=True):
+            assert ids.tolist() == tok.tokenizer.encode(text, add_special_tokens=False).ids, text
+            assert all(0 < e <= len(ids) for e in ends)
