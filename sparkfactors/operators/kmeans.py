@@ -31,18 +31,20 @@ def _assigned(points: DataFrame, centers: dict[int, list[list[float]]]) -> DataF
 
 
 def _updated(rows: DataFrame, centers: dict, empty: str) -> tuple[dict, dict[int, float]]:
-    """New centers and the inertia of the old ones, by run. Sums are partial before the shuffle; k x d numbers return."""
-    sums = rows.select("run", "label", F.posexplode("h").alias("j", "v")).groupBy("run", "label", "j").agg(F.avg("v").alias("m")).collect()
-    far = rows.groupBy("run").agg(F.max(F.struct("d2", (-F.col("id")).alias("n"), "h")).alias("x"), F.sum("d2").alias("inertia")).collect()
-    inertia, farthest = {x["run"]: x["inertia"] for x in far}, {x["run"]: list(x["x"]["h"]) for x in far}
-    new = {r: [None] * len(c) for r, c in centers.items()}
-    for x in sums:
-        c = new[x["run"]]
-        c[x["label"]] = c[x["label"]] or [0.0] * len(centers[x["run"]][x["label"]])
-        c[x["label"]][x["j"]] = x["m"]
-    for r, cs in new.items():
-        new[r] = [x if x is not None else (farthest[r] if empty == "farthest" else centers[r][i]) for i, x in enumerate(cs)]
-    return new, inertia
+    """New centers and the inertia of the old ones, by run, in one job whose sums are partial before the shuffle; only
+    runs x k rows of d numbers return."""
+    d = max(len(c) for cs in centers.values() for c in cs)
+    means = F.array(*(F.avg(F.get("h", j)) for j in range(d))).alias("m")
+    far = F.max(F.struct("d2", (-F.col("id")).alias("n"), "h")).alias("far")
+    got = rows.groupBy("run", "label").agg(means, far, F.sum("d2").alias("inertia")).collect()
+    new, inertia, farthest = {}, dict.fromkeys(centers, 0.0), {}
+    for x in sorted(got, key=lambda x: (x["run"], x["label"])):
+        r = x["run"]
+        inertia[r] += x["inertia"]
+        farthest[r] = max(farthest.get(r, x["far"]), x["far"], key=lambda f: (f["d2"], f["n"]))
+        new[r, x["label"]] = list(x["m"])
+    out = {r: [new.get((r, i)) or (list(farthest[r]["h"]) if empty == "farthest" else c) for i, c in enumerate(cs)] for r, cs in centers.items()}
+    return out, inertia
 
 
 def starts(points: DataFrame, k: int, runs: int, seed: int = 0) -> dict[int, list[list[float]]]:
