@@ -30,7 +30,8 @@ def lgamma(x: Column) -> Column:
     """Log of the gamma function for x > 0, by Stirling's series eight steps up; twelve digits."""
     x = x.cast("double")
     z = x + 8
-    series = (z - 0.5) * F.ln(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z)
+    y = 1 / (z * z)
+    series = (z - 0.5) * F.ln(z) - z + 0.5 * math.log(2 * math.pi) + (1 / 12 - y * (1 / 360 - y * (1 / 1260 - y * (1 / 1680 - y / 1188)))) / z
     product = x
     for i in range(1, 8):
         product = product * (x + i)
