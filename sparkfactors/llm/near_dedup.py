@@ -107,17 +107,22 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, SKETCH)
 
 
-def forest(classes: DataFrame, f: Forest, least: int = 2) -> DataFrame:
-    """cid, region, deeper, size, part of each class in each tree, for regions of at least `least` classes.
-
-    A region over split_at is parted by its next minima, then by the class's hash in this tree: trees part it
-    differently, so that together they still connect it.
-    """
+def in_regions(classes: DataFrame, least: int = 2) -> DataFrame:
+    """cid, region, deeper, size of each class in each tree, for regions of at least `least` classes."""
     rows = classes.select("cid", F.arrays_zip("regions", "deeper").alias("z")).select("cid", F.explode("z").alias("z")).select(
         "cid", F.col("z.regions").alias("region"), F.col("z.deeper").alias("deeper")
     )
     sizes = rows.groupBy("region").agg(F.count("*").alias("size")).where(F.col("size") >= least)
-    rows = rows.join(sizes, "region")
+    return rows.join(sizes, "region")
+
+
+def forest(classes: DataFrame, f: Forest) -> DataFrame:
+    """cid, region, deeper, size, part of each class in each tree.
+
+    A region over split_at is parted by its next minima, then by the class's hash in this tree: trees part it
+    differently, so that together they connect most of it; left_over compares what lies in different parts.
+    """
+    rows = in_regions(classes)
     depth = F.when(F.col("size") <= f.split_at, F.lit(0)).when(F.col("size") <= 16 * f.split_at, 16).otherwise(32)
     return rows.withColumn(
         "part",
@@ -150,43 +155,62 @@ def left_over(classes: DataFrame, labels: DataFrame, f: Forest) -> DataFrame:
 
     After the neighbours have been confirmed most regions are one component and drop out. In the others the classes
     outside the largest component are held against all of the region by signature, so no likely pair of a region is
-    left untried. A part of a region has about split_at classes at most.
+    left untried, however large it is. Both sides are dealt to blocks of about split_at classes and each pair of blocks
+    is compared by itself, so a hot region is spread over tasks.
     """
-    rows = forest(classes, f, f.all_pairs + 1).select("region", "part", "cid").join(labels.toDF("cid", "root"), "cid", "left")
+    rows = in_regions(classes, f.all_pairs + 1).select("region", "size", "cid").join(labels.toDF("cid", "root"), "cid", "left")
     rows = rows.withColumn("root", F.coalesce("root", "cid"))
-    mixed = rows.groupBy("region", "part").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("region", "part")
-    rows = rows.join(mixed, ["region", "part"]).join(classes.select("cid", "sig"), "cid")
-
-    def within(cid: np.ndarray, root: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        _, which, n = np.unique(root, return_inverse=True, return_counts=True)
-        largest = int(n.argmax())
-        odd, step = np.flatnonzero(which != largest), max(1, 30_000 // len(cid))
-        for i in range(0, len(odd), step):
-            rows = odd[i : i + step]
-            share = (sig[rows, None, :] == sig[None]).mean(axis=2, dtype=np.float32)
-            # Two classes outside the largest component meet once.
-            meet = (which[rows, None] != which[None]) & ((which[None] == largest) | (cid[None] > cid[rows, None]))
-            x, y = np.nonzero((share >= f.likely_apart) & meet)
-            yield cid[rows[x]], cid[y], share[x, y]
+    members = rows.groupBy("region", "root").agg(F.count("*").alias("n"))
+    mixed = members.groupBy("region").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
+    mixed = mixed.select("region", F.col("top.root").alias("largest"), (F.col("n") - F.col("top.n")).alias("n_odd")).where("n_odd > 0")
+    rows = rows.join(mixed, "region").join(classes.select("cid", "n_shingles", "sig"), "cid")
+    # x: block of classes outside the largest component, y: block of all classes. A class is held against others where
+    # it is `left`, and others against it where it is `right`; each pair meets once.
+    odd = F.col("root") != F.col("largest")
+    nx, ny = (F.ceil(F.col(n) / f.split_at) for n in ("n_odd", "size"))
+    own = F.xxhash64("region", "cid")
+    x, y = F.pmod(own, nx), F.pmod(own, ny)
+    place = lambda x, y, left, right: F.struct(x.alias("x"), y.alias("y"), left.alias("left"), right.alias("right"))
+    to_all = F.transform(F.sequence(F.lit(0).cast("long"), nx - 1), lambda i: place(i, y, odd & (i == x), F.lit(True)))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), ny - 1), lambda j: odd & (j != y))
+    places = F.concat(to_all, F.transform(others, lambda j: place(x, j, F.lit(True), F.lit(False))))
+    rows = rows.select("region", "cid", "root", "largest", "n_shingles", "sig", F.explode(places).alias("at"))
+    rows = rows.select("region", "at.*", "cid", "root", "largest", "n_shingles", "sig")
+
+    def within(g: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        sig = np.frombuffer(b"".join(g["sig"]), np.uint8).reshape(len(g), N_MINIMA)
+        cid, root, n = (g[x].to_numpy() for x in ("cid", "root", "n_shingles"))
+        odd, of = np.flatnonzero(g["left"]), np.flatnonzero(g["right"])
+        largest, step = g["largest"].iat[0], max(1, 30_000 // max(1, len(of)))
+        for i in range(0, len(odd) if len(of) else 0, step):
+            rows = odd[i : i + step, None]
+            # Two classes outside the largest component meet once. Sets of too different sizes can't be similar enough.
+            meet = (root[rows] != root[of]) & ((root[of] == largest) | (cid[of] > cid[rows]))
+            meet &= 100 * np.minimum(n[rows], n[of]) >= f.percent * np.maximum(n[rows], n[of])
+            a, b = np.nonzero(meet)
+            a, b = rows[a, 0], of[b]
+            share = (sig[a] == sig[b]).mean(axis=1, dtype=np.float32)
+            ok = share >= f.likely_apart
+            yield cid[a[ok]], cid[b[ok]], share[ok]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for batch in batches:
             g = batch if rest is None else pd.concat([rest, batch])
-            region, part, cid, root = (g[x].to_numpy() for x in ("region", "part", "cid", "root"))
-            sig = np.frombuffer(b"".join(g["sig"]), np.uint8).reshape(len(g), N_MINIMA)
-            starts = [0, *(np.flatnonzero((region[1:] != region[:-1]) | (part[1:] != part[:-1])) + 1).tolist()]
-            yield frame([p for a, b in zip(starts, starts[1:], strict=False) for p in within(cid[a:b], root[a:b], sig[a:b])])
+            key = g[["region", "x", "y"]].to_numpy()
+            starts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist()]
+            for a, b in zip(starts, starts[1:], strict=False):
+                yield from map(frame, within(g.iloc[a:b]))
             rest = g.iloc[starts[-1] :]
         if rest is not None and len(rest):
-            sig = np.frombuffer(b"".join(rest["sig"]), np.uint8).reshape(len(rest), N_MINIMA)
-            yield frame(list(within(rest["cid"].to_numpy(), rest["root"].to_numpy(), sig)))
+            yield from map(frame, within(rest))
 
-    def frame(found: list) -> pd.DataFrame:
-        x, y, score = (np.concatenate([p[i] for p in found]) if found else np.zeros(0, np.int64) for i in range(3))
+    def frame(found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pd.DataFrame:
+        x, y, score = found
         return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "score": score.astype(float)})
 
-    found = rows.repartition("region", "part").sortWithinPartitions("region", "part", "cid").mapInPandas(run, "a long, b long, score double")
+    order = ("region", "x", "y")
+    found = rows.repartition(*order).sortWithinPartitions(*order, "cid").mapInPandas(run, "a long, b long, score double")
     return found.groupBy("a", "b").agg(F.max("score").alias("score"))
 
 
@@ -286,7 +310,7 @@ def near_components(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
     rows = c.materialize(sketch(docs, f.k))
     usable = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = c.materialize(
-        usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("cid"), *(F.first(x).alias(x) for x in ("regions", "deeper", "sig")))
+        usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("cid"), *(F.first(x).alias(x) for x in ("n_shingles", "regions", "deeper", "sig")))
     )
     labels = link_components(docs, classes, f)
     named = classes.select("f1", "f2", "cid").join(labels.withColumnRenamed("v", "cid"), "cid", "left").select("f1", "f2", F.coalesce("root", "cid").alias("component_id"))

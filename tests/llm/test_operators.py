@@ -104,6 +104,30 @@ def test_near_dedup_parts_regions(spark):
     assert got.select("component_id").distinct().count() == 1
 
 
+def sketched(spark, texts, k=5):
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    return near_dedup.sketch(d, k).withColumnRenamed("doc_id", "cid").cache()
+
+
+def shingle_sets(texts):
+    return [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+
+
+def test_near_dedup_tries_all_of_a_large_region(spark):
+    """What is outside the largest component meets all of a region, not only its part of it."""
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join([*base[:i], f"e{i}", *base[i + 1 :]]) for i in range(200)]
+    # Each has a link to the copy whose edit it repeats, and to few others or none.
+    texts += [" ".join([*base[:i], f"e{i}", *base[i + 1 : 262], *(f"x{i}_{j}" for j in range(38))]) for i in range(0, 200, 10)]
+    sets, n = shingle_sets(texts), 200
+    want = {(b, a) for a in range(n, len(texts)) for b in range(n) if 100 * len(sets[a] & sets[b]) >= 76 * len(sets[a] | sets[b])}
+    assert {a for _, a in want} == set(range(n, len(texts)))
+    labels = spark.createDataFrame([(i, 0) for i in range(n)], "v long, root long")
+    got = near_dedup.left_over(sketched(spark, texts), labels, near_dedup.Forest(split_at=20)).collect()
+    assert want <= {(x["a"], x["b"]) for x in got}
+    assert all(x["b"] >= n for x in got) and len(got) == len({(x["a"], x["b"]) for x in got})
+
+
 def test_line_dedup(docs, rows):
     strip = " \t\n\x0b\x0c\r"
     where, lines = defaultdict(list), []
