@@ -35,15 +35,13 @@ _B = _rng.integers(0, 2**63, N_MINIMA, dtype=np.uint64)
 class Forest:
     """k: words in a shingle. percent: least similarity. likely: least share of agreeing minima to confirm a candidate
     (five standard deviations below percent). all_pairs: regions up to this size give all pairs. near: neighbours taken
-    in larger ones. split_at: size at which a region is parted by deeper prefixes. likely_apart:
-    as likely, for pairs of a region that are no neighbours in it (2.9 standard deviations; a class has many of them)."""
+    in larger ones. split_at: size at which a region is parted by deeper prefixes."""
 
     k: int = 5
     percent: int = 75
     likely: float = 0.55
     all_pairs: int = 6
     near: int = 3
-    likely_apart: float = 0.64
     split_at: int = 2048
 
 
@@ -150,7 +148,7 @@ def candidates(classes: DataFrame, f: Forest) -> DataFrame:
     return pairs.where("a <> b").groupBy("a", "b").agg((F.sum("lcp") + F.count("*")).alias("score"))
 
 
-def left_over(classes: DataFrame, labels: DataFrame, f: Forest) -> DataFrame:
+def left_over(classes: DataFrame, labels: DataFrame | None, f: Forest) -> DataFrame:
     """a < b, score: pairs of different components in the larger regions whose signatures agree enough.
 
     After the neighbours have been confirmed most regions are one component and drop out. In the others the classes
@@ -158,8 +156,11 @@ def left_over(classes: DataFrame, labels: DataFrame, f: Forest) -> DataFrame:
     left untried, however large it is. Both sides are dealt to blocks of about split_at classes and each pair of blocks
     is compared by itself, so a hot region is spread over tasks.
     """
-    rows = in_regions(classes, f.all_pairs + 1).select("region", "size", "cid").join(labels.toDF("cid", "root"), "cid", "left")
-    rows = rows.withColumn("root", F.coalesce("root", "cid"))
+    rows = in_regions(classes, f.all_pairs + 1).select("region", "size", "cid")
+    if labels is None:
+        rows = rows.withColumn("root", F.col("cid"))
+    else:
+        rows = rows.join(labels.toDF("cid", "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     members = rows.groupBy("region", "root").agg(F.count("*").alias("n"))
     mixed = members.groupBy("region").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
     mixed = mixed.select("region", F.col("top.root").alias("largest"), (F.col("n") - F.col("top.n")).alias("n_odd")).where("n_odd > 0")
@@ -190,7 +191,7 @@ def left_over(classes: DataFrame, labels: DataFrame, f: Forest) -> DataFrame:
             a, b = np.nonzero(meet)
             a, b = rows[a, 0], of[b]
             share = (sig[a] == sig[b]).mean(axis=1, dtype=np.float32)
-            ok = share >= f.likely_apart
+            ok = share >= f.likely
             yield cid[a[ok]], cid[b[ok]], share[ok]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -260,40 +261,41 @@ def apply_labels(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     return out.where("ca <> cb")
 
 
-def best_first(cross: DataFrame) -> DataFrame:
-    """One pair for each component: its best to another component; ties are spread by a hash."""
+def best_first(cross: DataFrame, width: int = 1) -> DataFrame:
+    """Up to width pairs for each component: its best to another component, and the best of each of width hashed shares
+    of its pairs; ties are spread by a hash."""
     ends = cross.select("a", "b", F.explode(F.array("ca", "cb")).alias("side"), "score")
     pick = F.struct("score", F.xxhash64("a", "b", "side").alias("h"), "a", "b")
-    return ends.groupBy("side").agg(F.max(pick).alias("x")).select("x.a", "x.b").distinct()
+    share = F.pmod(F.xxhash64("b", "a"), F.lit(width))
+    return ends.groupBy("side", share.alias("share")).agg(F.max(pick).alias("x")).select("x.a", "x.b").distinct()
 
 
 def link_components(docs: DataFrame, classes: DataFrame, f: Forest, rounds: int = 2) -> DataFrame:
     """v, root of classes that are linked to another.
 
-    In each of the first rounds every component tries its best candidate, by which groups of near copies come together;
+    In each of the first rounds every component tries its best candidates, by which groups of near copies come together;
     the last confirms all candidates between components that are left. Then the same is done for the pairs that
-    left_over finds, so that none is lost.
+    left_over finds, in rounds of more and more candidates: a pair is left out only once its ends are in one component.
     """
     links, labels, tested = None, None, None
     for again in (False, True):
         if again:
-            if labels is None:
-                break
-            todo = left_over(classes, labels, f).join(tested, ["a", "b"], "left_anti")
+            todo = left_over(classes, labels, f)
+            if tested is not None:
+                todo = todo.join(tested, ["a", "b"], "left_anti")
         else:
             todo = likely_pairs(candidates(classes, f), classes, f)
         todo = c.materialize(todo.select("a", "b", "score"))
-        turns = 1 if again else rounds
-        for r in range(turns + 1):
+        for width in (1, 8, 64, None) if again else (*[1] * rounds, None):
             cross = c.materialize(apply_labels(todo, labels))
             if not cross.take(1):
                 break
-            tried = c.materialize(best_first(cross)) if r < turns else cross.select("a", "b")
+            tried = c.materialize(best_first(cross, width)) if width else cross.select("a", "b")
             tested = tried if tested is None else tested.unionByName(tried)
             found = c.materialize(confirm(tried, docs, f))
             links = found if links is None else links.unionByName(found)
             labels = components(links)
-            if r < turns:
+            if width:
                 todo = cross.join(tried, ["a", "b"], "left_anti").select("a", "b", "score")
     if labels is None:
         return classes.select(F.col("cid").alias("v"), F.col("cid").alias("root")).limit(0)

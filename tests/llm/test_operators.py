@@ -128,6 +128,22 @@ def test_near_dedup_tries_all_of_a_large_region(spark):
     assert all(x["b"] >= n for x in got) and len(got) == len({(x["a"], x["b"]) for x in got})
 
 
+def test_near_dedup_tries_unlikely_signatures(spark):
+    """A pair of similarity 0.75 whose signatures agree in few minima is tried, also where nothing is linked yet."""
+    signature = lambda t: near_dedup.minima(near_dedup.shingles(t, near_dedup.c.WordHashes())).astype("u1")
+    for seed in range(20_000):
+        base = [f"w{seed}_{i}" for i in range(300)]
+        x = " ".join([*base[:259], *(f"x{seed}_{j}" for j in range(41))])
+        share = (signature(x) == signature(" ".join(base))).mean()
+        if 0.55 <= share < 0.64:
+            break
+    copies = [" ".join(base), *(" ".join([*base[:i], f"e{i}", *base[i + 1 :]]) for i in range(50, 60))]
+    a, b = shingle_sets([copies[0], x])
+    assert 0.55 <= share < 0.64 and 100 * len(a & b) >= 75 * len(a | b)
+    got = near_dedup.left_over(sketched(spark, [*copies, x]), None, near_dedup.Forest()).collect()
+    assert (0, 11) in {(x["a"], x["b"]) for x in got}
+
+
 def test_line_dedup(docs, rows):
     strip = " \t\n\x0b\x0c\r"
     where, lines = defaultdict(list), []
