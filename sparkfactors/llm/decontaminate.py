@@ -274,7 +274,11 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard
         .otherwise(F.struct(F.array_append(s["done"], s["now"]).alias("done"), x.alias("now"))),
         lambda s: F.when(s["now"]["a"].isNull(), s["done"]).otherwise(F.array_append(s["done"], s["now"])),
     )
-    return both.withColumn("spans", joined)
+    found = both.withColumn("spans", joined).withColumnsRenamed({"doc_id": "d", "k": "k0"})
+    # Rows that repeat doc_id and text were one group; each gets its findings back.
+    rows = docs.select("doc_id", c.text_key(F.col("text")).alias("k"))
+    back = rows.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("k") == F.col("k0")))
+    return back.select("doc_id", "k", "n_words", "spans", "items")
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:

@@ -198,6 +198,10 @@ def test_decontaminate(spark, docs, rows):
     blocks = decontaminate.find_overlaps(docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), bench, block_items=2)
     n = {r["doc_id"]: sum(s["b"] - s["a"] for s in r["spans"]) for r in blocks.collect()}
     assert n == {x[0]: x[2] for x in want if x[0] is not None}
+    # A row per row also then, repeated rows and null ids included.
+    every = decontaminate.find_overlaps(docs, bench, block_items=2)
+    got = [(r["doc_id"], r["n_words"], sum(s["b"] - s["a"] for s in r["spans"]), len(r["items"])) for r in every.collect()]
+    assert sorted(got, key=repr) == sorted((x[:4] for x in want), key=repr)
     clean = decontaminate.decontaminate(docs, bench)
     assert clean.columns == docs.columns and clean.count() == docs.count()
     again = decontaminate.contamination_report(clean, bench)
