@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
-CANDIDATE = r"[A-Za-z0-9+/_=-]{16,512}"
+#: Of NAME=value, where the value is long enough by itself, the value.
+CANDIDATE = r"(?:-*[A-Za-z_][A-Za-z0-9_-]*=(?=[A-Za-z0-9+/_-][A-Za-z0-9+/_=-]{15}))?([A-Za-z0-9+/_=-]{16,})"
 #: Names that mark an assigned value as a credential (fixed values).
 KEY_NAMES = r"(?i)(token|secret|passw(or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)"
 ASSIGNED = r"""[=:]["']?$"""
@@ -41,24 +42,33 @@ class Settings:
 
 
 def find_candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, source, at (index of the word), value, lead (of the word, before the value), b2, b1 and a1 (the words
-    before and after)."""
+    """doc_id, source, at (index of the word), nth (of the word's long runs), value, lead (of the word, between the run
+    before and the value), b2, b1 and a1 (the words before and after). A word gives all its runs with a digit."""
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
     rows = docs.select("doc_id", source.alias("source"), F.split(F.coalesce("text", F.lit("")), c.SPACE_RE).alias("w"))
     long = F.filter(F.transform("w", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: (F.length(s["x"]) >= 16) & s["x"].rlike("[0-9]"))
     found = rows.where(F.size(long) > 0).select("doc_id", "source", "w", F.explode(long).alias("s"))
-    value = F.regexp_extract(F.col("s.x"), rf"(?=[^0-9]*[0-9])({CANDIDATE})", 1)
+    word = F.col("s.x")
+    start = F.struct(F.array().cast("array<struct<value:string,lead:string>>").alias("done"), F.lit(1).alias("at"))
+
+    def place(state: Column, value: Column) -> Column:
+        begin = F.call_function("locate", value, word, state["at"])
+        lead = F.substring(word, state["at"], begin - state["at"])
+        return F.struct(F.array_append(state["done"], F.struct(value.alias("value"), lead.alias("lead"))).alias("done"), (begin + F.length(value)).alias("at"))
+
+    runs = F.aggregate(F.regexp_extract_all(word, F.lit(CANDIDATE), F.lit(1)), start, place, lambda state: state["done"])
+    found = found.select("*", F.posexplode(runs).alias("nth", "run"))
     i = F.col("s.i")
     out = found.select(
         "doc_id",
         "source",
         i.alias("at"),
-        value.alias("value"),
-        F.col("s.x").alias("word"),
+        "nth",
+        F.col("run.value").alias("value"),
+        F.col("run.lead").alias("lead"),
         *(F.coalesce(F.get("w", i + j), F.lit("")).alias(name) for name, j in (("b2", -2), ("b1", -1), ("a1", 1))),
     )
-    out = out.where((F.col("value") != "") & F.col("value").rlike("[0-9]"))
-    return out.withColumn("lead", F.expr("substring(word, 1, locate(value, word) - 1)")).drop("word")
+    return out.where(F.col("value").rlike("[0-9]"))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -126,11 +136,11 @@ def place_features(found: DataFrame, labelled: DataFrame, settings: Settings) ->
 
 
 def label_by_assignment(found: DataFrame) -> DataFrame:
-    """doc_id, at, label of findings whose place settles them: 1 if assigned to a credential's name, 0 if nothing is
+    """doc_id, at, nth, label of findings whose place settles them: 1 if assigned to a credential's name, 0 if nothing is
     assigned and no such name is near. The rest has no label."""
     before = F.concat_ws(" ", "b2", "b1", "lead")
     named, assigned = before.rlike(KEY_NAMES), before.rlike(r"""[=:]\s*["']?$""")
-    return found.select("doc_id", "at", F.when(named & assigned, 1e0).when(~named & ~assigned, 0e0).alias("label")).where("label IS NOT NULL")
+    return found.select("doc_id", "at", "nth", F.when(named & assigned, 1e0).when(~named & ~assigned, 0e0).alias("label")).where("label IS NOT NULL")
 
 
 def scan_secrets(docs: DataFrame, labels: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
@@ -143,19 +153,21 @@ def scan_secrets(docs: DataFrame, labels: DataFrame | None = None, settings: Set
     """
     found = c.materialize(find_candidates(docs))
     labels = labels if labels is not None else label_by_assignment(found)
-    labels = labels.dropDuplicates(["doc_id", "at"])
-    known = found.join(labels, ["doc_id", "at"]).select("doc_id", "at", "value", "source", "label")
-    few = c.materialize(known.orderBy(F.xxhash64("value", "doc_id", "at"), "doc_id", "at").limit(settings.most_labelled))
+    # Reviewed labels are of a word, so of each finding in it.
+    keys = [x for x in ("doc_id", "at", "nth") if x in labels.columns]
+    labels = labels.dropDuplicates(keys)
+    known = found.join(labels, keys).select("doc_id", "at", "nth", "value", "source", "label")
+    few = c.materialize(known.orderBy(F.xxhash64("value", "doc_id", "at"), "doc_id", "at", "nth").limit(settings.most_labelled))
     digest = F.sha2("value", 256).alias("value_sha256")
     if few.select("label").distinct().count() < 2:
         return found.select("doc_id", "at", digest, F.lit(None).cast("double").alias("score"), F.lit(True).alias("is_secret"))
     words = c.materialize(word_counts(docs).where("n > 1"))
     strings = string_features(found.select("value").distinct(), words, settings)
-    rows = c.materialize(place_features(found, few, settings).join(strings, "value").select("doc_id", "at", "value", *FEATURES))
+    rows = c.materialize(place_features(found, few, settings).join(strings, "value").select("doc_id", "at", "nth", "value", *FEATURES))
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
     # Bounded by most_labelled; one sorted partition, so that the fit doesn't depend on how rows were dealt.
-    train = ready.join(few.select("doc_id", "at", "value", "label").distinct(), ["doc_id", "at", "value"]).select("features", "label", "doc_id", "at")
-    train = train.coalesce(1).sortWithinPartitions("doc_id", "at")
+    train = ready.join(few.select("doc_id", "at", "nth", "value", "label").distinct(), ["doc_id", "at", "nth", "value"]).select("features", "label", "doc_id", "at", "nth")
+    train = train.coalesce(1).sortWithinPartitions("doc_id", "at", "nth")
     forest = RandomForestClassifier(numTrees=settings.trees, maxDepth=settings.depth, seed=7, featureSubsetStrategy="sqrt").fit(train)
     score = F.round(vector_to_array("probability")[1], 6)
     out = forest.transform(ready).withColumn("score", score)

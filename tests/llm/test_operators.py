@@ -362,6 +362,21 @@ def test_secrets_held_out(spark):
     assert secret_scan.scan_secrets(d.limit(0)).count() == 0
 
 
+def test_secrets_all_of_a_word(spark):
+    """All runs of a word, of any length, with their own lead; a digit elsewhere in the word is none of the run's."""
+    a, b, long = "a1" * 10, "b2" * 10, "Zz9/" * 300
+    texts = [f'x {{"token":"{a}","id":"{b}"}} y', long, "my-long-hostname-here.example.com/ABCDEF0123456789abcdef", f"AWS_SECRET_ACCESS_KEY={a}", f"?q=1&auth={a}&n={a}", f"{a}=="]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = secret_scan.find_candidates(d)
+    assert sorted((x["doc_id"], x["lead"], x["value"]) for x in found.collect()) == [
+        (0, '","id":"', b), (0, '{"token":"', a), (1, "", long), (2, ".example.", "com/ABCDEF0123456789abcdef"),
+        (3, "AWS_SECRET_ACCESS_KEY=", a), (4, "&n=", a), (4, "?q=1&auth=", a), (5, "", a + "=="),
+    ]
+    labels = {(x["doc_id"], x["nth"]): x["label"] for x in secret_scan.label_by_assignment(found).collect()}
+    assert labels[3, 0] == 1 and labels[0, 0] == 1 and (0, 1) not in labels
+    assert secret_scan.scan_secrets(d).count() == 8
+
+
 def test_url_filter(spark):
     urls = [None, "no scheme", "HTTP://A.Example.COM/en/7x?q#f", "x://y://z/en/", "http://b.org/es/1", "http://c.net#/de/", "http://c.net/de/81", "http://example.net/de/81/", "http://com/en/9", "http://xcom/en/9", "http://é.com/en/\n8"]
     d = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls + urls)], "page_id long, url string, host string")
