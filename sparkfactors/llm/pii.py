@@ -108,20 +108,29 @@ _VALUE = {name: str(i) for i, name in enumerate(_NAMES)} | {"oh": "0"}
 _NUMBER = "(?:" + "|".join(_VALUE) + ")"
 #: At least four digits in words, or digits and words mixed, one after the other.
 _SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:{_NUMBER}|[0-9])(?:[ \t-]{{1,2}}(?:{_NUMBER}|[0-9]{{1,4}})){{3,}}+(?![A-Za-z0-9])", re.I)
-_SPELLED_HINT = re.compile(rf"(?<![A-Za-z]){_NUMBER}[ \t-]{{1,2}}(?:{_NUMBER}|[0-9])", re.I)
+_SPELLED_HINT = re.compile(rf"(?<![A-Za-z]){_NUMBER}[ \t-]{{1,2}}(?:{_NUMBER}|[0-9])|[0-9][ \t-]{{1,2}}{_NUMBER}", re.I)
 _TOKEN = re.compile(rf"{_NUMBER}|[0-9]", re.I)
 _PLUS = re.compile(r"(?<![A-Za-z0-9])plus[ \t]{1,2}(?=[0-9])", re.I)
 _BRACKETED = re.compile(r"[ \t]{0,2}[\[({<][ \t]{0,2}(at|dot|@|\.)[ \t]{0,2}[\])}>][ \t]{0,2}", re.I)
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})"
 _DOT = r"(?:[ \t]{1,2}dot[ \t]{1,2}|\.)"
 _AT = r"(?:[ \t]{1,2}at[ \t]{1,2}|@)"
-#: name at host dot end, where end is a common last label, so that plain prose isn't taken for an address.
+#: Last labels, fixed values: those of countries and common others.
+_ENDS = (
+    "com|org|net|edu|gov|mil|int|info|biz|pro|app|dev|xyz|site|shop|store|tech|cloud|blog|email|club|aero|coop|jobs|mobi|museum|asia|tel|"
+    "a[cdefgilmoqrstuwxz]|b[abdefghijmnorstvwyz]|c[acdfghiklmnoruvwxyz]|d[ejkmoz]|e[cegrstu]|f[ijkmor]|g[abdefghilmnpqrstuwy]|h[kmnrtu]|"
+    "i[delmnoqrst]|j[emop]|k[eghimnprwyz]|l[abcikrstuvy]|m[acdeghklmnopqrstuvwxyz]|n[acefgilopruz]|om|p[aefghklmnrstwy]|qa|r[eosuw]|"
+    "s[abcdeghijklmnorstuvxyz]|t[cdfghjklmnortvwz]|u[agksyz]|v[aceginu]|w[fs]|y[et]|z[amw]"
+)
+_NO_HOST = r"(?!(?:the|an?|this|that|my|your|our|his|her|its|their|each|every|which)[ \t]{1,2}dot[ \t]{1,2}(?!(?:com|org|net|edu|gov|info|io|co|de|fr|es|uk|eu)(?![A-Za-z0-9-])))"
+#: name at host dot end, where end is such a label and, before labels that may be words, host is no article or the like,
+#: so that plain prose isn't taken for an address.
 _WORDED = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{{1,64}}(?:{_DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,3}}{_AT}{_LABEL}(?:{_DOT}{_LABEL}){{0,4}}?{_DOT}"
-    r"(?:com|org|net|edu|gov|info|io|co|de|fr|es|uk|eu)(?![A-Za-z0-9-])",
+    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{{1,64}}(?:{_DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,3}}{_AT}{_NO_HOST}{_LABEL}(?:{_DOT}{_LABEL}){{0,4}}?{_DOT}"
+    rf"(?:{_ENDS})(?![A-Za-z0-9-])",
     re.I,
 )
-_WORDED_HINT = re.compile(r"[ \t]dot[ \t]|[ \t]at[ \t][A-Za-z0-9-]+\.|@[A-Za-z0-9-]+[ \t]dot", re.I)
+_WORDED_HINT = re.compile(r"[ \t]dot[ \t]|[ \t]at[ \t]{1,2}[A-Za-z0-9-]+\.|@[A-Za-z0-9-]+[ \t]dot", re.I)
 _AT_OR_DOT = re.compile(r"[ \t]{1,2}(at|dot)[ \t]{1,2}", re.I)
 _NUMBER_DOT = re.compile(r"(?<=[0-9])[ \t]{1,2}(?:dot|point)[ \t]{1,2}(?=[0-9])", re.I)
 _SPELLED_OCTETS = re.compile(rf"(?<![A-Za-z0-9])(?:(?:{_NUMBER}|[0-9]+)[ \t]+){{1,3}}dot(?:[ \t]+(?:{_NUMBER}|[0-9]+)){{1,3}}(?:[ \t]+dot(?:[ \t]+(?:{_NUMBER}|[0-9]+)){{1,3}}){{2}}(?![A-Za-z0-9])", re.I)
@@ -170,11 +179,11 @@ def _octets(m: re.Match) -> str:
 
 
 def deobfuscate(text: str) -> Mapped | None:
-    """The rewritten text, None if there is no disguise in it."""
+    """The rewritten text, None if there is no disguise in it. What any transducer can rewrite is hinted at."""
     has_odd = not text.isascii() and _ODD.search(text)
     has_spelled = _SPELLED_HINT.search(text)
     has_worded = _WORDED_HINT.search(text)
-    if not (has_odd or has_spelled or has_worded or _BRACKETED.search(text)):
+    if not (has_odd or has_spelled or has_worded or _BRACKETED.search(text) or _PLUS.search(text) or _NUMBER_DOT.search(text)):
         return None
     m = Mapped(text)
     if has_odd:
