@@ -72,6 +72,16 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
 
 
+def id_columns() -> list[Column]:
+    """doc_id without nulls, and no_id where it was null: pandas would turn long ids beside a null into floats."""
+    return [F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().alias("no_id")]
+
+
+def with_id(df: DataFrame) -> DataFrame:
+    """df with its doc_id null again where no_id says so."""
+    return df.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes); forgets all when it holds `most`, so that its memory is bounded."""
 

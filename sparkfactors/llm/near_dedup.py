@@ -4,10 +4,13 @@ A document's set is its distinct word shingles. Documents with equal sets are on
 signature of minima; a tree of the forest is the classes in the order of the signature read from one of TREES places
 on. Neighbours in that order with a longest common prefix of at least DEPTH minima are candidates; regions (classes
 with the same DEPTH minima) of few classes give all their pairs, larger ones are ordered by deeper prefixes and give
-the nearest neighbours, and regions beyond `split_at` are parted at a depth that grows with their size. Candidates whose
-signatures agree enough are confirmed on the full sets, best first, so that inside a group of many near copies a few
-links a document connect it; then all candidates left between different components are confirmed. In large regions that
-are still not one component, all pairs across components are compared by signature and confirmed likewise.
+the nearest neighbours, so that their number grows with the classes alone. Those whose signatures agree enough are
+confirmed on the full sets.
+
+Larger regions that are then one component are done. In the others every class outside the largest component is held
+against all of the region on the full sets, inside tasks that keep track of what is linked already: they put out no
+pairs but the links that join components, fewer than there are classes. Regions too large for one block are replaced
+by those of a second forest, twice as deep and with as many more trees as that takes to miss no more pairs.
 """
 
 from __future__ import annotations
@@ -24,18 +27,28 @@ from pyspark.sql import functions as F
 from . import common as c
 from .components import components
 
+#: A pair of similarity 0.75 shares a region in some tree but for a chance of (1 - 0.75 ** DEPTH) ** TREES, 5e-6.
 TREES, DEPTH = 32, 4
 N_MINIMA = TREES * DEPTH
-_rng = np.random.Generator(np.random.PCG64(20))
-_A = _rng.integers(1, 2**63, N_MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 2**63, N_MINIMA, dtype=np.uint64)
+#: The same of the second forest: 3e-6.
+DEEP_TREES, DEEP_DEPTH = 120, 8
+
+
+def _functions(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and summands of n hash functions."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    return rng.integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, n, dtype=np.uint64)
+
+
+_PLAIN, _DEEP = _functions(N_MINIMA, 20), _functions(DEEP_TREES * DEEP_DEPTH, 21)
 
 
 @dataclass(frozen=True)
 class Forest:
     """k: words in a shingle. percent: least similarity. likely: least share of agreeing minima to confirm a candidate
-    (five standard deviations below percent). all_pairs: regions up to this size give all pairs. near: neighbours taken
-    in larger ones. split_at: size at which a region is parted by deeper prefixes."""
+    (five standard deviations below percent; a pair of similarity 0.75 falls short with a chance of 4e-7). all_pairs:
+    regions up to this size give all pairs. near: neighbours taken in larger ones. split_at: size at which a region's
+    order is parted. block: work that one side of a comparison in a task may hold, in shingles and 512 a class."""
 
     k: int = 5
     percent: int = 75
@@ -43,6 +56,7 @@ class Forest:
     all_pairs: int = 6
     near: int = 3
     split_at: int = 2048
+    block: int = 1 << 20
 
 
 def shingles(text: str | None, hashes: c.WordHashes, k: int = 5) -> np.ndarray:
@@ -56,32 +70,39 @@ def shingles(text: str | None, hashes: c.WordHashes, k: int = 5) -> np.ndarray:
     return np.unique(c.windows(h, k))
 
 
-def minima(s: np.ndarray) -> np.ndarray:
-    """The least of each of N_MINIMA hash functions over s, as 32 bits."""
-    out = np.full(N_MINIMA, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(s), 2048):
-        np.minimum(out, (s[i : i + 2048, None] * _A + _B).min(axis=0), out=out)
+def minima(s: np.ndarray, functions: tuple[np.ndarray, np.ndarray] = _PLAIN) -> np.ndarray:
+    """The least of each hash function over s, as 32 bits."""
+    a, b = functions
+    out, step = np.full(len(a), np.iinfo(np.uint64).max, np.uint64), 2**18 // len(a)
+    for i in range(0, len(s), step):
+        np.minimum(out, (s[i : i + step, None] * a + b).min(axis=0), out=out)
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
+def region_keys(own: np.ndarray) -> np.ndarray:
+    """Of each row of own, a tree's minima, the hash of tree and minima."""
+    region = np.arange(len(own), dtype=np.uint64)
+    for j in range(own.shape[1]):
+        region = c.mix(region * np.uint64(0x9E3779B97F4A7C15) + own[:, j])
+    return region.view(np.int64)
+
+
 def tree_keys(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each tree: the hash of its region (its first DEPTH minima) and the next DEPTH minima, 16 bits each, so that
     the order of these numbers is the order of the prefixes."""
     own = m.reshape(TREES, DEPTH).astype(np.uint64)
-    region = np.arange(TREES, dtype=np.uint64)
-    for j in range(DEPTH):
-        region = c.mix(region * np.uint64(0x9E3779B97F4A7C15) + own[:, j])
     deeper, next_own = np.zeros(TREES, np.uint64), np.roll(own, -1, axis=0)
     for j in range(DEPTH):
         deeper = (deeper << np.uint64(16)) | (next_own[:, j] >> np.uint64(16))
-    return region.view(np.int64), deeper.view(np.int64)
+    return region_keys(own), deeper.view(np.int64)
 
 
-SKETCH = "doc_id long, n_shingles long, f1 long, f2 long, regions array<long>, deeper array<long>, sig binary"
+SKETCH = "doc_id long, no_id boolean, k long, n_shingles long, f1 long, f2 long, regions array<long>, deeper array<long>, sig binary"
 
 
 def sketch(docs: DataFrame, k: int) -> DataFrame:
-    """SKETCH of each row; f1, f2: a fingerprint of the set; sig: the low byte of each minimum."""
+    """Of each row doc_id, k (a key of the text), n_shingles, f1 and f2 (a fingerprint of the set), regions, deeper and
+    sig (the low byte of each minimum)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = c.WordHashes()
@@ -99,17 +120,16 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                 rows.append((len(s), f1, f2, region, deeper, m.astype(np.uint8).tobytes()))
             out = pd.DataFrame(rows, columns=["n_shingles", "f1", "f2", "regions", "deeper", "sig"])
             out["f1"], out["f2"] = out["f1"].astype("Int64"), out["f2"].astype("Int64")
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").array)
-            yield out
+            yield pd.concat([batch[["doc_id", "no_id", "k"]].reset_index(drop=True), out], axis=1)
 
-    return docs.select("doc_id", "text").mapInPandas(run, SKETCH)
+    rows = docs.select(*c.id_columns(), c.text_key(F.col("text")).alias("k"), "text")
+    return c.with_id(rows.mapInPandas(run, SKETCH))
 
 
 def in_regions(classes: DataFrame, least: int = 2) -> DataFrame:
-    """cid, region, deeper, size of each class in each tree, for regions of at least `least` classes."""
-    rows = classes.select("cid", F.arrays_zip("regions", "deeper").alias("z")).select("cid", F.explode("z").alias("z")).select(
-        "cid", F.col("z.regions").alias("region"), F.col("z.deeper").alias("deeper")
-    )
+    """cid, n_shingles, region, deeper, size of each class in each tree, for regions of at least `least` classes."""
+    rows = classes.select("cid", "n_shingles", F.explode(F.arrays_zip("regions", "deeper")).alias("z"))
+    rows = rows.select("cid", "n_shingles", F.col("z.regions").alias("region"), F.col("z.deeper").alias("deeper"))
     sizes = rows.groupBy("region").agg(F.count("*").alias("size")).where(F.col("size") >= least)
     return rows.join(sizes, "region")
 
@@ -118,7 +138,7 @@ def forest(classes: DataFrame, f: Forest) -> DataFrame:
     """cid, region, deeper, size, part of each class in each tree.
 
     A region over split_at is parted by its next minima, then by the class's hash in this tree: trees part it
-    differently, so that together they connect most of it; left_over compares what lies in different parts.
+    differently, so that together they connect most of it; link_regions compares what lies in different parts.
     """
     rows = in_regions(classes)
     depth = F.when(F.col("size") <= f.split_at, F.lit(0)).when(F.col("size") <= 16 * f.split_at, 16).otherwise(32)
@@ -134,89 +154,19 @@ def forest(classes: DataFrame, f: Forest) -> DataFrame:
 
 
 def candidates(classes: DataFrame, f: Forest) -> DataFrame:
-    """a < b (class ids), score: pairs that are neighbours in some tree, with the longest prefix they share (in minima
-    beyond the region's, plus the number of trees)."""
+    """a < b (class ids): pairs that are neighbours in some tree."""
     rows = forest(classes, f)
     order = Window.partitionBy("region", "part").orderBy("deeper", "cid")
     steps = max(f.all_pairs - 1, f.near)
-    ahead = F.array(*(F.struct(F.lead("cid", j).over(order).alias("o"), F.lead("deeper", j).over(order).alias("d"), F.lit(j).alias("j")) for j in range(1, steps + 1)))
-    near = rows.withColumn("ahead", ahead).select("cid", "deeper", "size", F.explode("ahead").alias("x")).where(F.col("x.o").isNotNull())
+    ahead = F.array(*(F.struct(F.lead("cid", j).over(order).alias("o"), F.lit(j).alias("j")) for j in range(1, steps + 1)))
+    near = rows.withColumn("ahead", ahead).select("cid", "size", F.explode("ahead").alias("x")).where(F.col("x.o").isNotNull())
     near = near.where((F.col("size") <= f.all_pairs) | (F.col("x.j") <= f.near))
-    differ = F.col("deeper").bitwiseXOR(F.col("x.d"))
-    lcp = F.when(differ == 0, 4).when(F.shiftrightunsigned(differ, 16) == 0, 3).when(F.shiftrightunsigned(differ, 32) == 0, 2).when(F.shiftrightunsigned(differ, 48) == 0, 1).otherwise(0)
-    pairs = near.select(F.least("cid", "x.o").alias("a"), F.greatest("cid", "x.o").alias("b"), lcp.alias("lcp"))
-    return pairs.where("a <> b").groupBy("a", "b").agg((F.sum("lcp") + F.count("*")).alias("score"))
-
-
-def left_over(classes: DataFrame, labels: DataFrame | None, f: Forest) -> DataFrame:
-    """a < b, score: pairs of different components in the larger regions whose signatures agree enough.
-
-    After the neighbours have been confirmed most regions are one component and drop out. In the others the classes
-    outside the largest component are held against all of the region by signature, so no likely pair of a region is
-    left untried, however large it is. Both sides are dealt to blocks of about split_at classes and each pair of blocks
-    is compared by itself, so a hot region is spread over tasks.
-    """
-    rows = in_regions(classes, f.all_pairs + 1).select("region", "size", "cid")
-    if labels is None:
-        rows = rows.withColumn("root", F.col("cid"))
-    else:
-        rows = rows.join(labels.toDF("cid", "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    members = rows.groupBy("region", "root").agg(F.count("*").alias("n"))
-    mixed = members.groupBy("region").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
-    mixed = mixed.select("region", F.col("top.root").alias("largest"), (F.col("n") - F.col("top.n")).alias("n_odd")).where("n_odd > 0")
-    rows = rows.join(mixed, "region").join(classes.select("cid", "n_shingles", "sig"), "cid")
-    # x: block of classes outside the largest component, y: block of all classes. A class is held against others where
-    # it is `left`, and others against it where it is `right`; each pair meets once.
-    odd = F.col("root") != F.col("largest")
-    nx, ny = (F.ceil(F.col(n) / f.split_at) for n in ("n_odd", "size"))
-    own = F.xxhash64("region", "cid")
-    x, y = F.pmod(own, nx), F.pmod(own, ny)
-    place = lambda x, y, left, right: F.struct(x.alias("x"), y.alias("y"), left.alias("left"), right.alias("right"))
-    to_all = F.transform(F.sequence(F.lit(0).cast("long"), nx - 1), lambda i: place(i, y, odd & (i == x), F.lit(True)))
-    others = F.filter(F.sequence(F.lit(0).cast("long"), ny - 1), lambda j: odd & (j != y))
-    places = F.concat(to_all, F.transform(others, lambda j: place(x, j, F.lit(True), F.lit(False))))
-    rows = rows.select("region", "cid", "root", "largest", "n_shingles", "sig", F.explode(places).alias("at"))
-    rows = rows.select("region", "at.*", "cid", "root", "largest", "n_shingles", "sig")
-
-    def within(g: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        sig = np.frombuffer(b"".join(g["sig"]), np.uint8).reshape(len(g), N_MINIMA)
-        cid, root, n = (g[x].to_numpy() for x in ("cid", "root", "n_shingles"))
-        odd, of = np.flatnonzero(g["left"]), np.flatnonzero(g["right"])
-        largest, step = g["largest"].iat[0], max(1, 30_000 // max(1, len(of)))
-        for i in range(0, len(odd) if len(of) else 0, step):
-            rows = odd[i : i + step, None]
-            # Two classes outside the largest component meet once. Sets of too different sizes can't be similar enough.
-            meet = (root[rows] != root[of]) & ((root[of] == largest) | (cid[of] > cid[rows]))
-            meet &= 100 * np.minimum(n[rows], n[of]) >= f.percent * np.maximum(n[rows], n[of])
-            a, b = np.nonzero(meet)
-            a, b = rows[a, 0], of[b]
-            share = (sig[a] == sig[b]).mean(axis=1, dtype=np.float32)
-            ok = share >= f.likely
-            yield cid[a[ok]], cid[b[ok]], share[ok]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for batch in batches:
-            g = batch if rest is None else pd.concat([rest, batch])
-            key = g[["region", "x", "y"]].to_numpy()
-            starts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist()]
-            for a, b in zip(starts, starts[1:], strict=False):
-                yield from map(frame, within(g.iloc[a:b]))
-            rest = g.iloc[starts[-1] :]
-        if rest is not None and len(rest):
-            yield from map(frame, within(rest))
-
-    def frame(found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pd.DataFrame:
-        x, y, score = found
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "score": score.astype(float)})
-
-    order = ("region", "x", "y")
-    found = rows.repartition(*order).sortWithinPartitions(*order, "cid").mapInPandas(run, "a long, b long, score double")
-    return found.groupBy("a", "b").agg(F.max("score").alias("score"))
+    pairs = near.select(F.least("cid", "x.o").alias("a"), F.greatest("cid", "x.o").alias("b"))
+    return pairs.where("a <> b").distinct()
 
 
 def likely_pairs(pairs: DataFrame, classes: DataFrame, f: Forest) -> DataFrame:
-    """Those of pairs whose signatures agree in at least f.likely of the minima; score becomes that share."""
+    """Those of pairs whose signatures agree in at least f.likely of the minima."""
     sig = classes.select("cid", "sig")
     both = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
 
@@ -224,91 +174,174 @@ def likely_pairs(pairs: DataFrame, classes: DataFrame, f: Forest) -> DataFrame:
         for p in batches:
             if len(p):
                 x, y = (np.frombuffer(b"".join(p[s]), np.uint8).reshape(len(p), N_MINIMA) for s in ("sa", "sb"))
-                share = (x == y).mean(axis=1)
-                yield p[["a", "b"]].assign(score=share)[share >= f.likely]
+                yield p.loc[np.count_nonzero(x == y, axis=1) >= f.likely * N_MINIMA, ["a", "b"]]
 
-    return both.mapInPandas(run, "a long, b long, score double")
+    return both.mapInPandas(run, "a long, b long")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, f: Forest) -> DataFrame:
-    """Those of pairs (a, b) whose full sets are similar enough. Rows of docs that no pair names are not shuffled."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(named, "doc_id", "left_semi")
-    both = pairs.select("a", "b").join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
+def shingle_sets(docs: DataFrame, named: DataFrame, k: int) -> DataFrame:
+    """cid, n_shingles, sig, s (the set) of the documents whose ids are among the cid of named. Others are not shuffled."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = c.WordHashes()
+        for batch in batches:
+            sets = [shingles(t, hashes, k) for t in batch["text"]]
+            sig = [minima(s).astype(np.uint8).tobytes() for s in sets]
+            yield pd.DataFrame({"cid": batch["doc_id"], "n_shingles": [len(s) for s in sets], "sig": sig, "s": [s.tobytes() for s in sets]})
+
+    rows = docs.select("doc_id", "text", c.text_key(F.col("text")).alias("k")).where("doc_id IS NOT NULL")
+    rows = rows.join(named.select(F.col("cid").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "k"])
+    return rows.select("doc_id", "text").mapInPandas(run, "cid long, n_shingles long, sig binary, s binary").where("n_shingles > 0")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, f: Forest) -> DataFrame:
+    """Those of pairs (a, b) whose full sets are similar enough."""
+    s = sets.select("cid", "s")
+    both = pairs.select("a", "b").join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            ok, last, x = [], None, None
-            for ta, tb in zip(p["ta"], p["tb"], strict=True):
-                y = shingles(tb, hashes, f.k)
-                if ta is not last:
-                    x, last = shingles(ta, hashes, f.k), ta
+            ok = []
+            for sa, sb in zip(p["sa"], p["sb"], strict=True):
+                x, y = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(common > 0 and 100 * common >= f.percent * (len(x) + len(y) - common))
+                ok.append(100 * common >= f.percent * (len(x) + len(y) - common))
             yield p.loc[ok, ["a", "b"]]
 
     return both.mapInPandas(run, "a long, b long")
 
 
-def apply_labels(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+def apply_labels(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """pairs with ca, cb: the components of a and b so far; only those where these differ."""
-    if labels is None:
-        return pairs.withColumns({"ca": F.col("a"), "cb": F.col("b")})
-    la, lb = labels.toDF("a", "ra"), labels.toDF("b", "rb")
-    out = pairs.join(la, "a", "left").join(lb, "b", "left")
+    out = pairs.join(labels.toDF("a", "ra"), "a", "left").join(labels.toDF("b", "rb"), "b", "left")
     out = out.withColumns({"ca": F.coalesce("ra", "a"), "cb": F.coalesce("rb", "b")}).drop("ra", "rb")
     return out.where("ca <> cb")
 
 
-def best_first(cross: DataFrame, width: int = 1) -> DataFrame:
-    """Up to width pairs for each component: its best to another component, and the best of each of width hashed shares
-    of its pairs; ties are spread by a hash."""
-    ends = cross.select("a", "b", F.explode(F.array("ca", "cb")).alias("side"), "score")
-    pick = F.struct("score", F.xxhash64("a", "b", "side").alias("h"), "a", "b")
-    share = F.pmod(F.xxhash64("b", "a"), F.lit(width))
-    return ends.groupBy("side", share.alias("share")).agg(F.max(pick).alias("x")).select("x.a", "x.b").distinct()
+def mixed_regions(rows: DataFrame, labels: DataFrame, f: Forest) -> DataFrame:
+    """Of rows (region, cid, n_shingles) those in regions of more than one component, with root (the component), largest
+    (the root of the region's largest component), nx and ny: how many blocks the classes outside it, and all, make."""
+    rows = rows.select("region", "cid", "n_shingles").join(labels.toDF("cid", "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    members = rows.groupBy("region", "root").agg(F.count("*").alias("n"), F.sum(F.col("n_shingles") + 512).alias("w"))
+    regions = members.groupBy("region").agg(F.max(F.struct("n", "root", "w")).alias("top"), F.sum("w").alias("w"), F.count("*").alias("n_roots")).where("n_roots > 1")
+    blocks = lambda w: F.ceil(w / f.block)
+    regions = regions.select("region", F.col("top.root").alias("largest"), blocks(F.col("w") - F.col("top.w")).alias("nx"), blocks(F.col("w")).alias("ny"))
+    return rows.join(regions, "region").select("region", "cid", "root", "largest", "nx", "ny")
 
 
-def link_components(docs: DataFrame, classes: DataFrame, f: Forest, rounds: int = 2) -> DataFrame:
-    """v, root of classes that are linked to another.
+def deep_regions(named: DataFrame, sets: DataFrame) -> DataFrame:
+    """region, cid, n_shingles of the classes named (cid) in each tree of the second forest, for regions of two or more."""
 
-    In each of the first rounds every component tries its best candidates, by which groups of near copies come together;
-    the last confirms all candidates between components that are left. Then the same is done for the pairs that
-    left_over finds, in rounds of more and more candidates: a pair is left out only once its ends are in one component.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            own = [minima(np.frombuffer(s, np.uint64), _DEEP).reshape(DEEP_TREES, DEEP_DEPTH).astype(np.uint64) for s in p["s"]]
+            yield p[["cid", "n_shingles"]].assign(regions=[region_keys(x) for x in own])
+
+    keys = sets.join(named, "cid", "left_semi").select("cid", "n_shingles", "s").mapInPandas(run, "cid long, n_shingles long, regions array<long>")
+    rows = c.materialize(keys).select("cid", "n_shingles", F.explode("regions").alias("region"))
+    return rows.join(rows.groupBy("region").count().where("count > 1").select("region"), "region")
+
+
+def local_links(g: pd.DataFrame, f: Forest) -> tuple[list[int], list[int]]:
+    """Pairs of classes similar enough that join components of g's rows: those of a class that is `left` and one that is
+    `right`, of which one is outside the largest component. Pairs of what is linked already are not tested."""
+    cid, n, left = (g[x].to_numpy() for x in ("cid", "n_shingles", "left"))
+    sig = np.frombuffer(b"".join(g["sig"]), np.uint8).reshape(len(g), N_MINIMA)
+    first = np.cumsum(n) - n
+    words, codes = np.unique(np.frombuffer(b"".join(g["s"]), np.uint64), return_inverse=True)
+    label = np.unique(g["root"].to_numpy(), return_inverse=True)[1]
+    outside, right, mine = (g["root"] != g["largest"]).to_numpy(), g["right"].to_numpy(), np.zeros(len(words), bool)
+    a, b = [], []
+    for i in np.flatnonzero(left):
+        # Two classes outside the largest component meet once. Sets of too different sizes can't be similar enough.
+        meet = right & (label != label[i]) & (~outside | (cid > cid[i])) & (100 * np.minimum(n, n[i]) >= f.percent * np.maximum(n, n[i]))
+        j = np.flatnonzero(meet)
+        j = j[np.count_nonzero(sig[j] == sig[i], axis=1) >= f.likely * N_MINIMA]
+        if not len(j):
+            continue
+        mine[codes[first[i] : first[i] + n[i]]] = True
+        start = np.cumsum(n[j]) - n[j]
+        common = np.add.reduceat(mine[codes[np.repeat(first[j] - start, n[j]) + np.arange(n[j].sum())]], start, dtype=np.int64)
+        mine[codes[first[i] : first[i] + n[i]]] = False
+        for k in j[100 * common >= f.percent * (n[i] + n[j] - common)]:
+            if label[k] != label[i]:
+                label[label == label[k]] = label[i]
+                a.append(min(cid[i], cid[k]))
+                b.append(max(cid[i], cid[k]))
+    return a, b
+
+
+def link_regions(rows: DataFrame, sets: DataFrame, f: Forest) -> DataFrame:
+    """a < b: links that join components, from the rows of mixed_regions.
+
+    The classes outside the largest component are held against all of their region. Both sides are dealt to blocks of
+    about f.block, and each pair of blocks is compared by itself, so a hot region is spread over tasks.
     """
-    links, labels, tested = None, None, None
-    for again in (False, True):
-        if again:
-            todo = left_over(classes, labels, f)
-            if tested is not None:
-                todo = todo.join(tested, ["a", "b"], "left_anti")
-        else:
-            todo = likely_pairs(candidates(classes, f), classes, f)
-        todo = c.materialize(todo.select("a", "b", "score"))
-        for width in (1, 8, 64, None) if again else (*[1] * rounds, None):
-            cross = c.materialize(apply_labels(todo, labels))
-            if not cross.take(1):
-                break
-            tried = c.materialize(best_first(cross, width)) if width else cross.select("a", "b")
-            tested = tried if tested is None else tested.unionByName(tried)
-            found = c.materialize(confirm(tried, docs, f))
-            links = found if links is None else links.unionByName(found)
-            labels = components(links)
-            if width:
-                todo = cross.join(tried, ["a", "b"], "left_anti").select("a", "b", "score")
-    if labels is None:
-        return classes.select(F.col("cid").alias("v"), F.col("cid").alias("root")).limit(0)
-    return labels
+    # x: block of classes outside the largest component, y: block of all. A class is held against others where it is
+    # `left`, and others against it where it is `right`; each pair meets once.
+    odd = F.col("root") != F.col("largest")
+    own = F.xxhash64("region", "cid")
+    x, y = F.pmod(own, F.col("nx")), F.pmod(own, F.col("ny"))
+    place = lambda x, y, left, right: F.struct(x.alias("x"), y.alias("y"), left.alias("left"), right.alias("right"))
+    to_all = F.transform(F.sequence(F.lit(0).cast("long"), F.col("nx") - 1), lambda i: place(i, y, odd & (i == x), F.lit(True)))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("ny") - 1), lambda j: odd & (j != y))
+    places = F.concat(to_all, F.transform(others, lambda j: place(x, j, F.lit(True), F.lit(False))))
+    rows = rows.select("region", "cid", "root", "largest", F.explode(places).alias("at")).select("region", "at.*", "cid", "root", "largest")
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: list[pd.DataFrame] = []
+        last = None
+        for batch in batches:
+            key = batch[["region", "x", "y"]].to_numpy()
+            starts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
+            a, b = [], []
+            for i, j in zip(starts, starts[1:], strict=False):
+                if rest and i < j and tuple(key[i]) != last:
+                    found = local_links(pd.concat(rest), f)
+                    rest, a, b = [], a + found[0], b + found[1]
+                if i < j:
+                    rest.append(batch.iloc[i:j])
+                    last = tuple(key[i])
+            yield pd.DataFrame({"a": a, "b": b}, dtype="int64")
+        if rest:
+            a, b = local_links(pd.concat(rest), f)
+            yield pd.DataFrame({"a": a, "b": b}, dtype="int64")
 
-def near_components(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
-    """A row per row of docs: doc_id, n_shingles, component_id (least doc_id reachable), kept (doc_id = component_id).
+    order = ("region", "x", "y")
+    return rows.join(sets, "cid").repartition(*order).sortWithinPartitions(*order, "cid").mapInPandas(run, "a long, b long")
+
+
+def link_components(docs: DataFrame, classes: DataFrame, f: Forest) -> DataFrame:
+    """v, root of classes that are linked to another: neighbours of the forest first, then what is left in large regions."""
+    pairs = c.materialize(likely_pairs(candidates(classes, f), classes, f))
+    large = c.materialize(in_regions(classes, f.all_pairs + 1).select("region", "cid", "n_shingles"))
+    named = pairs.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(large.select("cid")).distinct()
+    sets = c.materialize(shingle_sets(docs, named, f.k))
+    labels = docs.sparkSession.createDataFrame([], "v long, root long")
+
+    def confirmed(links: DataFrame) -> None:
+        """Link what links join: only the roots they name pass through another search of components."""
+        nonlocal labels
+        links = c.materialize(links)
+        if links.take(1):
+            up = components(apply_labels(links, labels).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+            every = labels.unionByName(up.join(labels, "v", "left_anti").select("v", F.col("v").alias("root")))
+            over = up.select(F.col("v").alias("root"), F.col("root").alias("top"))
+            labels = c.materialize(every.join(over, "root", "left").select("v", F.coalesce("top", "root").alias("root")))
+
+    confirmed(confirm(pairs, sets, f))
+    mixed = c.materialize(mixed_regions(large, labels, f))
+    found = link_regions(mixed.where("nx = 1"), sets, f)
+    hot = mixed.where("nx > 1").select("cid").distinct()
+    if hot.take(1):
+        deep = c.materialize(mixed_regions(deep_regions(hot, sets), labels, f))
+        found = found.unionByName(link_regions(deep, sets, f))
+    confirmed(found)
+    return labels
 
-    Null and empty texts have no shingles and are linked with nothing. Rows with a null doc_id are linked with nothing
-    and kept. Rows that repeat a doc_id follow each its own text. Only doc_id and text are read; an empty table gives an
-    empty one.
-    """
+
+def _components(docs: DataFrame, f: Forest) -> DataFrame:
+    """Of each row doc_id, k (a key of the text), n_shingles and component_id."""
     rows = c.materialize(sketch(docs, f.k))
     usable = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = c.materialize(
@@ -316,12 +349,29 @@ def near_components(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
     )
     labels = link_components(docs, classes, f)
     named = classes.select("f1", "f2", "cid").join(labels.withColumnRenamed("v", "cid"), "cid", "left").select("f1", "f2", F.coalesce("root", "cid").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("f1")).alias("f1"), "f2").join(named, ["f1", "f2"], "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
+    out = rows.select("doc_id", "k", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("f1")).alias("f1"), "f2").join(named, ["f1", "f2"], "left")
+    return out.select("doc_id", "k", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_components(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
+    """A row per row of docs: doc_id, n_shingles, component_id (least doc_id reachable), kept (doc_id = component_id).
+
+    Null and empty texts have no shingles and are linked with nothing. Rows with a null doc_id are linked with nothing
+    and kept. Rows that repeat a doc_id follow each its own text. Texts may have any length; the order of rows and ties
+    in the forest change nothing but the work. Only doc_id and text are read; an empty table gives an empty one.
+    """
+    rows = _components(docs, f)
+    return rows.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))
 
 
 def dedup_near(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
-    """docs with one row of each component, the one with its least doc_id; of rows that repeat it, one stays."""
-    gone = near_components(docs, f).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """docs with one row of each component, one with its least doc_id; of rows that repeat doc_id and text, one stays.
+
+    Rows with a null doc_id stay. Columns, whatever their names, are as they were.
+    """
+    marks = _components(docs, f).where("doc_id IS NOT NULL").groupBy("doc_id", "k").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept"), F.count("*").alias("n"))
+    marks = c.materialize(marks.where("NOT kept OR n > 1"))
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", c.text_key(F.col("text")).alias("k"))
+    once = rows.join(marks, ["doc_id", "k"], "left_anti")
+    repeated = rows.join(marks.where("kept"), ["doc_id", "k"], "left_semi").dropDuplicates(["doc_id", "k"])
+    return once.unionByName(repeated).select("row.*")

@@ -104,44 +104,47 @@ def test_near_dedup_parts_regions(spark):
     assert got.select("component_id").distinct().count() == 1
 
 
-def sketched(spark, texts, k=5):
-    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    return near_dedup.sketch(d, k).withColumnRenamed("doc_id", "cid").cache()
+def brute_components(texts):
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if root[i] != root[j] and 100 * len(x & sets[j]) >= 75 * len(x | sets[j]):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    return root
 
 
-def shingle_sets(texts):
-    return [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+def near_roots(spark, texts, f):
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    return [x["component_id"] for x in near_dedup.near_components(d, f).orderBy("doc_id").collect()]
 
 
-def test_near_dedup_tries_all_of_a_large_region(spark):
-    """What is outside the largest component meets all of a region, not only its part of it."""
+@pytest.mark.parametrize("block", [1 << 20, 12_000])
+def test_near_dedup_tries_all_of_a_large_region(spark, block):
+    """Copies of copies with few links, in regions of one block or of many, which the second forest replaces."""
     base = [f"w{i}" for i in range(300)]
-    texts = [" ".join([*base[:i], f"e{i}", *base[i + 1 :]]) for i in range(200)]
-    # Each has a link to the copy whose edit it repeats, and to few others or none.
-    texts += [" ".join([*base[:i], f"e{i}", *base[i + 1 : 262], *(f"x{i}_{j}" for j in range(38))]) for i in range(0, 200, 10)]
-    sets, n = shingle_sets(texts), 200
-    want = {(b, a) for a in range(n, len(texts)) for b in range(n) if 100 * len(sets[a] & sets[b]) >= 76 * len(sets[a] | sets[b])}
-    assert {a for _, a in want} == set(range(n, len(texts)))
-    labels = spark.createDataFrame([(i, 0) for i in range(n)], "v long, root long")
-    got = near_dedup.left_over(sketched(spark, texts), labels, near_dedup.Forest(split_at=20)).collect()
-    assert want <= {(x["a"], x["b"]) for x in got}
-    assert all(x["b"] >= n for x in got) and len(got) == len({(x["a"], x["b"]) for x in got})
+    texts = [" ".join([*base[:i], f"e{i}", *base[i + 1 :]]) for i in range(150)]
+    # Each has a link to the copy whose edit it repeats, and to few others or none; more edits make chains and strays.
+    texts += [" ".join([*base[:i], f"e{i}", *base[i + 1 : 262], *(f"x{i}_{j}" for j in range(38))]) for i in range(0, 150, 10)]
+    texts += [" ".join([*base[:i], f"e{i}", *base[i + 1 : 225], *(f"x{i}_{j}" for j in range(75))]) for i in range(0, 150, 10)]
+    texts += [" ".join([*base[:100], *(f"y{i}_{j}" for j in range(200))]) for i in range(30)]
+    want = brute_components(texts)
+    assert 2 < len(set(want)) < 100
+    assert near_roots(spark, texts, near_dedup.Forest(block=block, split_at=40)) == want
 
 
 def test_near_dedup_tries_unlikely_signatures(spark):
-    """A pair of similarity 0.75 whose signatures agree in few minima is tried, also where nothing is linked yet."""
+    """A pair of similarity 0.75 whose signatures agree in few minima is linked, also where nothing else is."""
     signature = lambda t: near_dedup.minima(near_dedup.shingles(t, near_dedup.c.WordHashes())).astype("u1")
     for seed in range(20_000):
         base = [f"w{seed}_{i}" for i in range(300)]
-        x = " ".join([*base[:259], *(f"x{seed}_{j}" for j in range(41))])
-        share = (signature(x) == signature(" ".join(base))).mean()
-        if 0.55 <= share < 0.64:
+        x, y = " ".join(base), " ".join([*base[:259], *(f"x{seed}_{j}" for j in range(41))])
+        share = (signature(x) == signature(y)).mean()
+        if 0.55 <= share < 0.64 and brute_components([x, y]) == [0, 0]:
             break
-    copies = [" ".join(base), *(" ".join([*base[:i], f"e{i}", *base[i + 1 :]]) for i in range(50, 60))]
-    a, b = shingle_sets([copies[0], x])
-    assert 0.55 <= share < 0.64 and 100 * len(a & b) >= 75 * len(a | b)
-    got = near_dedup.left_over(sketched(spark, [*copies, x]), None, near_dedup.Forest()).collect()
-    assert (0, 11) in {(x["a"], x["b"]) for x in got}
+    assert share < 0.64
+    assert near_roots(spark, [x, y], near_dedup.Forest()) == [0, 0]
 
 
 def test_line_dedup(docs, rows):
