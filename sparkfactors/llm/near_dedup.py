@@ -5,7 +5,8 @@ signature of minima; a tree of the forest is the classes in the order of the sig
 on. Neighbours in that order with a longest common prefix of at least DEPTH minima are candidates; regions (classes
 with the same DEPTH minima) of few classes give all their pairs, larger ones are ordered by deeper prefixes and give
 the nearest neighbours, so that their number grows with the classes alone. Those whose signatures agree enough are
-confirmed on the full sets.
+confirmed on the full sets: in two rounds the best of each component, by which most of a group of near copies comes
+together, then all that lie between components that are left.
 
 Larger regions that are then one component are done. In the others every class outside the largest component is held
 against all of the region on the full sets, inside tasks that keep track of what is linked already: they put out no
@@ -166,7 +167,7 @@ def candidates(classes: DataFrame, f: Forest) -> DataFrame:
 
 
 def likely_pairs(pairs: DataFrame, classes: DataFrame, f: Forest) -> DataFrame:
-    """Those of pairs whose signatures agree in at least f.likely of the minima."""
+    """Those of pairs whose signatures agree in at least f.likely of the minima, with that share as score."""
     sig = classes.select("cid", "sig")
     both = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
 
@@ -174,9 +175,10 @@ def likely_pairs(pairs: DataFrame, classes: DataFrame, f: Forest) -> DataFrame:
         for p in batches:
             if len(p):
                 x, y = (np.frombuffer(b"".join(p[s]), np.uint8).reshape(len(p), N_MINIMA) for s in ("sa", "sb"))
-                yield p.loc[np.count_nonzero(x == y, axis=1) >= f.likely * N_MINIMA, ["a", "b"]]
+                share = np.count_nonzero(x == y, axis=1) / N_MINIMA
+                yield p[["a", "b"]].assign(score=share)[share >= f.likely]
 
-    return both.mapInPandas(run, "a long, b long")
+    return both.mapInPandas(run, "a long, b long, score double")
 
 
 def shingle_sets(docs: DataFrame, named: DataFrame, k: int) -> DataFrame:
@@ -218,6 +220,13 @@ def apply_labels(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.where("ca <> cb")
 
 
+def best_first(cross: DataFrame) -> DataFrame:
+    """The best pair of each component to another; ties are spread by a hash."""
+    ends = cross.select("a", "b", F.explode(F.array("ca", "cb")).alias("side"), "score")
+    pick = F.struct("score", F.xxhash64("a", "b", "side").alias("h"), "a", "b")
+    return ends.groupBy("side").agg(F.max(pick).alias("x")).select("x.a", "x.b").distinct()
+
+
 def mixed_regions(rows: DataFrame, labels: DataFrame, f: Forest) -> DataFrame:
     """Of rows (region, cid, n_shingles) those in regions of more than one component, with root (the component), largest
     (the root of the region's largest component), nx and ny: how many blocks the classes outside it, and all, make."""
@@ -329,7 +338,14 @@ def link_components(docs: DataFrame, classes: DataFrame, f: Forest) -> DataFrame
             over = up.select(F.col("v").alias("root"), F.col("root").alias("top"))
             labels = c.materialize(every.join(over, "root", "left").select("v", F.coalesce("top", "root").alias("root")))
 
-    confirmed(confirm(pairs, sets, f))
+    todo = pairs
+    for best in (True, True, False):
+        todo = c.materialize(apply_labels(todo.select("a", "b", "score"), labels))
+        if not todo.take(1):
+            break
+        tried = c.materialize(best_first(todo)) if best else todo
+        confirmed(confirm(tried, sets, f))
+        todo = todo.join(tried, ["a", "b"], "left_anti")
     mixed = c.materialize(mixed_regions(large, labels, f))
     found = link_regions(mixed.where("nx = 1"), sets, f)
     hot = mixed.where("nx > 1").select("cid").distinct()
