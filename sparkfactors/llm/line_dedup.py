@@ -1,18 +1,20 @@
 """Line dedup by levelled sorted runs of line hashes.
 
-Documents come in batches. A batch is reduced to one row per line key (128-bit hash, number of documents, largest
-doc_id); a merge anti-join against the runs so far tells which keys are new; the batch is then added as a run of its
-own, sorted by hash, in level 0. When a level has `fan_out` runs they are merged into one run of the next level. The
-runs, merged, say which lines to drop.
-
-Only DataFrame functions are used. Runs are written to the shared scratch folder, so a lost executor costs a re-read.
+Documents come in batches, the newest (largest doc_id) first. A batch is reduced to one row per line key (128-bit hash)
+with the number of documents and the keeper, the largest doc_id that holds the line. A merge anti-join against the runs
+so far takes the keeper from keys that a run holds already: newer documents hold those lines. The batch is then added
+as a run of its own in level 0. When a level has `fan_out` runs they are merged into one run of the next level. Merged,
+the runs say which lines are frequent and who keeps them.
+
+Runs are bucketed and sorted by hash in the shared scratch folder, so a lost executor costs a re-read, and joins and
+merges of runs need no shuffle: a batch is shuffled once, however many runs there are. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as c
@@ -36,32 +38,30 @@ def keyed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 class LineRuns:
-    """The levelled runs. Each has a row per key: h1, h2, n_docs, max_doc and fresh (no earlier run holds the key)."""
+    """The levelled runs. Each has one row per key: h1, h2, n_docs and keeper, which only the first run with the key has."""
 
-    def __init__(self, fan_out: int = 2):
-        self.fan_out = fan_out
+    def __init__(self, spark: SparkSession, fan_out: int = 2):
+        self.spark, self.fan_out = spark, fan_out
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = []
+        self.tables: list[str] = []
 
     def runs(self) -> list[DataFrame]:
         return [r for level in self.levels for r in level]
 
-    def union(self) -> DataFrame | None:
-        return reduce(DataFrame.unionByName, self.runs()) if self.runs() else None
-
-    @staticmethod
-    def _sorted(df: DataFrame) -> DataFrame:
-        return c.materialize(df.sortWithinPartitions(*KEY))
+    def _sorted(self, run: DataFrame) -> DataFrame:
+        name = f"line_run_{uuid.uuid4().hex}"
+        writer = run.write.format("parquet").option("compression", "zstd").option("path", c.scratch_dir(self.spark))
+        writer.bucketBy(self.buckets, *KEY).sortBy(*KEY).saveAsTable(name)
+        self.tables.append(name)
+        return self.spark.table(name)
 
     def add(self, batch: DataFrame) -> None:
-        """Add a batch's keys (h1, h2, n_docs, max_doc, one row a key) as a run and compact full levels."""
-        held = self.union()
-        if held is None:
-            run = batch.withColumn("fresh", F.lit(True)).repartition(*KEY)
-        else:
-            fresh = batch.join(held.select(*KEY), list(KEY), "left_anti").withColumn("fresh", F.lit(True))
-            known = batch.join(held.select(*KEY), list(KEY), "left_semi").withColumn("fresh", F.lit(False))
-            run = fresh.unionByName(known)
-        self._push(0, self._sorted(run))
+        """Add a batch's keys (h1, h2, n_docs, keeper, one row a key) as a run and compact full levels."""
+        for run in self.runs():
+            batch = batch.join(run.select(*KEY, F.lit(True).alias("held")), list(KEY), "left")
+            batch = batch.select(*KEY, "n_docs", F.when(F.col("held").isNull(), F.col("keeper")).alias("keeper"))
+        self._push(0, self._sorted(batch))
 
     def _push(self, level: int, run: DataFrame) -> None:
         while len(self.levels) <= level:
@@ -69,22 +69,41 @@ class LineRuns:
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fan_out:
             full, self.levels[level] = self.levels[level], []
-            self._push(level + 1, self._sorted(merged(reduce(DataFrame.unionByName, full))))
+            self._push(level + 1, self._sorted(merged(full)))
+
+    def drop(self) -> None:
+        """Forget the runs; their files go with the scratch folder."""
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.levels, self.tables = [], []
+
+
+def merged(runs: list[DataFrame]) -> DataFrame:
+    """One run of many, two at a time, as a merge of sorted rows; a key's keeper is in one of them at most."""
+    out = runs[0]
+    for run in runs[1:]:
+        both = out.join(run.select(*KEY, F.col("n_docs").alias("n"), F.col("keeper").alias("other")), list(KEY), "full_outer")
+        out = both.select(*KEY, (F.coalesce("n_docs", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n_docs"), F.coalesce("keeper", "other").alias("keeper"))
+    return out
 
 
-def merged(runs: DataFrame) -> DataFrame:
-    return runs.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"), F.max("fresh").alias("fresh"))
+def in_batches(docs: DataFrame, min_chars: int, n_batches: int) -> DataFrame:
+    """keyed_lines of the documents that have any, with batch: 0 for the largest doc_ids. Batches are ranges of doc_id of
+    about equal size; a null doc_id is in the last."""
+    at = [i / n_batches for i in range(n_batches - 1, 0, -1)]
+    edges = docs.agg(F.percentile_approx("doc_id", at, 1000)).first()[0] if at else None
+    batch = sum((F.when(F.col("doc_id") > e, 0).otherwise(1) for e in edges or []), F.lit(0))
+    return c.materialize(keyed_lines(docs, min_chars).where(F.size("lines") > 0).withColumn("batch", batch), "batch")
 
 
-def index_lines(docs: DataFrame, min_chars: int = 40, n_batches: int = 4, fan_out: int = 2) -> LineRuns:
-    """Runs over all documents, which are dealt to n_batches batches by a hash of doc_id."""
-    lines = keyed_lines(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(n_batches)).cast("int"))
-    # Once per document and key, so that n_docs counts documents; partial sums precede the shuffle.
-    keys = lines.select("batch", "doc_id", F.explode(F.array_distinct(F.transform("lines", lambda x: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"))))).alias("x"))
-    per_key = keys.groupBy("batch", "x.h1", "x.h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
-    staged, runs = c.materialize(per_key, "batch"), LineRuns(fan_out)
+def index_lines(staged: DataFrame, n_batches: int, fan_out: int = 2) -> LineRuns:
+    """Runs over all documents of in_batches."""
+    runs = LineRuns(staged.sparkSession, fan_out)
     for b in range(n_batches):
-        runs.add(staged.where(F.col("batch") == b).drop("batch"))
+        lines = F.array_distinct(F.transform("lines", lambda x: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"))))
+        keys = staged.where(F.col("batch") == b).select("doc_id", F.explode(lines).alias("x"))
+        # Once per document and key, so that n_docs counts documents; partial sums precede the shuffle.
+        runs.add(keys.groupBy("x.h1", "x.h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")))
     return runs
 
 
@@ -94,13 +113,16 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, n_batch
     A line whose key has at least min_chars code points and occurs in at least min_docs documents goes from every
     document but the one with the largest doc_id that holds it. Null or empty text: one empty line, kept. Each row is a
     document; rows that share the largest doc_id of a key all keep its lines; a null doc_id counts as a document and is
-    smaller than any other. Extra columns, whatever their names, stay inside row.
+    smaller than any other. Lines and texts may have any length; an empty table gives an empty one. Extra columns,
+    whatever their names, stay inside row.
     """
-    runs = index_lines(docs, min_chars, n_batches, fan_out)
+    staged = in_batches(docs, min_chars, n_batches)
+    runs = index_lines(staged, n_batches, fan_out)
     # Written, so that the join below reads both sides by exchanges of its own and a very common line's can be split.
-    often = c.materialize(merged(runs.union()).where(F.col("n_docs") >= min_docs).select(*KEY, "max_doc"))
-    lines = keyed_lines(docs, min_chars).select("doc_id", "k", F.explode("lines").alias("x")).select("doc_id", "k", "x.*")
-    hits = lines.join(often, list(KEY)).where(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
+    often = c.materialize(merged(runs.runs()).where(F.col("n_docs") >= min_docs).select(*KEY, "keeper"))
+    runs.drop()
+    lines = staged.select("doc_id", "k", F.explode("lines").alias("x")).select("doc_id", "k", "x.*")
+    hits = lines.join(often, list(KEY)).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     drops = hits.groupBy("doc_id", "k").agg(F.collect_set("i").alias("drop"))
     row = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("d"), c.text_key(F.col("text")).alias("k0"), F.coalesce("text", F.lit("")).alias("t"))
     out = row.join(drops, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k0") == F.col("k")), "left")
