@@ -1,6 +1,6 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule has an estimated cost and, on a sample, a rate of rejection among the documents that the rules before it
+On a sample each rule's cost is timed, and its rate of rejection counted among the documents that the rules before it
 leave; rules are ordered by rejection per cost, and each document is tested only until one rule rejects it. The order
 never changes which documents stay, only the work and the rule that is named first.
 
@@ -9,6 +9,8 @@ Only DataFrame functions are used; there is no shuffle, as every feature is comp
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -80,23 +82,22 @@ def n_upper(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """reject is over the columns text (never null) and words; cost is work in passes over the text, by estimate."""
+    """reject is made of text (never null) and words. cost is work a document, in any unit; None: timed on the sample."""
 
     name: str
-    reject: Column
-    cost: float
+    reject: Callable[[Column, Column], Column]
+    cost: float | None = None
 
 
 def default_rules() -> list[Rule]:
     """Limits are on whole counts, so that they don't depend on rounding."""
-    text, n = F.col("text"), F.size("words")
     return [
-        Rule("few_words", n < 50, 0.05),
-        Rule("word_length", (word_chars(text) < 2 * n) | (word_chars(text) > 20 * n), 1.0),
-        Rule("symbols", 100 * n_symbols(text) > 10 * n, 1.2),
-        Rule("capitals", 100 * n_upper(text) > 50 * word_chars(text), 2.0),
-        Rule("dup_lines", 100 * n_dup_lines(text) > 50 * n_lines(text), 2.5),
-        Rule("repeats", 100 * n_repeat_words(F.col("words")) > 50 * n, 12.0),
+        Rule("few_words", lambda t, w: F.size(w) < 50),
+        Rule("word_length", lambda t, w: ~word_chars(t).between(2 * F.size(w), 20 * F.size(w))),
+        Rule("symbols", lambda t, w: 100 * n_symbols(t) > 10 * F.size(w)),
+        Rule("capitals", lambda t, w: 100 * n_upper(t) > 50 * word_chars(t)),
+        Rule("dup_lines", lambda t, w: 100 * n_dup_lines(t) > 50 * n_lines(t)),
+        Rule("repeats", lambda t, w: 100 * n_repeat_words(w) > 50 * F.size(w)),
     ]
 
 
@@ -105,43 +106,68 @@ def with_words(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("words", c.words_of(F.col("text")))
 
 
-def order_rules(docs: DataFrame, rules: list[Rule], sample_per_mille: int = 20) -> list[Rule]:
+def timed(sample: DataFrame, rules: list[Rule]) -> list[float]:
+    """Seconds that each rule takes over the sample (text, words), which is read anew each time, less those of reading."""
+
+    def seconds(value: Column) -> float:
+        took = []
+        for _ in range(2):  # the first run compiles
+            began = time.perf_counter()
+            sample.agg(F.sum(value.cast("int"))).collect()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    idle = seconds(F.size("words") > F.length("text"))
+    return [max(seconds(r.reject(F.col("text"), F.col("words"))) - idle, 1e-3) for r in rules]
+
+
+def order_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = 2000) -> list[Rule]:
     """Rules by rejection per cost, greedily: each next one by what it rejects of the sample's rows that are left.
 
-    The sample is the rows whose hash of doc_id falls in sample_per_mille of 1000 parts. Only the counts of each
-    combination of verdicts reach the driver (2 to the number of rules at most). Ties go to the cheaper rule, then to
-    the order given.
+    The sample is up to sample_rows of the rows whose hash of the text falls in a quarter of its range; as many
+    partitions are read as that takes. It settles the order of work alone. Only counts of each combination of verdicts
+    reach the driver. Ties go to the cheaper rule, then to the order given. Where the sample is empty, the order stays.
     """
-    sample = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(1000)) < sample_per_mille)
-    hits = with_words(sample).select(*(F.coalesce(r.reject, F.lit(False)).alias(f"r{i}") for i, r in enumerate(rules)))
+    text = F.coalesce("text", F.lit(""))
+    picked = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(4)) == 0).limit(sample_rows)
+    sample = c.materialize(with_words(picked))
+    if not sample.take(1):
+        return rules
+    hits = sample.select(*(F.coalesce(r.reject(F.col("text"), F.col("words")), F.lit(False)).alias(f"r{i}") for i, r in enumerate(rules)))
     left = [(row[:-1], row[-1]) for row in hits.groupBy(*hits.columns).count().collect()]
+    costs = [r.cost for r in rules] if all(r.cost is not None for r in rules) else timed(sample, rules)
     order, todo = [], list(range(len(rules)))
     while todo:
-        best = max(todo, key=lambda i: (sum(n for v, n in left if v[i]) / rules[i].cost, -rules[i].cost, -i))
+        best = max(todo, key=lambda i: (sum(n for v, n in left if v[i]) / costs[i], -costs[i], -i))
         order.append(rules[best])
         todo.remove(best)
         left = [(v, n) for v, n in left if not v[best]]
     return order
 
 
-def cascade(docs: DataFrame, rules: list[Rule]) -> Column:
-    """The name of the first rule, in the order given, that rejects the row; null if none does. Lazy, as CASE is."""
+def cascade(verdicts: list[tuple[str, Column]]) -> Column:
+    """The name of the first of verdicts (name, reject) that rejects the row; null if none does. Lazy, as CASE is."""
     out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for r in rules:
-        out = out.when(r.reject, F.lit(r.name))
+    for name, reject in verdicts:
+        out = out.when(reject, F.lit(name))
     return out
 
 
+def failed_rule(text: Column, order: list[Rule]) -> Column:
+    """The cascade over a text that is never null. Words are split once a row, within the expression, as a column of
+    them would be copied into each rule by the optimiser."""
+    return c.let(c.words_of(text), lambda w: cascade([(r.name, r.reject(text, w)) for r in order]))
+
+
 def filter_quality(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """The rows that no rule rejects, with their columns as they were.
 
-    Null and empty texts have no words and are rejected by few_words; repeated rows are judged alike; an empty table
-    gives an empty one. Columns other than doc_id and text pass through, whatever their names.
+    Null and empty texts have no words and are rejected by few_words; a null doc_id is no ground to go; long texts are
+    judged whole; repeated rows are judged alike; an empty table gives an empty one. Columns other than text pass
+    through, whatever their names.
     """
     order = order_rules(docs, rules or default_rules())
-    kept = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    kept = kept.withColumn("words", c.words_of(F.col("text")))
-    return kept.where(cascade(kept, order).isNull()).select("row.*")
+    return docs.where(failed_rule(F.coalesce("text", F.lit("")), order).isNull())
 
 
 def quality_report(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
@@ -149,11 +175,9 @@ def quality_report(docs: DataFrame, rules: list[Rule] | None = None) -> DataFram
 
     Nulls, empty and repeated rows: as filter_quality; a null doc_id stays a row of its own.
     """
-    rules = rules or default_rules()
-    order = order_rules(docs, rules)
-    rows = with_words(docs.select("doc_id", "text"))
+    order = order_rules(docs, rules or default_rules())
     text, words = F.col("text"), F.col("words")
-    rows = rows.withColumns(
+    rows = with_words(docs.select("doc_id", "text")).withColumns(
         {
             "n_words": F.size(words).cast("long"),
             "word_chars": word_chars(text),
@@ -167,13 +191,13 @@ def quality_report(docs: DataFrame, rules: list[Rule] | None = None) -> DataFram
     # The counts are wanted for every row here, so the rules read the columns instead of counting again.
     n, counted = F.col("n_words"), {
         "few_words": F.col("n_words") < 50,
-        "word_length": (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 20 * F.col("n_words")),
+        "word_length": ~F.col("word_chars").between(2 * F.col("n_words"), 20 * F.col("n_words")),
         "symbols": 100 * F.col("n_symbols") > 10 * F.col("n_words"),
         "capitals": 100 * F.col("n_upper") > 50 * F.col("word_chars"),
         "dup_lines": 100 * F.col("n_dup_lines") > 50 * F.col("n_lines"),
         "repeats": 100 * F.col("n_repeat_words") > 50 * F.col("n_words"),
     }
-    rows = rows.withColumn("failed_rule", cascade(rows, [Rule(r.name, counted.get(r.name, r.reject), r.cost) for r in order]))
+    rows = rows.withColumn("failed_rule", cascade([(r.name, counted[r.name] if r.name in counted else r.reject(text, words)) for r in order]))
     base = (n < 50) | (100 * F.col("n_repeat_words") > 50 * n)
     return rows.select(
         "doc_id",
