@@ -201,13 +201,13 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-FOUND = "doc_id long, k long, n_words long, spans array<struct<a:long,b:long>>, items array<string>"
+FOUND = "doc_id long, no_id boolean, k long, n_words long, spans array<struct<a:long,b:long>>, items array<string>"
 
 
 def _scan(docs: DataFrame, phrases: Phrases, shard_words: int) -> DataFrame:
     """FOUND: of each row, the merged spans of words that occurrences cover and the items that occur."""
 
-    def shard(ids: list, ks: list, docs: list[np.ndarray]) -> pd.DataFrame:
+    def shard(ids: list, docs: list[np.ndarray]) -> pd.DataFrame:
         sizes = np.array([len(d) for d in docs])
         first = np.cumsum(sizes + 1) - sizes - 1
         begins, lengths, of = scan_shard(docs, phrases)
@@ -218,33 +218,32 @@ def _scan(docs: DataFrame, phrases: Phrases, shard_words: int) -> DataFrame:
             spans[d].append((a, a + n))
             items[d].update(dict.fromkeys(names))
         merged = [[{"a": a, "b": b} for a, b in merge_spans(s)] for s in spans]
-        return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "k": ks, "n_words": sizes, "spans": merged, "items": [list(i) for i in items]})
+        return pd.DataFrame(ids, columns=["doc_id", "no_id", "k"]).assign(**{"n_words": sizes, "spans": merged, "items": [list(i) for i in items]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, ks, docs, n = [], [], [], 0
+        ids, docs, n = [], [], 0
         number = phrases.numbers.get
         for batch in batches:
-            for doc_id, k, text in zip(batch["doc_id"].tolist(), batch["k"].tolist(), batch["text"], strict=True):
+            for *key, text in zip(batch["doc_id"].tolist(), batch["no_id"].tolist(), batch["k"].tolist(), batch["text"], strict=True):
                 words = words_of(text)
-                ids.append(None if doc_id != doc_id else doc_id)
-                ks.append(k)
+                ids.append(key)
                 docs.append(np.fromiter((number(w, 0) for w in words), np.int64, len(words)))
                 n += len(words)
                 if n >= shard_words:
-                    yield shard(ids, ks, docs)
-                    ids, ks, docs, n = [], [], [], 0
+                    yield shard(ids, docs)
+                    ids, docs, n = [], [], 0
         if docs:
-            yield shard(ids, ks, docs)
+            yield shard(ids, docs)
 
-    return docs.select("doc_id", c.text_key(F.col("text")).alias("k"), "text").mapInPandas(run, FOUND)
+    return c.with_id(docs.select(*c.id_columns(), c.text_key(F.col("text")).alias("k"), "text").mapInPandas(run, FOUND))
 
 
-def phrase_blocks(benchmark: DataFrame, window: int, block_items: int) -> list[Phrases]:
-    """The items, in blocks of about block_items, each read to the driver alone."""
+def phrase_blocks(benchmark: DataFrame, window: int, block_items: int) -> tuple[int, Iterator[Phrases]]:
+    """How many blocks of about block_items the items make, and the blocks, each read to the driver when it is asked for."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
     n = max(1, math.ceil(items.count() / block_items))
-    blocks = [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect() for i in range(n)]
-    return [Phrases.of(sorted((r[0], r[1]) for r in rows if r[1]), window) for rows in blocks]
+    block = lambda i: items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).where("text <> ''").collect()
+    return n, (Phrases.of(sorted(map(tuple, block(i))), window) for i in range(n))
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = 400_000, block_items: int = 20_000) -> DataFrame:
@@ -253,13 +252,15 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard
     Null and empty texts have no words and no spans; so do all rows if the benchmark is empty. Rows are judged by their
     own text, so repeated ids do no harm. Only doc_id and text are read, whatever other columns there are.
     """
-    blocks = phrase_blocks(benchmark, window, block_items)
-    if len(blocks) == 1:
-        return _scan(docs, blocks[0], shard_words)
-    # More than one block: each is a pass; what the passes found of a row is put together.
-    every = _scan(docs, blocks[0], shard_words)
-    for p in blocks[1:]:
-        every = every.unionByName(_scan(docs, p, shard_words).where(F.size("spans") > 0))
+    n_blocks, blocks = phrase_blocks(benchmark, window, block_items)
+    if n_blocks == 1:
+        return _scan(docs, next(blocks), shard_words)
+    # More than one block: each is a pass, run before the next block is read, so that the driver holds one at a time;
+    # what the passes found of a row is put together.
+    every = None
+    for p in blocks:
+        found = _scan(docs, p, shard_words)
+        every = c.materialize(found) if every is None else every.unionByName(c.materialize(found.where(F.size("spans") > 0)))
     both = every.groupBy("doc_id", "k").agg(
         F.max("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
@@ -282,7 +283,11 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items; a row per row of docs."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items; a row per row of docs.
+
+    Null, empty, repeated and very long texts, ties and an empty benchmark: as find_overlaps says; an empty table gives
+    an empty one. An item found more than once counts once.
+    """
     found = find_overlaps(docs, benchmark, window)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
     names = F.array_join(F.array_sort("items"), ",")
@@ -300,7 +305,8 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = 10
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """docs without the words that benchmark phrases cover; rows that nothing is found in are as they were.
 
-    From the first to the last character of a span, the text is replaced by one line feed. Other columns stay.
+    From the first to the last character of a span, the text is replaced by one line feed. Other columns, whatever their
+    names, stay; a null text stays null; repeated rows are cut alike; an empty table gives an empty one.
     """
     found = find_overlaps(docs, benchmark, window).where(F.size("spans") > 0).select(F.col("doc_id").alias("d"), F.col("k").alias("k0"), "spans").dropDuplicates(["d", "k0"])
     rows = docs.select(F.struct("*").alias("row"), "doc_id", "text", c.text_key(F.col("text")).alias("k"))
