@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common as c
 from .tokens import shared_tokenizer
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, no_id boolean, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 @dataclass(frozen=True)
@@ -101,7 +101,7 @@ class Block:
 
     def __init__(self, size: int, costs: Costs):
         self.size, self.costs = size, costs
-        self.docs: list[tuple] = []  # doc_id, ids, start of ids in the document, ids in the whole document
+        self.docs: list[tuple] = []  # (doc_id, no_id), ids, start of ids in the document, ids in the whole document
         self.sentences: list[np.ndarray] = []
         self.n = 0
 
@@ -135,7 +135,7 @@ class Block:
             while x < b:
                 doc_id, ids, start, whole = self.docs[d]
                 y, s = min(b, int(starts[d + 1])), int(starts[d])
-                rows.append((doc_id, start + x - s, y - x, zlib.crc32(ids[x - s : y - s].astype("<u4").tobytes()), whole, seq, x - a))
+                rows.append((*doc_id, start + x - s, y - x, zlib.crc32(ids[x - s : y - s].astype("<u4").tobytes()), whole, seq, x - a))
                 x = y
                 d += x == starts[d + 1] and x < self.n
         end = cuts[-1]
@@ -152,7 +152,8 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, eod: int = 1, c
     """A row per piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its ids and then eod; null and empty texts are eod alone. Documents are packed by doc_id, null first;
-    rows that repeat a doc_id are documents of their own, ordered by text. Columns other than doc_id and text are not
+    rows that repeat a doc_id are documents of their own, ordered by a hash of the text. A text of any length is cut into
+    as many pieces as it takes; of equally good cuts the first found is taken. Columns other than doc_id and text are not
     read; an empty table gives an empty one. sequence_id holds the partition's number in its upper bits.
     """
 
@@ -163,19 +164,20 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, eod: int = 1, c
         def frame(rows: list[tuple]) -> pd.DataFrame:
             nonlocal first
             out = pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")])
-            out["doc_id"] = out["doc_id"].astype("Int64")
             out["sequence_id"] += first
             first = int(out["sequence_id"].iloc[-1]) + 1
             return out
 
         for batch in batches:
-            for doc_id, (ids, ends) in zip(batch["doc_id"].tolist(), tokenizer.encode_many(batch["text"]), strict=True):
-                block.add(None if doc_id != doc_id else doc_id, np.append(ids, np.uint16(eod)), ends)
+            for doc_id, no_id, (ids, ends) in zip(batch["doc_id"].tolist(), batch["no_id"].tolist(), tokenizer.encode_many(batch["text"]), strict=True):
+                block.add((doc_id, no_id), np.append(ids, np.uint16(eod)), ends)
                 if block.n >= block_ids:
                     rows, block = block.cut(last=False)
                     yield frame(rows)
         if block.n:
             yield frame(block.cut(last=True)[0])
 
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInPandas(run, SCHEMA)
+    rows = docs.select(*c.id_columns(), F.coalesce("text", F.lit("")).alias("text"))
+    # The text's hash parts rows that share one doc_id, or have none, however many they are.
+    order = [F.col("no_id").desc(), F.col("doc_id"), F.xxhash64("text")]
+    return c.with_id(rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").mapInPandas(run, SCHEMA))
