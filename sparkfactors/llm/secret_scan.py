@@ -30,6 +30,8 @@ ASSIGNED = r"""[=:]["']?$"""
 STRING_FEATURES = ("length", "digits", "uppers", "lowers", "others", "distinct", "changes", "transition", "coverage")
 PLACE_FEATURES = ("assigned", "quoted", "key_name", "before_length", "after_length", "path_rate")
 FEATURES = STRING_FEATURES + PLACE_FEATURES
+#: What label_by_assignment looks at, so that a forest taught by it must do without.
+LABELLING_FEATURES = ("assigned", "quoted", "key_name", "before_length")
 
 
 @dataclass(frozen=True)
@@ -146,11 +148,14 @@ def label_by_assignment(found: DataFrame) -> DataFrame:
 def scan_secrets(docs: DataFrame, labels: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
     """doc_id, at (word index), value_sha256, score, is_secret: a row per candidate.
 
-    labels: doc_id, at, label (1 or 0) of reviewed findings; without it, those that label_by_assignment gives. The
-    most_labelled of them with the least hash are used. With labels of one kind only, or none, there is nothing to
-    learn: score is null and every candidate stays. Null and empty texts have no candidates; repeated rows give repeated
-    findings; of the other columns only source is read, if there is one; an empty table gives an empty one.
+    labels: doc_id, at, label (1 or 0) of reviewed findings. Without it, label_by_assignment labels those whose place
+    settles them, and the forest learns from the other features only, so that it says of the string, the words after it
+    and the path what the place says elsewhere. The most_labelled labels with the least hash are used. With labels of one kind only, or none, there is nothing to
+    learn: score is null and every candidate stays. Null and empty texts have no candidates; a null doc_id stays in its
+    findings, but gives no labels; long texts are read whole; repeated rows give repeated findings; of the other columns
+    only source is read, if there is one; an empty table gives an empty one.
     """
+    features = FEATURES if labels is not None else tuple(x for x in FEATURES if x not in LABELLING_FEATURES)
     found = c.materialize(find_candidates(docs))
     labels = labels if labels is not None else label_by_assignment(found)
     # Reviewed labels are of a word, so of each finding in it.
@@ -163,8 +168,8 @@ def scan_secrets(docs: DataFrame, labels: DataFrame | None = None, settings: Set
         return found.select("doc_id", "at", digest, F.lit(None).cast("double").alias("score"), F.lit(True).alias("is_secret"))
     words = c.materialize(word_counts(docs).where("n > 1"))
     strings = string_features(found.select("value").distinct(), words, settings)
-    rows = c.materialize(place_features(found, few, settings).join(strings, "value").select("doc_id", "at", "nth", "value", *FEATURES))
-    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
+    rows = c.materialize(place_features(found, few, settings).join(strings, "value").select("doc_id", "at", "nth", "value", *features))
+    ready = VectorAssembler(inputCols=list(features), outputCol="features").transform(rows)
     # Bounded by most_labelled; one sorted partition, so that the fit doesn't depend on how rows were dealt.
     train = ready.join(few.select("doc_id", "at", "nth", "value", "label").distinct(), ["doc_id", "at", "nth", "value"]).select("features", "label", "doc_id", "at", "nth")
     train = train.coalesce(1).sortWithinPartitions("doc_id", "at", "nth")
