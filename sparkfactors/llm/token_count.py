@@ -61,7 +61,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, eod: int, block_ids: int
                 wait, n = [ids[stop:].copy()], n - stop
 
         for batch in batches:
-            out = [{"kind": "docs", "file": file, "block": ordinal, "n": len(batch), "ids": None, "docs": [None if d != d else int(d) for d in batch["doc_id"].tolist()]}]
+            out = [{"kind": "docs", "file": file, "block": ordinal, "n": len(batch), "ids": None, "docs": [None if no else d for d, no in zip(batch["doc_id"].tolist(), batch["no_id"].tolist(), strict=True)]}]
             ordinal += len(batch)
             for ids, _ in tokenizer.encode_many(batch["text"]):
                 wait.append(np.append(ids, np.uint16(eod)))
@@ -71,7 +71,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, eod: int, block_ids: int
         if n:
             yield pd.DataFrame(list(blocks(True)))
 
-    both = c.materialize(docs.select("doc_id", "text").mapInPandas(run, "kind string, file string, block long, n long, ids binary, docs array<long>"), "kind")
+    both = c.materialize(docs.select(*c.id_columns(), "text").mapInPandas(run, "kind string, file string, block long, n long, ids binary, docs array<long>"), "kind")
     order = both.where("kind = 'docs'").select("file", F.col("block").alias("first"), F.posexplode("docs").alias("i", "doc_id"))
     return both.where("kind = 'ids'").select("file", "block", "n", "ids"), order.select("file", (F.col("first") + F.col("i")).alias("ordinal"), "doc_id")
 
@@ -125,7 +125,8 @@ def count_tokens(blocks: DataFrame, eod: int, dtype: str = "<u2") -> DataFrame:
 def count_documents(docs: DataFrame, tokenizer_path: str, eod: int) -> DataFrame:
     """doc_id and n_tokens of every row: written as flat token streams, then counted by their separators.
 
-    Null and empty texts have no tokens; repeated rows and null ids keep rows of their own.
+    Null and empty texts have no tokens; repeated rows and null ids keep rows of their own; a long text goes over as many
+    blocks as it fills; an empty table gives an empty one. Only doc_id and text are read.
     """
     blocks, order = write_tokens(docs, tokenizer_path, eod)
     return order.join(count_tokens(blocks, eod), ["file", "ordinal"]).select("doc_id", "n_tokens")
