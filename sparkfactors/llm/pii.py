@@ -18,6 +18,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from . import common as c
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
 
@@ -234,8 +236,9 @@ def joined(spans: dict[str, list[Span]]) -> str:
 def scan_pii(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_added.
 
-    Null and empty texts have no spans; repeated rows give repeated results; columns other than doc_id and text are not
-    read; an empty table gives an empty one.
+    Null and empty texts have no spans; a null doc_id stays a row; repeated rows give repeated results; long texts are
+    scanned whole; where matches of one kind could overlap, the leftmost holds. Columns other than doc_id and text are
+    not read; an empty table gives an empty one.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -246,7 +249,8 @@ def scan_pii(docs: DataFrame) -> DataFrame:
                 n = [len(base[k]) for k in KINDS]
                 rows.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), sum(map(len, every.values())) - sum(n)))
             out = pd.DataFrame(rows, columns=[*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
-            yield out.assign(doc_id=batch["doc_id"].to_numpy())
+            yield out.assign(doc_id=batch["doc_id"].to_numpy(), no_id=batch["no_id"].to_numpy())
 
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return docs.select("doc_id", "text").mapInPandas(scan, f"doc_id long, {counts}, base_sha256 string, spans string, n_added long")
+    found = docs.select(*c.id_columns(), "text").mapInPandas(scan, f"doc_id long, no_id boolean, {counts}, base_sha256 string, spans string, n_added long")
+    return c.with_id(found)

@@ -65,10 +65,18 @@ def test_quality(docs, rows):
 
 def test_rule_order_is_rejection_per_cost(spark):
     d = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "a b").otherwise("c " * 60).alias("text"))
-    rules = [quality.Rule("never", F.lit(False), 0.1), quality.Rule("dear", F.size("words") < 50, 9.0), quality.Rule("cheap", F.size("words") < 50, 1.0)]
+    rules = [quality.Rule("never", lambda t, w: F.lit(False), 0.1), quality.Rule("dear", lambda t, w: F.size(w) < 50, 9.0), quality.Rule("cheap", lambda t, w: F.size(w) < 50, 1.0)]
     assert [r.name for r in quality.order_rules(d, rules, 500)] == ["cheap", "never", "dear"]
 
 
+def test_rule_costs_are_timed(spark):
+    """Of two rules that reject alike, the one that does more work comes second."""
+    d = spark.range(500).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda i: (i * 7 + F.col("id")).cast("string"))).alias("text"))
+    dear = quality.Rule("dear", lambda t, w: quality.n_repeat_words(w) < F.size(w))
+    cheap = quality.Rule("cheap", lambda t, w: F.size(w) > 10)
+    assert [r.name for r in quality.order_rules(d, [dear, cheap])] == ["cheap", "dear"]
+
+
 def test_near_dedup(docs, rows):
     sets = []
     for d, t in rows:
@@ -169,10 +177,25 @@ def test_line_dedup(docs, rows):
     assert [x[2] for x in want if x[2]]
 
 
-def test_line_runs_levels_and_fresh(docs):
-    runs = line_dedup.index_lines(docs, n_batches=4, fan_out=2)
+def test_line_runs(docs):
+    """Four batches end in one run of level 2; its keeper of a key is the largest doc_id, found by the first batch alone."""
+    staged = line_dedup.in_batches(docs, 40, 4)
+    runs = line_dedup.index_lines(staged, 4, fan_out=2)
     assert [len(x) for x in runs.levels] == [0, 0, 1]
-    assert runs.union().where("NOT fresh").count() == 0
+    keys = staged.select("doc_id", F.explode("lines").alias("x")).distinct()
+    want = keys.groupBy("x.h1", "x.h2").agg(F.max("doc_id").alias("keeper"))
+    assert staged.select("batch").distinct().count() > 1
+    same(runs.runs()[0].select("h1", "h2", "keeper"), list(map(tuple, want.collect())))
+    runs.drop()
+
+
+def test_line_runs_take_the_keeper_from_known_keys(spark):
+    runs = line_dedup.LineRuns(spark, fan_out=3)
+    for rows in ([(1, 1, 2, 9)], [(1, 1, 3, 8), (2, 2, 1, 5)]):
+        runs.add(spark.createDataFrame(rows, "h1 long, h2 long, n_docs long, keeper long"))
+    same(runs.runs()[1], [(1, 1, 3, None), (2, 2, 1, 5)])
+    same(line_dedup.merged(runs.runs()), [(1, 1, 5, 9), (2, 2, 1, 5)])
+    runs.drop()
 
 
 def test_decontaminate(spark, docs, rows):
