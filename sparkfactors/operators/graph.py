@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut
+from . import contraction
 
 
 def hash_unit(*parts) -> Column:
@@ -120,20 +121,9 @@ def smooth(edges: DataFrame, values: DataFrame, key: str, alpha: float = 0.5, ho
 
 
 def components(edges: DataFrame, spots: DataFrame) -> DataFrame:
-    """spot_id, component: the least spot_id reachable; edges count in both directions.
-
-    Each round hooks every vertex to its least neighbour's label and follows labels once; labels only fall.
-    """
-    labels = spots.select("spot_id", F.col("spot_id").alias("component"))
-    both = cut(symmetrise(edges).where("src <> dst").distinct())
-    while True:
-        near = both.join(labels.toDF("dst", "c"), "dst").groupBy(F.col("src").alias("spot_id")).agg(F.min("c").alias("c"))
-        hooked = labels.join(near, "spot_id", "left").select("spot_id", "component", F.least("component", F.coalesce("c", "component")).alias("c"))
-        jump = hooked.select(F.col("spot_id").alias("c"), F.col("c").alias("cc"))
-        new = cut(hooked.join(jump, "c").select("spot_id", F.col("component").alias("was"), F.col("cc").alias("component")))
-        labels = new.select("spot_id", "component")
-        if not new.where("was <> component").take(1):
-            return labels
+    """spot_id, component: the least spot_id reachable; edges count in both directions. Spots without edges are alone."""
+    roots = contraction.components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))).toDF("spot_id", "root")
+    return spots.select("spot_id").join(roots, "spot_id", "left").select("spot_id", F.coalesce("root", "spot_id").alias("component"))
 
 
 def _ends(edges: DataFrame, labels: DataFrame) -> DataFrame:

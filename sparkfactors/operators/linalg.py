@@ -20,6 +20,17 @@ def gram_of(rows: DataFrame, name: str, k: int) -> np.ndarray:
     return out
 
 
+def grams_by(rows: DataFrame, key: str, name: str, k: int) -> dict[int, np.ndarray]:
+    """gram_of the rows of each key, in one aggregation; a k x k matrix per key returns."""
+    places = [(i, j) for i in range(k) for j in range(i, k)]
+    out = {}
+    for row in rows.groupBy(key).agg(*(F.sum(F.get(name, i) * F.get(name, j)) for i, j in places)).collect():
+        g = out[row[0]] = np.zeros((k, k))
+        for (i, j), v in zip(places, row[1:], strict=True):
+            g[i, j] = g[j, i] = v or 0.0
+    return out
+
+
 def times(h: Column, m: np.ndarray) -> list[Column]:
     """The entries of the row h times the matrix m."""
     return [sum((F.get(h, j) * float(m[j, i]) for j in range(m.shape[0])), F.lit(0e0)) for i in range(m.shape[1])]
@@ -30,29 +41,21 @@ def sum_vector(name: str | Column, k: int, weight: Column | None = None) -> list
     return [F.sum(F.get(name, i) * weight if weight is not None else F.get(name, i)).alias(f"x{i}") for i in range(k)]
 
 
-def nnls(gram: np.ndarray, target: np.ndarray, tol: float = 1e-10) -> np.ndarray:
-    """Nonnegative least squares from A'A and A'b by active sets; at most 3 n outer steps."""
-    n = len(target)
-    x, passive = np.zeros(n), np.zeros(n, bool)
-    for _ in range(3 * n):
-        w = target - gram @ x
-        if passive.all() or w[~passive].max() <= tol:
+def nnls(gram: np.ndarray, targets: np.ndarray, tol: float = 1e-13, most: int = 50_000) -> np.ndarray:
+    """Of each row b of targets the x >= 0 that minimises x'Gx - 2 b'x, for G = A'A and b = A'y.
+
+    All rows at once by cyclic coordinate descent: each entry in turn goes to its best value with the others held, but
+    not below 0. A column of A without length has entry 0. Stops when a sweep changes no entry by more than tol of the
+    largest.
+    """
+    targets = np.atleast_2d(np.asarray(targets, float))
+    x, length = np.zeros_like(targets), np.diag(gram)
+    for _ in range(most):
+        before = x.copy()
+        for i in np.flatnonzero(length > 0):
+            x[:, i] = np.maximum(0.0, x[:, i] + (targets[:, i] - x @ gram[:, i]) / length[i])
+        if not x.size or np.abs(x - before).max() <= tol * np.abs(x).max():
             break
-        passive[np.flatnonzero(~passive)[w[~passive].argmax()]] = True
-        while True:
-            s = np.zeros(n)
-            s[passive] = np.linalg.lstsq(gram[np.ix_(passive, passive)], target[passive], rcond=None)[0]
-            if s[passive].min() > tol:
-                break
-            low = passive & (s <= tol)
-            step = np.min(x[low] / np.maximum(x[low] - s[low], 1e-300))
-            x = x + step * (s - x)
-            passive &= x > tol
-            x[~passive] = 0
-            if not passive.any():
-                s = x
-                break
-        x = s
     return x
 
 
@@ -61,7 +64,8 @@ def nnls_rows(targets: DataFrame, key: str, gram: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            yield pd.DataFrame({key: p[key], "w": [nnls(gram, np.asarray(b, float)) for b in p["b"]]})
+            if len(p):
+                yield pd.DataFrame({key: p[key], "w": list(nnls(gram, np.stack(p["b"].to_list())))})
 
     return targets.select(key, "b").mapInPandas(run, f"{key} long, w array<double>")
 

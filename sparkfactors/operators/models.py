@@ -5,7 +5,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut
@@ -38,77 +38,116 @@ def _small(df: DataFrame, numbers: int) -> DataFrame:
     return F.broadcast(df) if numbers <= BROADCAST_NUMBERS else df
 
 
-def start_rows(ids: DataFrame, key: str, k: int, scale: float, seed: int, tag: str, low: float = 0.0) -> DataFrame:
-    """key and an array of k hashed numbers in (low, 1), times scale."""
-    u = [(F.lit(low) + (1 - low) * graph.hash_unit(seed, tag, F.col(key), i) + EPS) * scale for i in range(k)]
-    return ids.select(key, F.array(*u).alias("h"))
+def start_rows(ids: DataFrame, key: str, k: int, tag: str, low: float = 0.0) -> DataFrame:
+    """run, key and an array h of k hashed numbers in (low, 1), times scale; ids: run, key, seed, scale."""
+    u = [(F.lit(low) + (1 - low) * graph.hash_unit(F.col("seed"), tag, F.col(key), i) + EPS) * F.col("scale") for i in range(k)]
+    return ids.select("run", key, F.array(*u).alias("h"))
 
 
 def fit_nmf(
     expr: DataFrame, edges: DataFrame | None, spots: DataFrame, n_genes: int, k: int, *, lam: float = 1.0, n_iter: int = 200, tol: float = 1e-4,
-    seed: int = 0, eps: float = EPS, scale_lam: bool = True, low: float | None = None, cut_every: int = 5,
+    seed: int = 0, eps: float = EPS, scale_lam: bool = True, low: float | None = None,
 ) -> Factorisation:
-    """Multiplicative updates, scores first and then loadings; edges count in both directions as a bag.
-
-    lam is multiplied by the root mean square of all values, zeros included. Stops when the objective changes by less
-    than tol of itself. Matrices k x k go through the driver; everything else stays distributed, and no spots x genes
-    residual is made. low: start from numbers in (low, 1) unscaled.
+    """fit_nmf_runs of one run."""
+    return fit_nmf_runs(expr, edges, spots, n_genes, k, [(0, lam, seed)], n_iter=n_iter, tol=tol, eps=eps, scale_lam=scale_lam, low=low)[0]
+
+
+def fit_nmf_runs(
+    expr: DataFrame, edges: DataFrame | None, spots: DataFrame, n_genes: int, k: int, runs: list[tuple[int, float, int]], *, n_iter: int = 200,
+    tol: float = 1e-4, eps: float = EPS, scale_lam: bool = True, low: float | None = None,
+) -> dict[int, Factorisation]:
+    """Fits of runs (number, lam, seed), which all advance in the same jobs; where expr, edges or spots have a column
+    run, a run uses its own rows of it.
+
+    Multiplicative updates, scores first and then loadings; edges count in both directions as a bag. lam is multiplied
+    by the root mean square of all values, zeros included. A run stops when its objective changes by less than tol of
+    itself. Matrices k x k go through the driver; everything else stays distributed, and no spots x genes residual is
+    made. low: start from numbers in (low, 1) unscaled. An iteration writes scores and loadings once each; the objective
+    is observed while the next scores are written.
     """
-    if k <= 0 or lam < 0 or n_iter <= 0:
+    if k <= 0 or n_iter <= 0 or any(lam < 0 for _, lam, _ in runs):
         raise ValueError("k and n_iter must be positive and lam not negative")
-    x = cut(expr.select("spot_id", "gene_id", F.greatest(F.col("value").cast("double"), F.lit(0e0)).alias("value")).where("value > 0"))
-    n = spots.count()
-    total, square = x.agg(F.coalesce(F.sum("value"), F.lit(0e0)), F.coalesce(F.sum(F.col("value") * F.col("value")), F.lit(0e0))).first()
-    cells = max(1, n * n_genes)
-    rms = (square / cells) ** 0.5
-    lam_eff = lam * (rms if scale_lam and rms > 1e-12 else 1.0)
-    genes = spots.sparkSession.range(n_genes).select(F.col("id").alias("gene_id"))
-    scale = max(total / cells, EPS) ** 0.5 / k**0.5 if low is None else 1.0
-    h = start_rows(spots.select("spot_id"), "spot_id", k, scale, seed, "H", low or 0.0)
-    w = start_rows(genes, "gene_id", k, scale, seed, "W", low or 0.0)
-    if not n or not n_genes:
-        return Factorisation(h, w.withColumnRenamed("h", "w"), [], 0, lam_eff)
-    both = cut(graph.symmetrise(edges)) if edges is not None and lam_eff else None
-    deg = both.groupBy(F.col("src").alias("spot_id")).agg(F.count("*").alias("d")) if both is not None else None
-    h, w, trace, done = cut(h), cut(w), [], 0
+    spark, of = spots.sparkSession, lambda df: ["run"] if df is not None and "run" in df.columns else []
+    ex, ed, sp = of(expr), of(edges), of(spots)
+    every = lambda df: df if "run" in df.columns else df.withColumn("run", F.explode(F.array(*(F.lit(r).cast("long") for r, _, _ in runs))))
+    x = cut(expr.select(*ex, "spot_id", "gene_id", F.greatest(F.col("value").cast("double"), F.lit(0e0)).alias("value")).where("value > 0"))
+    by = lambda rows, cols: {r[0] if cols else None: r for r in rows}
+    sizes = by(spots.groupBy(*sp).agg(F.count("*").alias("n")).collect(), sp)
+    sums = by(x.groupBy(*ex).agg(F.coalesce(F.sum("value"), F.lit(0e0)).alias("s"), F.coalesce(F.sum(F.col("value") * F.col("value")), F.lit(0e0)).alias("q")).collect(), ex)
+    settings, square, lam_eff = [], {}, {}
+    for r, lam, seed in runs:
+        n = (sizes.get(r if sp else None) or {"n": 0})["n"]
+        t = sums.get(r if ex else None) or {"s": 0.0, "q": 0.0}
+        cells = max(1, n * n_genes)
+        rms, square[r] = (t["q"] / cells) ** 0.5, t["q"]
+        lam_eff[r] = lam * (rms if scale_lam and rms > 1e-12 else 1.0)
+        settings.append((r, seed, max(t["s"] / cells, EPS) ** 0.5 / k**0.5 if low is None else 1.0, lam_eff[r]))
+    table = F.broadcast(spark.createDataFrame(settings, "run long, seed long, scale double, lam double"))
+    h = start_rows(every(spots.select(*sp, "spot_id")).join(table, "run"), "spot_id", k, "H", low or 0.0)
+    w = start_rows(every(spark.range(n_genes).select(F.col("id").alias("gene_id"))).join(table, "run"), "gene_id", k, "W", low or 0.0)
+
+    def result(r: int, trace: list[float], done: int) -> Factorisation:
+        mine = F.col("run") == r
+        return Factorisation(h.where(mine).select("spot_id", "h"), w.where(mine).select("gene_id", F.col("h").alias("w")), trace, done, lam_eff[r])
+
+    if not n_genes or not any(r["n"] for r in sizes.values()):
+        return {r: result(r, [], 0) for r, _, _ in runs}
+    both = None
+    if edges is not None and any(lam_eff.values()):
+        both = cut(edges.select(*ed, "src", "dst").union(edges.select(*ed, "dst", "src")))
+        deg = both.groupBy(*ed, F.col("src").alias("spot_id")).agg(F.count("*").alias("d"))
     zero = F.array(*[F.lit(0e0)] * k)
+    numbers = n_genes * k * len(runs)
     unpack = lambda name: F.array(*(F.col(f"x{i}") for i in range(k))).alias(name)
 
     def state(h: DataFrame, w: DataFrame) -> DataFrame:
-        """spot_id, h, xw, ah, d."""
-        xw = x.join(_small(w, n_genes * k), "gene_id").groupBy("spot_id").agg(*linalg.sum_vector("h", k, F.col("value"))).select("spot_id", unpack("xw"))
-        q = h.join(xw, "spot_id", "left").withColumn("xw", F.coalesce("xw", zero))
+        """run, spot_id, h, xw, ah, d."""
+        xw = x.join(_small(w, numbers), ["gene_id", *ex]).groupBy("run", "spot_id").agg(*linalg.sum_vector("h", k, F.col("value"))).select("run", "spot_id", unpack("xw"))
+        q = h.join(xw, ["run", "spot_id"], "left").withColumn("xw", F.coalesce("xw", zero))
         if both is None:
             return q.withColumns({"ah": zero, "d": F.lit(0)})
-        ah = both.join(h.withColumnRenamed("spot_id", "dst"), "dst").groupBy(F.col("src").alias("spot_id")).agg(*linalg.sum_vector("h", k)).select("spot_id", unpack("ah"))
-        return q.join(ah, "spot_id", "left").join(deg, "spot_id", "left").withColumns({"ah": F.coalesce("ah", zero), "d": F.coalesce("d", F.lit(0))})
+        ah = both.join(h.withColumnRenamed("spot_id", "dst"), ["dst", *ed]).groupBy("run", F.col("src").alias("spot_id")).agg(*linalg.sum_vector("h", k))
+        q = q.join(ah.select("run", "spot_id", unpack("ah")), ["run", "spot_id"], "left").join(deg, ["spot_id", *ed], "left")
+        return q.withColumns({"ah": F.coalesce("ah", zero), "d": F.coalesce("d", F.lit(0))})
 
     def dot(a: str, b: str) -> Column:
         return sum((F.get(a, i) * F.get(b, i) for i in range(k)), F.lit(0e0))
 
-    def objective(q: DataFrame, ww: np.ndarray) -> float:
-        hh = linalg.gram_of(q, "h", k)
-        cross, smooth = q.agg(F.sum(dot("xw", "h")), F.sum(F.col("d") * dot("h", "h") - dot("h", "ah"))).first()
-        return max(0.0, square - 2 * cross + float((hh * ww).sum())) + lam_eff * smooth
-
-    ww = linalg.gram_of(w, "h", k)
-    q = cut(state(h, w))
-    trace.append(objective(q, ww))
-    for it in range(n_iter):
-        down = linalg.times(F.col("h"), ww)
-        new = [F.get("h", i) * (F.get("xw", i) + lam_eff * F.get("ah", i)) / (down[i] + lam_eff * F.col("d") * F.get("h", i) + eps) for i in range(k)]
-        h = cut(q.select("spot_id", F.array(*new).alias("h")))
-        hh = linalg.gram_of(h, "h", k)
-        xh = x.join(h, "spot_id").groupBy("gene_id").agg(*linalg.sum_vector("h", k, F.col("value"))).select("gene_id", unpack("xh"))
-        down = linalg.times(F.col("h"), hh)
-        w = w.join(xh, "gene_id", "left").withColumn("xh", F.coalesce("xh", zero))
-        w = cut(w.select("gene_id", F.array(*(F.get("h", i) * F.get("xh", i) / (down[i] + eps) for i in range(k))).alias("h")))
-        ww, done = linalg.gram_of(w, "h", k), it + 1
-        q = cut(state(h, w))
-        trace.append(objective(q, ww))
-        if tol and trace[-2] > EPS and abs(trace[-2] - trace[-1]) / trace[-2] < tol:
+    def times_gram(rows: DataFrame, grams: dict[int, np.ndarray]) -> tuple[DataFrame, list[Column]]:
+        """rows with their run's lam and Gram matrix, and the entries of h times it."""
+        flat = spark.createDataFrame([(r, lam_eff[r], g.ravel().tolist()) for r, g in grams.items()], "run long, lam double, g array<double>")
+        return rows.join(F.broadcast(flat), "run"), [sum((F.get("h", j) * F.get("g", j * k + i) for j in range(k)), F.lit(0e0)) for i in range(k)]
+
+    h, w = cut(h), cut(w)
+    hh, ww = linalg.grams_by(h, "run", "h", k), linalg.grams_by(w, "run", "h", k)
+    going, traces, out = [r for r, _, _ in runs if r in hh], {r: [] for r, _, _ in runs}, {}
+    out |= {r: result(r, [], 0) for r, _, _ in runs if r not in hh}
+    for it in range(n_iter + 1):
+        q = state(h, w)
+        sums = [F.sum(F.when(F.col("run") == r, v)).alias(f"{name}{r}") for r in going for name, v in (("c", dot("xw", "h")), ("s", F.col("d") * dot("h", "h") - dot("h", "ah")))]
+        if it < n_iter:
+            seen = Observation()
+            rows, down = times_gram(q.observe(seen, *sums), {r: ww[r] for r in going})
+            new = [F.get("h", i) * (F.get("xw", i) + F.col("lam") * F.get("ah", i)) / (down[i] + F.col("lam") * F.col("d") * F.get("h", i) + eps) for i in range(k)]
+            ahead, found = cut(rows.select("run", "spot_id", F.array(*new).alias("h"))), seen.get
+        else:
+            found = q.agg(*sums).first().asDict()
+        for r in list(going):
+            trace = traces[r]
+            trace.append(max(0.0, square[r] - 2 * found[f"c{r}"] + float((hh[r] * ww[r]).sum())) + lam_eff[r] * found[f"s{r}"])
+            if it == n_iter or (tol and it and trace[-2] > EPS and abs(trace[-2] - trace[-1]) / trace[-2] < tol):
+                out[r] = result(r, trace, it)
+                going.remove(r)
+        if not going:
             break
-    return Factorisation(h, w.withColumnRenamed("h", "w"), trace, done, lam_eff)
+        left = F.col("run").isin(going)
+        h, w = ahead.where(left), w.where(left)
+        hh = linalg.grams_by(h, "run", "h", k)
+        xh = x.join(h, ["spot_id", *ex]).groupBy("run", "gene_id").agg(*linalg.sum_vector("h", k, F.col("value"))).select("run", "gene_id", unpack("xh"))
+        rows, down = times_gram(w.join(xh, ["run", "gene_id"], "left").withColumn("xh", F.coalesce("xh", zero)), hh)
+        w = cut(rows.select("run", "gene_id", F.array(*(F.get("h", i) * F.get("xh", i) / (down[i] + eps) for i in range(k))).alias("h")))
+        ww = linalg.grams_by(w, "run", "h", k)
+    return out
 
 
 def plain_nmf(expr: DataFrame, spots: DataFrame, n_genes: int, k: int, n_iter: int = 300, seed: int = 0) -> Factorisation:

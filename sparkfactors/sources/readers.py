@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.concordance import has_label
 
 #: Where ground truth may stand, first choice first, for the runner and for the slide loader (fixed values).
-RUNNER_KEYS = ("layer_guess", "layer_guess_reordered", "layer_guess_reordered_short", "spatialLIBD", "Cluster")
-LOADER_KEYS = ("layer_guess_reordered_short", "layer_guess_reordered", "layer_guess", "spatialLIBD", "Cluster", "ground_truth_domain")
+RUNNER_KEYS = ("layer_guess", "layer_guess_reordered_short", "ground_truth_domain", "ground_truth", "spatial_domain")
+LOADER_KEYS = ("layer_guess_reordered_short", "layer_guess_reordered", "layer_guess", "spatialLIBD", "Layer", "layer")
 
 
 class SchemaError(ValueError):

@@ -79,7 +79,7 @@ def test_nnls_and_pca(spark):
     r = np.random.default_rng(4)
     for _ in range(20):
         a, b = r.random((30, 4)), r.normal(size=30)
-        x = linalg.nnls(a.T @ a, a.T @ b)
+        x = linalg.nnls(a.T @ a, a.T @ b)[0]
         g = a.T @ (a @ x - b)
         assert (x >= 0).all() and (g > -1e-6).all() and abs(g @ x) < 1e-6
     h = r.random((50, 4))
