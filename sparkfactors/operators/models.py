@@ -95,20 +95,26 @@ def fit_nmf_runs(
     both = None
     if edges is not None and any(lam_eff.values()):
         both = cut(edges.select(*ed, "src", "dst").union(edges.select(*ed, "dst", "src")))
-        deg = both.groupBy(*ed, F.col("src").alias("spot_id")).agg(F.count("*").alias("d"))
-    zero = F.array(*[F.lit(0e0)] * k)
     numbers = n_genes * k * len(runs)
-    unpack = lambda name: F.array(*(F.col(f"x{i}") for i in range(k))).alias(name)
+
+    def summed(key: str, names: str, *parts: tuple[DataFrame, str, Column | None]) -> DataFrame:
+        """run, key and an array for each letter of names: sums by run and key of the parts (rows, letter, weight), each
+        of which gives its array h, times weight, to its letter; d counts the rows of the second of three parts. All parts meet in one shuffle. Keys that the last part does not name are left out."""
+        rows = None
+        for at, (df, letter, weight) in enumerate(parts):
+            value = lambda i: F.get("h", i) if weight is None else F.get("h", i) * weight  # noqa: E731, B023
+            cols = [(value(i) if x == letter else F.lit(0e0)).alias(f"{x}{i}") for x in names for i in range(k)]
+            flags = F.lit(int(at == 1 and len(parts) == 3)).alias("d"), F.lit(int(at == len(parts) - 1)).alias("own")
+            one = df.select("run", key, *cols, *flags)
+            rows = one if rows is None else rows.unionByName(one)
+        sums = rows.groupBy("run", key).agg(*(F.sum(f"{x}{i}").alias(f"{x}{i}") for x in names for i in range(k)), F.sum("d").alias("d"), F.max("own").alias("own"))
+        return sums.where("own = 1").select("run", key, *(F.array(*(F.col(f"{x}{i}") for i in range(k))).alias(x) for x in names), "d")
 
     def state(h: DataFrame, w: DataFrame) -> DataFrame:
-        """run, spot_id, h, xw, ah, d."""
-        xw = x.join(_small(w, numbers), ["gene_id", *ex]).groupBy("run", "spot_id").agg(*linalg.sum_vector("h", k, F.col("value"))).select("run", "spot_id", unpack("xw"))
-        q = h.join(xw, ["run", "spot_id"], "left").withColumn("xw", F.coalesce("xw", zero))
-        if both is None:
-            return q.withColumns({"ah": zero, "d": F.lit(0)})
-        ah = both.join(h.withColumnRenamed("spot_id", "dst"), ["dst", *ed]).groupBy("run", F.col("src").alias("spot_id")).agg(*linalg.sum_vector("h", k))
-        q = q.join(ah.select("run", "spot_id", unpack("ah")), ["run", "spot_id"], "left").join(deg, ["spot_id", *ed], "left")
-        return q.withColumns({"ah": F.coalesce("ah", zero), "d": F.coalesce("d", F.lit(0))})
+        """run, spot_id, h, x (values times loadings), a (sum over neighbours) and d (degree)."""
+        xw = x.join(_small(w, numbers), ["gene_id", *ex])
+        ah = both.join(h.withColumnRenamed("spot_id", "dst"), ["dst", *ed]).withColumnRenamed("src", "spot_id") if both is not None else h.limit(0)
+        return summed("spot_id", "hxa", (xw, "x", F.col("value")), (ah, "a", None), (h, "h", None))
 
     def dot(a: str, b: str) -> Column:
         return sum((F.get(a, i) * F.get(b, i) for i in range(k)), F.lit(0e0))
@@ -124,11 +130,11 @@ def fit_nmf_runs(
     out |= {r: result(r, [], 0) for r, _, _ in runs if r not in hh}
     for it in range(n_iter + 1):
         q = state(h, w)
-        sums = [F.sum(F.when(F.col("run") == r, v)).alias(f"{name}{r}") for r in going for name, v in (("c", dot("xw", "h")), ("s", F.col("d") * dot("h", "h") - dot("h", "ah")))]
+        sums = [F.sum(F.when(F.col("run") == r, v)).alias(f"{name}{r}") for r in going for name, v in (("c", dot("x", "h")), ("s", F.col("d") * dot("h", "h") - dot("h", "a")))]
         if it < n_iter:
             seen = Observation()
             rows, down = times_gram(q.observe(seen, *sums), {r: ww[r] for r in going})
-            new = [F.get("h", i) * (F.get("xw", i) + F.col("lam") * F.get("ah", i)) / (down[i] + F.col("lam") * F.col("d") * F.get("h", i) + eps) for i in range(k)]
+            new = [F.get("h", i) * (F.get("x", i) + F.col("lam") * F.get("a", i)) / (down[i] + F.col("lam") * F.col("d") * F.get("h", i) + eps) for i in range(k)]
             ahead, found = cut(rows.select("run", "spot_id", F.array(*new).alias("h"))), seen.get
         else:
             found = q.agg(*sums).first().asDict()
@@ -143,9 +149,8 @@ def fit_nmf_runs(
         left = F.col("run").isin(going)
         h, w = ahead.where(left), w.where(left)
         hh = linalg.grams_by(h, "run", "h", k)
-        xh = x.join(h, ["spot_id", *ex]).groupBy("run", "gene_id").agg(*linalg.sum_vector("h", k, F.col("value"))).select("run", "gene_id", unpack("xh"))
-        rows, down = times_gram(w.join(xh, ["run", "gene_id"], "left").withColumn("xh", F.coalesce("xh", zero)), hh)
-        w = cut(rows.select("run", "gene_id", F.array(*(F.get("h", i) * F.get("xh", i) / (down[i] + eps) for i in range(k))).alias("h")))
+        rows, down = times_gram(summed("gene_id", "hx", (x.join(h, ["spot_id", *ex]), "x", F.col("value")), (w, "h", None)), hh)
+        w = cut(rows.select("run", "gene_id", F.array(*(F.get("h", i) * F.get("x", i) / (down[i] + eps) for i in range(k))).alias("h")))
         ww = linalg.grams_by(w, "run", "h", k)
     return out
 

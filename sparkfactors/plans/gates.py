@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..functions import concordance, spatial
 from ..functions.concordance import has_label
 from ..operators.graph import hash_unit
@@ -98,10 +99,10 @@ def knee(errors: DataFrame, least: float = 0.05) -> DataFrame:
 
 def holdout(spots: DataFrame, share: float, seed: int = 0) -> tuple[DataFrame, DataFrame, int]:
     """Training and test spots: the first round(share n) of a hashed order are the test, one at least."""
-    n = spots.count()
-    n_test = max(1, round(share * n))
-    rows = spots.select("spot_id").withColumn("r", F.row_number().over(Window.orderBy(hash_unit(seed, F.col("spot_id")), "spot_id")))
-    return rows.where(F.col("r") > n_test).select("spot_id"), rows.where(F.col("r") <= n_test).select("spot_id"), n_test
+    ids = cut(spots.select("spot_id"))
+    n_test = max(1, round(share * ids.count()))
+    test = cut(ids.orderBy(hash_unit(seed, F.col("spot_id")), "spot_id").limit(n_test))
+    return ids.join(test, "spot_id", "left_anti"), test, n_test
 
 
 def refit_holdout_error(expr: DataFrame, h: DataFrame, k: int, spots: DataFrame, share: float = 0.2, seed: int = 0) -> float:

@@ -154,11 +154,6 @@ def _(spark, sf):
     return r6(prep.top_variance_genes(ad.embedding_expr(spark, sf), ad.embedding_spots(spark, sf).agg(F.count("*")), 20), "var")
 
 
-@query("hvg_dispersion")
-def _(spark, sf):
-    return r6(prep.dispersion_genes(ad.embedding_expr(spark, sf), ad.embedding_spots(spark, sf).agg(F.count("*")), 20), "score")
-
-
 @query("zscore_cols", f"WITH {LONG} SELECT spot_id, k, round((v - avg(v) OVER w) / greatest(stddev_pop(v) OVER w, 1e-6), 6) + 0e0 AS v FROM vals WINDOW w AS (PARTITION BY k)")
 def _(spark, sf):
     return r6(prep.zscore(vals(spark, sf), "k", "floor"), "v")
