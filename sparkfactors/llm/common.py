@@ -46,6 +46,21 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, *keys: str) -> tuple[DataFrame, str]:
+    """df as a table in the shared scratch folder, bucketed and sorted by keys, so that joins and merges on them need no
+    shuffle of it; and the table's name, for drop_tables once nothing more is read from it."""
+    spark, name = df.sparkSession, f"scratch_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").option("compression", "zstd").option("path", scratch_dir(spark))
+    writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortBy(*keys).saveAsTable(name)
+    return spark.table(name), name
+
+
+def drop_tables(spark: SparkSession, *names: str) -> None:
+    """Forget tables of bucketed(); their files stay in the scratch folder."""
+    for name in names:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def release(spark: SparkSession) -> None:
     """Delete every scratch folder written so far; only for callers that have stored the results made from them."""
     while _written:

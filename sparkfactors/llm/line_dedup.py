@@ -12,8 +12,6 @@ merges of runs need no shuffle: a batch is shuffled once, however many runs ther
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +40,6 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, fan_out: int = 2):
         self.spark, self.fan_out = spark, fan_out
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = []
         self.tables: list[str] = []
 
@@ -50,11 +47,9 @@ class LineRuns:
         return [r for level in self.levels for r in level]
 
     def _sorted(self, run: DataFrame) -> DataFrame:
-        name = f"line_run_{uuid.uuid4().hex}"
-        writer = run.write.format("parquet").option("compression", "zstd").option("path", c.scratch_dir(self.spark))
-        writer.bucketBy(self.buckets, *KEY).sortBy(*KEY).saveAsTable(name)
+        table, name = c.bucketed(run, *KEY)
         self.tables.append(name)
-        return self.spark.table(name)
+        return table
 
     def add(self, batch: DataFrame) -> None:
         """Add a batch's keys (h1, h2, n_docs, keeper, one row a key) as a run and compact full levels."""
@@ -73,8 +68,7 @@ class LineRuns:
 
     def drop(self) -> None:
         """Forget the runs; their files go with the scratch folder."""
-        for name in self.tables:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        c.drop_tables(self.spark, *self.tables)
         self.levels, self.tables = [], []
 
 

@@ -9,9 +9,10 @@ confirmed on the full sets: in two rounds the best of each component, by which m
 together, then all that lie between components that are left.
 
 Larger regions that are then one component are done. In the others every class outside the largest component is held
-against all of the region on the full sets, inside tasks that keep track of what is linked already: they put out no
-pairs but the links that join components, fewer than there are classes. Regions too large for one block are replaced
-by those of a second forest, twice as deep and with as many more trees as that takes to miss no more pairs.
+against all of the region, inside tasks, by signature; classes that so have a likely partner in another component are
+held against each other on the full sets, by tasks that keep track of what is linked already: they put out no pairs but
+the links that join components, fewer than there are classes. Regions too large for one block are replaced by those of
+a second forest, twice as deep and with as many more trees as that takes to miss no more pairs.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ class Forest:
     percent: int = 75
     likely: float = 0.55
     all_pairs: int = 6
-    near: int = 3
+    near: int = 1
     split_at: int = 2048
     block: int = 1 << 20
 
@@ -182,24 +183,21 @@ def likely_pairs(pairs: DataFrame, classes: DataFrame, f: Forest) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, named: DataFrame, k: int) -> DataFrame:
-    """cid, n_shingles, sig, s (the set) of the documents whose ids are among the cid of named. Others are not shuffled."""
+    """cid and s (the set) of the documents whose ids are among the cid of named."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = c.WordHashes()
         for batch in batches:
-            sets = [shingles(t, hashes, k) for t in batch["text"]]
-            sig = [minima(s).astype(np.uint8).tobytes() for s in sets]
-            yield pd.DataFrame({"cid": batch["doc_id"], "n_shingles": [len(s) for s in sets], "sig": sig, "s": [s.tobytes() for s in sets]})
+            yield pd.DataFrame({"cid": batch["doc_id"], "s": [shingles(t, hashes, k).tobytes() for t in batch["text"]]})
 
     rows = docs.select("doc_id", "text", c.text_key(F.col("text")).alias("k")).where("doc_id IS NOT NULL")
     rows = rows.join(named.select(F.col("cid").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "k"])
-    return rows.select("doc_id", "text").mapInPandas(run, "cid long, n_shingles long, sig binary, s binary").where("n_shingles > 0")
+    return rows.select("doc_id", "text").mapInPandas(run, "cid long, s binary").where("length(s) > 0")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, f: Forest) -> DataFrame:
     """Those of pairs (a, b) whose full sets are similar enough."""
-    s = sets.select("cid", "s")
-    both = pairs.select("a", "b").join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b")
+    both = pairs.select("a", "b").join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
@@ -235,53 +233,74 @@ def mixed_regions(rows: DataFrame, labels: DataFrame, f: Forest) -> DataFrame:
     regions = members.groupBy("region").agg(F.max(F.struct("n", "root", "w")).alias("top"), F.sum("w").alias("w"), F.count("*").alias("n_roots")).where("n_roots > 1")
     blocks = lambda w: F.ceil(w / f.block)
     regions = regions.select("region", F.col("top.root").alias("largest"), blocks(F.col("w") - F.col("top.w")).alias("nx"), blocks(F.col("w")).alias("ny"))
-    return rows.join(regions, "region").select("region", "cid", "root", "largest", "nx", "ny")
+    return rows.join(regions, "region").select("region", "cid", "n_shingles", "root", "largest", "nx", "ny")
 
 
-def deep_regions(named: DataFrame, sets: DataFrame) -> DataFrame:
-    """region, cid, n_shingles of the classes named (cid) in each tree of the second forest, for regions of two or more."""
+def deep_regions(sets: DataFrame) -> DataFrame:
+    """region, cid, n_shingles of each class in each tree of the second forest, for regions of two or more."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             own = [minima(np.frombuffer(s, np.uint64), _DEEP).reshape(DEEP_TREES, DEEP_DEPTH).astype(np.uint64) for s in p["s"]]
-            yield p[["cid", "n_shingles"]].assign(regions=[region_keys(x) for x in own])
+            yield pd.DataFrame({"cid": p["cid"], "n_shingles": [len(s) // 8 for s in p["s"]], "regions": [region_keys(x) for x in own]})
 
-    keys = sets.join(named, "cid", "left_semi").select("cid", "n_shingles", "s").mapInPandas(run, "cid long, n_shingles long, regions array<long>")
+    keys = sets.mapInPandas(run, "cid long, n_shingles long, regions array<long>")
     rows = c.materialize(keys).select("cid", "n_shingles", F.explode("regions").alias("region"))
     return rows.join(rows.groupBy("region").count().where("count > 1").select("region"), "region")
 
 
-def local_links(g: pd.DataFrame, f: Forest) -> tuple[list[int], list[int]]:
-    """Pairs of classes similar enough that join components of g's rows: those of a class that is `left` and one that is
-    `right`, of which one is outside the largest component. Pairs of what is linked already are not tested."""
-    cid, n, left = (g[x].to_numpy() for x in ("cid", "n_shingles", "left"))
-    sig = np.frombuffer(b"".join(g["sig"]), np.uint8).reshape(len(g), N_MINIMA)
-    first = np.cumsum(n) - n
-    words, codes = np.unique(np.frombuffer(b"".join(g["s"]), np.uint64), return_inverse=True)
-    label = np.unique(g["root"].to_numpy(), return_inverse=True)[1]
-    outside, right, mine = (g["root"] != g["largest"]).to_numpy(), g["right"].to_numpy(), np.zeros(len(words), bool)
-    a, b = [], []
-    for i in np.flatnonzero(left):
-        # Two classes outside the largest component meet once. Sets of too different sizes can't be similar enough.
-        meet = right & (label != label[i]) & (~outside | (cid > cid[i])) & (100 * np.minimum(n, n[i]) >= f.percent * np.maximum(n, n[i]))
+class Block:
+    """Rows of a pair of blocks of one region, and what is linked in it so far."""
+
+    def __init__(self, g: pd.DataFrame, f: Forest):
+        self.f, self.cid, self.n, self.left, self.right = f, *(g[x].to_numpy() for x in ("cid", "n_shingles", "left", "right"))
+        self.outside = (g["root"] != g["largest"]).to_numpy()
+        self.sig = np.frombuffer(b"".join(g["sig"]), np.uint8).reshape(len(g), N_MINIMA)
+        self.label = np.unique(g["root"].to_numpy(), return_inverse=True)[1]
+
+    def likely(self, i: int) -> np.ndarray:
+        """Rows of other components that may be similar to row i: by size, then by signature. Of two classes outside the
+        largest component, the one with the smaller cid looks for the other."""
+        n, most = self.n, np.maximum(self.n, self.n[i])
+        meet = self.right & (self.label != self.label[i]) & (~self.outside | (self.cid > self.cid[i])) & (100 * np.minimum(n, n[i]) >= self.f.percent * most)
         j = np.flatnonzero(meet)
-        j = j[np.count_nonzero(sig[j] == sig[i], axis=1) >= f.likely * N_MINIMA]
+        return j[np.count_nonzero(self.sig[j] == self.sig[i], axis=1) >= self.f.likely * N_MINIMA]
+
+
+def likely_rows(g: pd.DataFrame, f: Forest) -> pd.DataFrame:
+    """region, cid of the rows that are likely similar to one of another component."""
+    block, found = Block(g, f), np.zeros(len(g), bool)
+    for i in np.flatnonzero(block.left):
+        j = block.likely(i)
+        found[j] = True
+        found[i] |= len(j) > 0
+    return g.loc[found, ["region", "cid"]]
+
+
+def local_links(g: pd.DataFrame, f: Forest) -> pd.DataFrame:
+    """a < b: pairs of classes similar enough that join components. Pairs of what is linked already are not tested."""
+    block, n = Block(g, f), g["n_shingles"].to_numpy()
+    first, cid, label = np.cumsum(n) - n, block.cid, block.label
+    words, codes = np.unique(np.frombuffer(b"".join(g["s"]), np.uint64), return_inverse=True)
+    mine, links = np.zeros(len(words), bool), []
+    for i in np.flatnonzero(block.left):
+        j = block.likely(i)
         if not len(j):
             continue
-        mine[codes[first[i] : first[i] + n[i]]] = True
+        own = codes[first[i] : first[i] + n[i]]
+        mine[own] = True
         start = np.cumsum(n[j]) - n[j]
         common = np.add.reduceat(mine[codes[np.repeat(first[j] - start, n[j]) + np.arange(n[j].sum())]], start, dtype=np.int64)
-        mine[codes[first[i] : first[i] + n[i]]] = False
+        mine[own] = False
         for k in j[100 * common >= f.percent * (n[i] + n[j] - common)]:
             if label[k] != label[i]:
                 label[label == label[k]] = label[i]
-                a.append(min(cid[i], cid[k]))
-                b.append(max(cid[i], cid[k]))
-    return a, b
+                links.append((min(cid[i], cid[k]), max(cid[i], cid[k])))
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
-def link_regions(rows: DataFrame, sets: DataFrame, f: Forest) -> DataFrame:
-    """a < b: links that join components, from the rows of mixed_regions.
+def in_blocks(rows: DataFrame, held: DataFrame, kernel, f: Forest, schema: str) -> DataFrame:
+    """What kernel makes of each pair of blocks of each region, for rows of mixed_regions and what is held of a class.
 
     The classes outside the largest component are held against all of their region. Both sides are dealt to blocks of
     about f.block, and each pair of blocks is compared by itself, so a hot region is spread over tasks.
@@ -295,7 +314,8 @@ def link_regions(rows: DataFrame, sets: DataFrame, f: Forest) -> DataFrame:
     to_all = F.transform(F.sequence(F.lit(0).cast("long"), F.col("nx") - 1), lambda i: place(i, y, odd & (i == x), F.lit(True)))
     others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("ny") - 1), lambda j: odd & (j != y))
     places = F.concat(to_all, F.transform(others, lambda j: place(x, j, F.lit(True), F.lit(False))))
-    rows = rows.select("region", "cid", "root", "largest", F.explode(places).alias("at")).select("region", "at.*", "cid", "root", "largest")
+    cols = ("cid", "n_shingles", "root", "largest")
+    rows = rows.select("region", *cols, F.explode(places).alias("at")).select("region", "at.*", *cols)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: list[pd.DataFrame] = []
@@ -303,29 +323,36 @@ def link_regions(rows: DataFrame, sets: DataFrame, f: Forest) -> DataFrame:
         for batch in batches:
             key = batch[["region", "x", "y"]].to_numpy()
             starts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
-            a, b = [], []
+            found = []
             for i, j in zip(starts, starts[1:], strict=False):
                 if rest and i < j and tuple(key[i]) != last:
-                    found = local_links(pd.concat(rest), f)
-                    rest, a, b = [], a + found[0], b + found[1]
+                    found.append(kernel(pd.concat(rest), f))
+                    rest = []
                 if i < j:
                     rest.append(batch.iloc[i:j])
                     last = tuple(key[i])
-            yield pd.DataFrame({"a": a, "b": b}, dtype="int64")
+            if found:
+                yield pd.concat(found)
         if rest:
-            a, b = local_links(pd.concat(rest), f)
-            yield pd.DataFrame({"a": a, "b": b}, dtype="int64")
+            yield kernel(pd.concat(rest), f)
 
     order = ("region", "x", "y")
-    return rows.join(sets, "cid").repartition(*order).sortWithinPartitions(*order, "cid").mapInPandas(run, "a long, b long")
+    return rows.join(held, "cid").repartition(*order).sortWithinPartitions(*order, "cid").mapInPandas(run, schema)
+
+
+def link_regions(rows: DataFrame, docs: DataFrame, classes: DataFrame, f: Forest) -> DataFrame:
+    """a < b: links that join components, from the rows of mixed_regions."""
+    sig = classes.select("cid", "sig")
+    found = c.materialize(in_blocks(rows, sig, likely_rows, f, "region long, cid long").distinct())
+    sets = shingle_sets(docs, found.select("cid").distinct(), f.k)
+    return in_blocks(rows.join(found, ["region", "cid"], "left_semi"), sets.join(sig, "cid"), local_links, f, "a long, b long")
 
 
 def link_components(docs: DataFrame, classes: DataFrame, f: Forest) -> DataFrame:
     """v, root of classes that are linked to another: neighbours of the forest first, then what is left in large regions."""
     pairs = c.materialize(likely_pairs(candidates(classes, f), classes, f))
-    large = c.materialize(in_regions(classes, f.all_pairs + 1).select("region", "cid", "n_shingles"))
-    named = pairs.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(large.select("cid")).distinct()
-    sets = c.materialize(shingle_sets(docs, named, f.k))
+    named = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    sets, table = c.bucketed(shingle_sets(docs, named, f.k), "cid")
     labels = docs.sparkSession.createDataFrame([], "v long, root long")
 
     def confirmed(links: DataFrame) -> None:
@@ -346,12 +373,13 @@ def link_components(docs: DataFrame, classes: DataFrame, f: Forest) -> DataFrame
         tried = c.materialize(best_first(todo)) if best else todo
         confirmed(confirm(tried, sets, f))
         todo = todo.join(tried, ["a", "b"], "left_anti")
-    mixed = c.materialize(mixed_regions(large, labels, f))
-    found = link_regions(mixed.where("nx = 1"), sets, f)
+    c.drop_tables(docs.sparkSession, table)
+    mixed = c.materialize(mixed_regions(in_regions(classes, f.all_pairs + 1), labels, f))
+    found = link_regions(mixed.where("nx = 1"), docs, classes, f)
     hot = mixed.where("nx > 1").select("cid").distinct()
     if hot.take(1):
-        deep = c.materialize(mixed_regions(deep_regions(hot, sets), labels, f))
-        found = found.unionByName(link_regions(deep, sets, f))
+        deep = c.materialize(mixed_regions(deep_regions(shingle_sets(docs, hot, f.k)), labels, f))
+        found = found.unionByName(link_regions(deep, docs, classes, f))
     confirmed(found)
     return labels
 

@@ -408,6 +408,64 @@ def test_secrets_all_of_a_word(spark):
     assert secret_scan.scan_secrets(d).count() == 8
 
 
+def test_secrets_candidates_against_regular_expressions(docs, rows):
+    """Candidates of the table with nulls, odd and very long texts, by Python's own expressions."""
+    want = []
+    for d, t in rows:
+        for word in WORD.findall(t or ""):
+            for m in re.finditer(r"(?:-*[A-Za-z_][A-Za-z0-9_-]*=(?=[A-Za-z0-9+/_-][A-Za-z0-9+/_=-]{15}))?([A-Za-z0-9+/_=-]{16,})", word):
+                if re.search("[0-9]", m[1]):
+                    want.append((d, m[1]))
+    same(secret_scan.find_candidates(docs).select("doc_id", "value"), want)
+    assert secret_scan.scan_secrets(docs).count() == len(want)
+
+
+def test_secrets_without_reviewed_labels(spark):
+    """What a place settles elsewhere is told from the string alone: secrets that nothing names, and names of files."""
+    import random
+
+    r, rows, truth = random.Random(3), [], {}
+    for i in range(400):
+        secret, named = i % 2 == 0, i % 3 > 0
+        value = "".join(r.choice("0123456789abcdef") for _ in range(40)) if secret else f"chapter-of-the-book-{i}"
+        rows.append((i, f"some words {'token: ' if secret and named else 'of: ' if not named else ''}{value} and more"))
+        truth[i] = secret
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x["is_secret"] for x in secret_scan.scan_secrets(d).collect()}
+    unnamed = [i for i in truth if i % 3 == 0]
+    assert sum(got[i] == truth[i] for i in unnamed) >= 0.95 * len(unnamed)
+
+
+BIG = 2**53 + 1
+
+
+def test_large_ids_beside_nulls(spark):
+    """Batches with a null id leave the others as they are."""
+    prose = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(3)]
+    rows = [(BIG, prose[0]), (None, prose[1]), (BIG + 2, prose[0]), (BIG + 4, prose[2]), (None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = sorted((x[0] for x in rows), key=repr)
+    bench = spark.createDataFrame([(1, prose[0][:80])], "item_id long, text string")
+    for out in (
+        near_dedup.near_components(d), pii.scan_pii(d), packing.pack(d, PATH), token_count.count_documents(d, PATH, 49407),
+        decontaminate.contamination_report(d, bench), substring_dedup.dedup_substrings(d),
+    ):
+        assert sorted((x["doc_id"] for x in out.collect()), key=repr) == want, out.columns
+    left = near_dedup.dedup_near(d)
+    assert sorted((x["doc_id"] for x in left.collect()), key=repr) == sorted((BIG, BIG + 4, None, None), key=repr)
+    assert {x["component_id"] for x in near_dedup.near_components(d).collect()} == {BIG, BIG + 4, None}
+
+
+def test_near_dedup_repeated_ids(spark):
+    """Rows that share an id are judged by their own texts; of rows that share id and text, one stays."""
+    a, b, x = (" ".join(f"{p}{j}" for j in range(60)) for p in "abx")
+    rows = [(1, a), (2, a), (2, b), (3, x), (3, x), (4, b + " more")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"k": F.lit("clash"), "row": F.lit(1)})
+    left = near_dedup.dedup_near(d)
+    assert left.columns == d.columns
+    assert (1, a) in [x[:2] for x in left.collect()] and sorted(x["doc_id"] for x in left.collect()).count(3) == 1
+
+
 def test_url_filter(spark):
     urls = [None, "no scheme", "HTTP://A.Example.COM/en/7x?q#f", "x://y://z/en/", "http://b.org/es/1", "http://c.net#/de/", "http://c.net/de/81", "http://example.net/de/81/", "http://com/en/9", "http://xcom/en/9", "http://é.com/en/\n8"]
     d = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls + urls)], "page_id long, url string, host string")
