@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,27 +91,51 @@ def pair_distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0e0), lambda s, v: s + v))
 
 
-def silhouette(points: DataFrame, blocks: int = 16) -> DataFrame:
+def _distance_sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """id, label, label2, d, n: of each left point the sum of distances to the right points of each label, and their
+    number, itself left out."""
+    a, b = np.stack(left["h"].to_list()), np.stack(right["h"].to_list())
+    middle = b.mean(axis=0)
+    a, b = a - middle, b - middle
+    d = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * (a @ b.T)
+    same = left["id"].to_numpy()[:, None] == right["id"].to_numpy()
+    d = np.sqrt(np.maximum(d, 0.0))
+    d[same] = 0.0
+    labels, code = np.unique(right["label2"].to_numpy(dtype=object), return_inverse=True)
+    of = (code[:, None] == np.arange(len(labels))).astype(float)
+    sums, counts = d @ of, (~same).astype(float) @ of
+    rows = np.repeat(np.arange(len(left)), len(labels))
+    out = left[["id", "label"]].iloc[rows].reset_index(drop=True)
+    return out.assign(label2=np.tile(labels, len(left)), d=sums.ravel(), n=counts.ravel())
+
+
+def silhouette(points: DataFrame, block: int = 1024) -> DataFrame:
     """silhouette: mean of (b - a) / max(a, b) over points (id, label, h: array<double>); a spot alone in its label has
     a = 0. Null for one label, or with as many labels as points.
 
-    Every distance counts, so the work is the square of the points by definition; points meet in blocks x blocks tasks
-    by an equi-join on block numbers, and distances are summed per point and label before they are shuffled.
+    Every distance counts, so the work is the square of the points by definition. Points are dealt to blocks of about
+    `block`; each pair of blocks is one product of matrices in a task, which gives sums by point and label.
     """
     n = points.count()
     k = points.select("label").distinct().count()
     if k < 2 or k >= n:
         return points.sparkSession.range(1).select(F.lit(None).cast("double").alias("silhouette"))
-    blocks = max(1, min(blocks, n // 256 + 1))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    left = points.select("id", "label", "h", block.alias("x")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = points.select(F.col("id").alias("id2"), F.col("label").alias("label2"), F.col("h").alias("h2"), block.alias("y")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    d = left.join(right, ["x", "y"]).where("id <> id2").groupBy("id", "label", "label2").agg(F.avg(pair_distance(F.col("h"), F.col("h2"))).alias("d"))
+    blocks = n // block + 1
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks))
+    rows = points.select(F.col("id").cast("long").alias("id"), F.col("label").cast("string").alias("label"), F.col("h").cast("array<double>").alias("h"), own.alias("b"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = rows.select("id", "label", "h", F.col("b").alias("x"), every.alias("y"))
+    right = rows.select("id", F.col("label").alias("label2"), "h", F.col("b").alias("y"), every.alias("x"))
+    sums = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(lambda a, b: _distance_sums(a, b) if len(a) and len(b) else _NO_SUMS, "id long, label string, label2 string, d double, n double")
+    d = sums.groupBy("id", "label", "label2").agg(F.try_divide(F.sum("d"), F.sum("n")).alias("d"))
     ab = d.groupBy("id").agg(F.coalesce(F.max(F.when(F.col("label") == F.col("label2"), F.col("d"))), F.lit(0e0)).alias("a"), F.min(F.when(F.col("label") != F.col("label2"), F.col("d"))).alias("b"))
     s = F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0e0))
     return ab.agg(F.avg(s).alias("silhouette"))
 
 
+_NO_SUMS = pd.DataFrame({"id": pd.Series(dtype="int64"), "label": pd.Series(dtype=object), "label2": pd.Series(dtype=object), "d": pd.Series(dtype=float), "n": pd.Series(dtype=float)})
+
+
 def calinski_harabasz(points: DataFrame) -> DataFrame:
     """ch: spread between labels over spread within, for points (id, label, h); null as silhouette, or with none within."""
     long = points.select("id", "label", F.posexplode("h").alias("j", "v"))

@@ -15,54 +15,61 @@ def hash_unit(*parts) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / float(16**12)
 
 
-def _nearest(pairs: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("src").orderBy("d2", "dst")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def _squares(px: Column, py: Column) -> Column:
+    return (F.col("x") - px) * (F.col("x") - px) + (F.col("y") - py) * (F.col("y") - py)
+
+
+def _cuts(values: DataFrame, by: tuple[str, ...], axis: str, most: int) -> DataFrame:
+    """by, cuts: the inner edges of n_cuts runs of about equal size along an axis; values: by, axis, n_cuts <= most."""
+    at = [i / most for i in range(1, most)] or [0.5]
+    fine = values.groupBy(*by).agg(F.percentile_approx(axis, at, 10_000).alias("e"), F.max("n_cuts").alias("n_cuts"))
+    picked = F.transform(F.sequence(F.lit(1), F.col("n_cuts") - 1), lambda i: F.get("e", F.round(i * F.lit(float(most)) / F.col("n_cuts")).cast("int") - 1))
+    return fine.select(*by, F.when(F.col("n_cuts") > 1, picked).otherwise(F.array().cast("array<double>")).alias("cuts"))
+
 
+def _reached(cuts: Column, v: Column) -> Column:
+    """How many cuts lie at or below v: the number of v's run."""
+    return F.size(F.filter(cuts, lambda e: e <= v))
 
-def knn(spots: DataFrame, k: int, by_section: bool = True, per_cell: float = 4.0) -> DataFrame:
+
+def knn(spots: DataFrame, k: int, by_section: bool = True, per_cell: int = 64) -> DataFrame:
     """src, dst, rank, d2: the k nearest other spots (all others if fewer), ties by dst; of a section, or of all.
 
-    Exact without comparing all pairs: spots are dealt to square cells of about per_cell spots. A spot looks at the
-    cells up to r away; once k spots lie within r cell sides they are its nearest, else r doubles for it alone.
+    Exact without comparing all pairs, however spots cluster: a section is cut by quantiles of x, and each slab by
+    quantiles of y, into cells of about per_cell spots. A spot's k nearest in its own cell give a circle that holds its
+    k nearest; the other cells which that circle meets are searched for what lies inside it.
     """
     if k < 0:
         raise ValueError("k must not be negative")
     key = F.col("section_id") if by_section else F.lit(0)
-    points = spots.select("spot_id", key.cast("long").alias("g"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    if k == 0:
-        return points.select(F.col("spot_id").alias("src"), F.col("spot_id").alias("dst"), F.lit(1).alias("rank"), F.lit(0e0).alias("d2")).limit(0)
-    box = points.groupBy("g").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
-    wide = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1e-12))
-    box = box.select("g", "n", "x0", "y0", (wide * F.sqrt(F.lit(per_cell) / F.greatest(F.col("n"), F.lit(per_cell)))).alias("side"))
-    points = points.join(box, "g")
-    cells = points.withColumns({"cx": F.floor((F.col("x") - F.col("x0")) / F.col("side")), "cy": F.floor((F.col("y") - F.col("y0")) / F.col("side"))})
-    cells = cut(cells.select("spot_id", "g", "n", "x", "y", "side", "cx", "cy"))
-    there = cells.select("g", "cx", "cy", F.col("spot_id").alias("dst"), F.col("x").alias("px"), F.col("y").alias("py"))
-    found, todo, r = None, cells.where("n > 1"), 1
-    reach = cells.agg(F.max(F.greatest("cx", "cy"))).first()[0]
-    while reach is not None:
-        last = r > reach
-        look = F.sequence(F.lit(-r), F.lit(r))
-        from_ = todo.withColumn("dx", F.explode(look)).withColumn("dy", F.explode(look))
-        from_ = from_.select(F.col("spot_id").alias("src"), "g", "n", "x", "y", "side", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
-        pairs = from_.join(there, ["g", "cx", "cy"]).where("src <> dst")
-        pairs = pairs.withColumn("d2", (F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py")))
-        near = _nearest(pairs, k).select("src", "dst", "rank", "d2", "n", "side")
-        whole = Window.partitionBy("src")
-        sure = (F.count("*").over(whole) >= F.least(F.lit(k), F.col("n") - 1)) & (F.max("d2").over(whole) <= (r * F.col("side")) * (r * F.col("side")))
-        near = cut(near.withColumn("sure", F.lit(True) if last else sure))
-        done = near.where("sure").select("src", "dst", "rank", "d2")
-        found = done if found is None else found.unionByName(done)
-        if last:
-            break
-        todo = cut(todo.join(done.select(F.col("src").alias("spot_id")).distinct(), "spot_id", "left_anti"))
-        if not todo.take(1):
-            break
-        r *= 2
-    if found is None:
+    points = cut(spots.select("spot_id", key.cast("long").alias("g"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
+    sizes = points.groupBy("g").agg(F.count("*").alias("n"))
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    if not k or not largest:
         return points.select(F.col("spot_id").alias("src"), F.col("spot_id").alias("dst"), F.lit(1).alias("rank"), F.lit(0e0).alias("d2")).limit(0)
-    return found
+    per_cell = max(per_cell, 4 * k)
+    most = max(1, int((largest / per_cell) ** 0.5))
+    sizes = sizes.select("g", F.greatest(F.lit(1), F.floor(F.sqrt(F.col("n") / per_cell)).cast("int")).alias("n_cuts"))
+    x_cuts = cut(_cuts(points.join(sizes, "g"), ("g",), "x", most)).withColumnRenamed("cuts", "x_cuts")
+    slabs = points.join(x_cuts, "g").select("spot_id", "g", "x", "y", _reached(F.col("x_cuts"), F.col("x")).alias("i"))
+    y_cuts = cut(_cuts(slabs.join(sizes, "g"), ("g", "i"), "y", most)).withColumnRenamed("cuts", "y_cuts")
+    cells = slabs.join(y_cuts, ["g", "i"]).select("spot_id", "g", "x", "y", "i", _reached(F.col("y_cuts"), F.col("y")).alias("j"))
+    cells = cut(cells)
+    there = cells.select("g", "i", "j", F.col("spot_id").alias("dst"), F.col("x").alias("px"), F.col("y").alias("py"))
+    found = F.struct(_squares(F.col("px"), F.col("py")).alias("d2"), "dst")
+    own = cells.join(there, ["g", "i", "j"]).groupBy("spot_id", "g", "i", "j", "x", "y").agg(F.array_sort(F.collect_list(F.when(F.col("spot_id") != F.col("dst"), found))).alias("near"))
+    own = cut(own.withColumn("near", F.slice("near", 1, k)))
+    limit = F.when(F.size("near") == k, F.element_at("near", -1)["d2"]).otherwise(F.lit(float("inf")))
+    r = F.sqrt(limit) * (1 + 1e-9)
+    spread = lambda cuts, v: F.explode(F.sequence(_reached(cuts, v - F.col("r")), _reached(cuts, v + F.col("r"))))
+    look = own.select("spot_id", "g", F.col("i").alias("i0"), F.col("j").alias("j0"), "x", "y", limit.alias("limit"), r.alias("r")).join(x_cuts, "g")
+    look = look.withColumn("i", spread(F.col("x_cuts"), F.col("x"))).drop("x_cuts").join(y_cuts, ["g", "i"])
+    look = look.withColumn("j", spread(F.col("y_cuts"), F.col("y"))).where("i <> i0 OR j <> j0")
+    others = look.join(there, ["g", "i", "j"]).select("spot_id", found.alias("f"), "limit").where("f.d2 <= limit")
+    every = own.select("spot_id", F.explode("near").alias("f")).unionByName(others.select("spot_id", "f"))
+    order = Window.partitionBy("src").orderBy("d2", "dst")
+    every = every.select(F.col("spot_id").alias("src"), "f.dst", "f.d2").withColumn("rank", F.row_number().over(order))
+    return cut(every.where(F.col("rank") <= k).select("src", "dst", "rank", "d2"))
 
 
 def knn_directed(spots: DataFrame, k: int, by_section: bool = True) -> DataFrame:

@@ -72,6 +72,19 @@ def test_knn_is_exact(spark, kind):
         assert [j for _, j in mine] == [j for _, j in sorted(d)[:4]]
 
 
+def test_knn_over_many_cells(spark):
+    """Clusters of very different density, lattice ties, repeated points and one far spot, in cells of few spots."""
+    r = np.random.default_rng(9)
+    xy = np.concatenate([r.normal(0, 1e-4, (150, 2)), r.normal(5, 1, (60, 2)), np.stack(np.meshgrid(range(8), range(8)), -1).reshape(-1, 2) * 1.0, np.full((12, 2), 3.0), [[1e6, -1e6]]])
+    got = {}
+    for x in graph.knn(spots_of(spark, xy), 3, per_cell=12).collect():
+        got.setdefault(x["src"], []).append((x["rank"], x["dst"]))
+    d = ((xy[:, None] - xy[None]) ** 2).sum(-1)
+    for i in range(len(xy)):
+        want = sorted((d[i, j], j) for j in range(len(xy)) if j != i)[:3]
+        assert [j for _, j in sorted(got[i])] == [j for _, j in want], i
+
+
 def test_knn_small(spark):
     two = spots_of(spark, [(0, 0), (1, 1), (5, 5)], [0, 0, 1])
     assert sorted(map(tuple, graph.knn_directed(two, 6).collect())) == [(0, 1), (1, 0)]
@@ -118,7 +131,7 @@ def test_silhouette_and_ch(spark):
         a = d[i][(lab == lab[i]) & (np.arange(40) != i)].mean()
         b = min(d[i][lab == k].mean() for k in set(lab) - {lab[i]})
         s.append((b - a) / max(a, b))
-    assert value(spatial.silhouette(p, blocks=3)) == pytest.approx(np.mean(s))
+    assert value(spatial.silhouette(p, block=7)) == pytest.approx(np.mean(s))
     m = h.mean(0)
     between = sum((lab == k).sum() * ((h[lab == k].mean(0) - m) ** 2).sum() for k in range(3))
     within = sum(((h[lab == k] - h[lab == k].mean(0)) ** 2).sum() for k in range(3))
