@@ -9,6 +9,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import scratch
+
 #: The ASCII white space that separates words: U+0020 and U+0009 to U+000D (fixed values of the contract).
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RE = r"[ \t\n\x0B\f\r]+"
@@ -21,36 +23,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share.
-
-    Where that is unset, as in tests on one machine, /tmp/checkpoints serves; on a cluster it is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/sparkfactors/{uuid.uuid4().hex}"
-
-
-#: Folders written in this process, oldest first, for release().
-_written: list[str] = []
-
-
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write df to the shared scratch folder and read it back: lost executors then cost no recomputation."""
-    spark, path = df.sparkSession, scratch_dir(df.sparkSession)
+    """Write df to the shared scratch folder and read it back: lost executors then cost no recomputation. The folder
+    goes when the application ends."""
+    path = scratch(df.sparkSession)
     df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def bucketed(df: DataFrame, *keys: str) -> tuple[DataFrame, str]:
     """df as a table in the shared scratch folder, bucketed and sorted by keys, so that joins and merges on them need no
     shuffle of it; and the table's name, for drop_tables once nothing more is read from it."""
     spark, name = df.sparkSession, f"scratch_{uuid.uuid4().hex}"
-    writer = df.write.format("parquet").option("compression", "zstd").option("path", scratch_dir(spark))
+    writer = df.write.format("parquet").option("compression", "zstd").option("path", scratch(spark))
     writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortBy(*keys).saveAsTable(name)
     return spark.table(name), name
 
@@ -61,11 +46,23 @@ def drop_tables(spark: SparkSession, *names: str) -> None:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every scratch folder written so far; only for callers that have stored the results made from them."""
-    while _written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def membership(keys: DataFrame, *names: str, bits: int = 24):
+    """A test of columns that holds for every row of keys and seldom for others, so that a large table is thinned before
+    it is shuffled to be joined with keys. It is 2 ** bits bits (2 MB), whatever the number of keys: with very many of
+    them it lets all rows pass, which changes nothing but the work."""
+    place = lambda *cols: F.pmod(F.xxhash64(*cols), F.lit(2**bits))
+    at = place(*names)
+    words = keys.select(F.shiftright(at, 6).alias("i"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int")).alias("w"))
+    words = words.groupBy("i").agg(F.bit_or("w").alias("w"))
+    every = keys.sparkSession.range(2 ** (bits - 6)).withColumnRenamed("id", "i").join(words, "i", "left").select("i", F.coalesce("w", F.lit(0)).alias("w"))
+    table = materialize(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]).alias("words")))
+
+    def may_hold(*cols: Column) -> Column:
+        x = place(*cols)
+        word = F.get(table.scalar(), F.shiftright(x, 6).cast("int"))
+        return F.getbit(word, x.bitwiseAND(63).cast("int")) == 1
+
+    return may_hold
 
 
 def let(value: Column, body) -> Column:

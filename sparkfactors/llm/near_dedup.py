@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,8 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.contraction import components
 from . import common as c
-from .components import components
 
 #: A pair of similarity 0.75 shares a region in some tree but for a chance of (1 - 0.75 ** DEPTH) ** TREES, 5e-6.
 TREES, DEPTH = 32, 4
@@ -190,7 +191,7 @@ def shingle_sets(docs: DataFrame, named: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"cid": batch["doc_id"], "s": [shingles(t, hashes, k).tobytes() for t in batch["text"]]})
 
-    rows = docs.select("doc_id", "text", c.text_key(F.col("text")).alias("k")).where("doc_id IS NOT NULL")
+    rows = docs.select("doc_id", "text", c.text_key(F.col("text")).alias("k")).where(F.col("doc_id").isNotNull() & c.membership(named, "cid")(F.col("doc_id")))
     rows = rows.join(named.select(F.col("cid").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "k"])
     return rows.select("doc_id", "text").mapInPandas(run, "cid long, s binary").where("length(s) > 0")
 
@@ -416,6 +417,8 @@ def dedup_near(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
     marks = _components(docs, f).where("doc_id IS NOT NULL").groupBy("doc_id", "k").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept"), F.count("*").alias("n"))
     marks = c.materialize(marks.where("NOT kept OR n > 1"))
     rows = docs.select(F.struct("*").alias("row"), "doc_id", c.text_key(F.col("text")).alias("k"))
-    once = rows.join(marks, ["doc_id", "k"], "left_anti")
-    repeated = rows.join(marks.where("kept"), ["doc_id", "k"], "left_semi").dropDuplicates(["doc_id", "k"])
-    return once.unionByName(repeated).select("row.*")
+    # Only rows that may be marked are shuffled.
+    marked = F.col("doc_id").isNotNull() & c.membership(marks, "doc_id", "k")(F.col("doc_id"), F.col("k"))
+    met = rows.where(marked).join(marks.select("doc_id", "k", "kept"), ["doc_id", "k"], "left")
+    parts = rows.where(~marked), met.where("kept IS NULL"), met.where("kept").dropDuplicates(["doc_id", "k"])
+    return reduce(DataFrame.unionByName, (p.select("row") for p in parts)).select("row.*")
