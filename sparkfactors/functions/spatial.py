@@ -94,11 +94,11 @@ def pair_distance(a: Column, b: Column) -> Column:
 def _distance_sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """id, label, label2, d, n: of each left point the sum of distances to the right points of each label, and their
     number, itself left out."""
-    a, b = np.stack(left["h"].to_list()), np.stack(right["h"].to_list())
+    a, b = np.stack(left["h"].to_list()), np.stack(right["h2"].to_list())
     middle = b.mean(axis=0)
     a, b = a - middle, b - middle
     d = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * (a @ b.T)
-    same = left["id"].to_numpy()[:, None] == right["id"].to_numpy()
+    same = left["id"].to_numpy()[:, None] == right["id2"].to_numpy()
     d = np.sqrt(np.maximum(d, 0.0))
     d[same] = 0.0
     labels, code = np.unique(right["label2"].to_numpy(dtype=object), return_inverse=True)
@@ -125,7 +125,7 @@ def silhouette(points: DataFrame, block: int = 1024) -> DataFrame:
     rows = points.select(F.col("id").cast("long").alias("id"), F.col("label").cast("string").alias("label"), F.col("h").cast("array<double>").alias("h"), own.alias("b"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = rows.select("id", "label", "h", F.col("b").alias("x"), every.alias("y"))
-    right = rows.select("id", F.col("label").alias("label2"), "h", F.col("b").alias("y"), every.alias("x"))
+    right = rows.select(F.col("id").alias("id2"), F.col("label").alias("label2"), F.col("h").alias("h2"), F.col("b").alias("y"), every.alias("x"))
     sums = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(lambda a, b: _distance_sums(a, b) if len(a) and len(b) else _NO_SUMS, "id long, label string, label2 string, d double, n double")
     d = sums.groupBy("id", "label", "label2").agg(F.try_divide(F.sum("d"), F.sum("n")).alias("d"))
     ab = d.groupBy("id").agg(F.coalesce(F.max(F.when(F.col("label") == F.col("label2"), F.col("d"))), F.lit(0e0)).alias("a"), F.min(F.when(F.col("label") != F.col("label2"), F.col("d"))).alias("b"))
