@@ -103,6 +103,7 @@ _HOMOGLYPHS = {p[0]: p[1] for p in _PAIRS.split()}
 _HIDDEN = "­​‌‍⁠﻿"
 #: Full-width forms U+FF01 to U+FF5E stand for U+0021 to U+007E; other decimal digits for 0 to 9.
 _OTHER_DIGITS = "".join(chr(i) for i in range(0x80, 0x1FBFA) if unicodedata.decimal(chr(i), None) is not None)
+_ODD_CHARS = frozenset([*_HOMOGLYPHS, *_HIDDEN, *_OTHER_DIGITS, *map(chr, range(0xFF01, 0xFF5F))])
 _ODD = re.compile("[" + "".join(_HOMOGLYPHS) + _HIDDEN + "！-～" + _OTHER_DIGITS + "]")
 
 _NAMES = "zero one two three four five six seven eight nine".split()
@@ -110,7 +111,8 @@ _VALUE = {name: str(i) for i, name in enumerate(_NAMES)} | {"oh": "0"}
 _NUMBER = "(?:" + "|".join(_VALUE) + ")"
 #: At least four digits in words, or digits and words mixed, one after the other.
 _SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:{_NUMBER}|[0-9])(?:[ \t-]{{1,2}}(?:{_NUMBER}|[0-9]{{1,4}})){{3,}}+(?![A-Za-z0-9])", re.I)
-_SPELLED_HINT = re.compile(rf"(?<![A-Za-z]){_NUMBER}[ \t-]{{1,2}}(?:{_NUMBER}|[0-9])|[0-9][ \t-]{{1,2}}{_NUMBER}", re.I)
+# Hints are looked for in lower case.
+_SPELLED_HINT = re.compile(rf"(?<![a-z]){_NUMBER}[ \t-]{{1,2}}(?:{_NUMBER}|[0-9])|[0-9][ \t-]{{1,2}}{_NUMBER}")
 _TOKEN = re.compile(rf"{_NUMBER}|[0-9]", re.I)
 _PLUS = re.compile(r"(?<![A-Za-z0-9])plus[ \t]{1,2}(?=[0-9])", re.I)
 _BRACKETED = re.compile(r"[ \t]{0,2}[\[({<][ \t]{0,2}(at|dot|@|\.)[ \t]{0,2}[\])}>][ \t]{0,2}", re.I)
@@ -132,7 +134,7 @@ _WORDED = re.compile(
     rf"(?:{_ENDS})(?![A-Za-z0-9-])",
     re.I,
 )
-_WORDED_HINT = re.compile(r"[ \t]dot[ \t]|[ \t]at[ \t]{1,2}[A-Za-z0-9-]+\.|@[A-Za-z0-9-]+[ \t]dot", re.I)
+_WORDED_HINT = re.compile(r"[ \t]dot[ \t]|[ \t]at[ \t]{1,2}[a-z0-9-]+\.|@[a-z0-9-]+[ \t]dot")
 _AT_OR_DOT = re.compile(r"[ \t]{1,2}(at|dot)[ \t]{1,2}", re.I)
 _NUMBER_DOT = re.compile(r"(?<=[0-9])[ \t]{1,2}(?:dot|point)[ \t]{1,2}(?=[0-9])", re.I)
 _SPELLED_OCTETS = re.compile(rf"(?<![A-Za-z0-9])(?:(?:{_NUMBER}|[0-9]+)[ \t]+){{1,3}}dot(?:[ \t]+(?:{_NUMBER}|[0-9]+)){{1,3}}(?:[ \t]+dot(?:[ \t]+(?:{_NUMBER}|[0-9]+)){{1,3}}){{2}}(?![A-Za-z0-9])", re.I)
@@ -180,12 +182,29 @@ def _octets(m: re.Match) -> str:
     return ".".join("".join(_VALUE.get(x.lower(), x) for x in _TOKEN.findall(part)) for part in re.split("dot", m.group(), flags=re.I))
 
 
+def hinted(text: str) -> bool:
+    """Whether a transducer of words or brackets may rewrite something; a word that must be there is looked for before
+    its pattern is."""
+    low = text.lower()
+    if not text.isascii():
+        # What patterns that ignore case take for ASCII letters.
+        for odd, plain in (("ſ", "s"), ("ı", "i"), ("i̇", "i")):
+            if odd in low:
+                low = low.replace(odd, plain)
+    dot = "dot" in low
+    return bool(
+        ((dot or "at " in low or "at\t" in low) and _WORDED_HINT.search(low))
+        or _SPELLED_HINT.search(low)
+        or (any(x in low for x in "[({<") and _BRACKETED.search(low))
+        or ("plus" in low and _PLUS.search(low))
+        or ((dot or "point" in low) and _NUMBER_DOT.search(low))
+    )
+
+
 def deobfuscate(text: str) -> Mapped | None:
     """The rewritten text, None if there is no disguise in it. What any transducer can rewrite is hinted at."""
-    has_odd = not text.isascii() and _ODD.search(text)
-    has_spelled = _SPELLED_HINT.search(text)
-    has_worded = _WORDED_HINT.search(text)
-    if not (has_odd or has_spelled or has_worded or _BRACKETED.search(text) or _PLUS.search(text) or _NUMBER_DOT.search(text)):
+    has_odd = not text.isascii() and not _ODD_CHARS.isdisjoint(text)
+    if not has_odd and not hinted(text):
         return None
     m = Mapped(text)
     if has_odd:
