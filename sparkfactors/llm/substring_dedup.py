@@ -116,7 +116,8 @@ def announce(rows: DataFrame, window: int, parts: int, block_words: int) -> Data
             if len(found):
                 out = pd.concat([out.astype(object), found.assign(kind=kind, part=np.arange(len(found)) % parts).astype(object)])
         # No nulls among the numbers: pandas would read them back as floats.
-        yield out.reindex(columns=[x.split()[0] for x in STEP1.split(", ")]).fillna(dict.fromkeys(NUMBERS, 0)).astype(dict.fromkeys(NUMBERS, "int64"))
+        out = out.reindex(columns=[x.split()[0] for x in STEP1.split(", ")])
+        yield out.assign(**{x: out[x].where(out[x].notna(), 0).astype("int64") for x in NUMBERS})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, wait, n = c.WordHashes(), ([], [], [], [], []), 0
@@ -307,8 +308,9 @@ def dedup_substrings(docs: DataFrame, window: int = 20) -> DataFrame:
                     last = max(last, s["b"])
                 kept += words[last:]
                 raw = b" ".join(kept)
-                out.append((None if d == NULL_ID else d, len(words), len(words) - len(kept), raw.decode("utf-8", "replace"), hashlib.sha256(raw).hexdigest()))
-            yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"]).astype({"doc_id": "Int64"})
+                out.append((d, len(words), len(words) - len(kept), raw.decode("utf-8", "replace"), hashlib.sha256(raw).hexdigest()))
+            yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
 
     joined = rows.join(factors, ["d", "k"], "left").select("d", "text", "spans")
-    return joined.mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    kept = joined.mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    return kept.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
