@@ -19,8 +19,9 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder
 
 
-def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
-    """A session on this machine, for tests and benchmarks; clusters bring their own builder to configure()."""
+def local_session(cores: int = 8, partitions: int = 8, folder: str = "/tmp/checkpoints") -> SparkSession:
+    """A session on this machine, for tests and benchmarks, its warehouse below folder; clusters bring their own
+    builder to configure()."""
     builder = configure(SparkSession.builder.master(f"local[{cores}]"))
     for k, v in {
         "spark.sql.shuffle.partitions": partitions,
@@ -28,7 +29,7 @@ def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
         "spark.driver.memory": "8g",
         "spark.driver.host": "127.0.0.1",
         "spark.ui.showConsoleProgress": "false",
-        "spark.sql.warehouse.dir": "/tmp/checkpoints/warehouse",
+        "spark.sql.warehouse.dir": f"{folder}/warehouse",
     }.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()

@@ -19,5 +19,5 @@ def test_queries_without_the_subpackage(tmp_path):
             shutil.copy(source, tmp_path / name)
     for _ in range(2):
         code = "import __spark_entry__ as e, bench, parity; q = e.queries(); assert 'ari' in q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q); assert not [n for n in q if n.startswith('op')and n[2].isdigit()]"
-        subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+        subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": os.pathsep.join(filter(None, [str(tmp_path), os.environ.get("PYTHONPATH")]))})
         (tmp_path / "corpus_pipeline.py").unlink(missing_ok=True)
