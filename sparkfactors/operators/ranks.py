@@ -2,34 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> Column:
-    out = F.lit(True)
-    for k in keys:
-        out = out & left[k].eqNullSafe(right[k])
-    return out
-
-
-def ranked(df: DataFrame, order: tuple[str, ...], within: tuple[str, ...] = (), name: str = "rank") -> DataFrame:
-    """df with name: the row's place (long, from 0) in the order of columns, of each `within` group or of all rows.
+def ranked(df: DataFrame, order: tuple[str, ...], within: tuple[str, ...] = (), name: str = "rank", size: str | None = None, group: str | None = None, overall: str | None = None) -> DataFrame:
+    """df with name: the row's place (long, from 0) in the order of columns, of each `within` group or of all rows; with
+    size: the rows of its group; with group: the place of the group among groups; with overall: the place among all rows.
 
     Rows are dealt by ranges of within and order and sorted in their tasks, so a group of any size is spread over many of
     them. A row's place is that in its range plus the sizes of the group's earlier ranges, a table of one row per range
     and group that begins in it. Nulls come first. Rows that agree in within and order share a range and get places in
     any order: give order a last column that tells rows apart wherever that matters. An empty table gives an empty one.
     """
-    at = "__at"
+    keys = [f"__w{i}" for i in range(len(within))]
     rows = df.repartitionByRange(*(F.col(c) for c in (*within, *order))).sortWithinPartitions(*within, *order)
-    rows = cut(rows.withColumn(at, F.monotonically_increasing_id()))
-    part = F.shiftright(at, 33)
-    sizes = rows.groupBy(part.alias("__part"), *within).agg(F.min(at).alias("__first"), F.count("*").alias("__n"))
-    earlier = Window.partitionBy(*(within or [F.lit(0)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("__start", F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first")).select("__part", *within, "__start")
-    rows = rows.withColumn("__part", part)
-    out = rows.join(sizes, (rows["__part"] == sizes["__part"]) & _null_safe(rows, sizes, within))
-    return out.select(*(rows[c] for c in df.columns), (rows[at] + sizes["__start"]).cast("long").alias(name))
+    rows = cut(rows.withColumn("__at", F.monotonically_increasing_id())).withColumn("__part", F.shiftright("__at", 33))
+    sizes = rows.groupBy("__part", *(F.col(c).alias(k) for c, k in zip(within, keys, strict=True))).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    of_group = Window.partitionBy(*(keys or [F.lit(0)]))
+    earlier = of_group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumns({"__start": F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first"), "__size": F.sum("__n").over(of_group)})
+    more = {size: F.col("__size")} if size else {}
+    if group:
+        sizes = cut(sizes)
+        groups = ranked(sizes.select(*keys).distinct(), tuple(keys), name="__group").withColumnsRenamed({k: f"{k}g" for k in keys})
+        sizes = sizes.join(groups, _same(keys, [f"{k}g" for k in keys])).drop(*(f"{k}g" for k in keys))
+        more[group] = F.col("__group")
+    if overall:
+        # A row for each range of rows.
+        parts = sizes.groupBy("__part").agg(F.sum("__n").alias("__m"))
+        ahead = F.sum("__m").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+        sizes = sizes.join(parts.select("__part", F.coalesce(ahead, F.lit(0)).alias("__ahead")), "__part")
+        more[overall] = F.col("__ahead") + F.col("__at").bitwiseAND(F.lit(2**33 - 1))
+    sizes = sizes.withColumnRenamed("__part", "__range")
+    out = rows.join(sizes, (F.col("__part") == F.col("__range")) & _same(within, keys))
+    return out.select(*df.columns, (F.col("__at") + F.col("__start")).cast("long").alias(name), *(v.cast("long").alias(k) for k, v in more.items()))
+
+
+def _same(left: Sequence[str], right: Sequence[str]) -> Column:
+    return reduce(lambda x, y: x & y, (F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right, strict=True)), F.lit(True))

@@ -1,6 +1,7 @@
 """Distributed places against a sort on the driver."""
 
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -18,6 +19,10 @@ def test_places_of_groups_with_nulls_and_a_hot_group(spark):
         n = n + 1 if x[0] == last else 0
         last, want[x[2]] = x[0], n
     assert got == want
+    groups = sorted({x[0] for x in rows}, key=lambda g: (g is not None, g or ""))
+    numbered = ranked(df, ("v", "id"), ("g",), size="n", group="i", overall="all").select("id", "rank", "n", "i", "all").collect()
+    n = Counter(x[0] for x in rows)
+    assert {x["id"]: tuple(x)[1:] for x in numbered} == {x[2]: (want[x[2]], n[x[0]], groups.index(x[0]), i) for i, x in enumerate(sorted(rows, key=key))}
     everywhere = {x["id"]: x["rank"] for x in ranked(df, ("v", "id")).collect()}
     assert everywhere == {x[2]: i for i, x in enumerate(sorted(rows, key=lambda x: key(x)[2:]))}
 
