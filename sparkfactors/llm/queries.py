@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 
 from . import common as c
 from .decontaminate import contamination_report
+from .filter_audit import audit_filters
 from .line_dedup import dedup_lines
+from .merkle import audit_manifest
 from .near_dedup import near_components
 from .packing import pack
 from .pii import scan_pii
 from .quality import quality_report
 from .secret_scan import scan_secrets
+from .sharding import shard_documents
 from .sql import ORACLES
 from .substring_dedup import dedup_substrings
 from .token_count import count_documents
@@ -68,6 +71,18 @@ def op10_pii(spark, sf_dir):
     return scan_pii(c.table(spark, sf_dir, "documents"))
 
 
+def op11_sharding(spark, sf_dir):
+    return shard_documents(c.table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark, sf_dir):
+    return audit_manifest(c.table(spark, sf_dir, "documents"))
+
+
+def op13_filter_interaction_audit(spark, sf_dir):
+    return audit_filters(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 

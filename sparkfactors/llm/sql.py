@@ -139,4 +139,83 @@ kept AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)"""
 
-ORACLES = {"op1_substring_dedup": OP1, "op4_minhash_near_dedup": OP4, "op6_benchmark_decontamination": OP6, "op2_url_filters": OP2, "op3_quality_rules": OP3, "op5_line_dedup": OP5}
+OP13 = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+f AS (
+  SELECT doc_id, part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+    + 4 * (100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 3 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS bits FROM w),
+lab AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+c AS (
+  SELECT part, bits, count(*) AS n, count(*) FILTER (WHERE good) AS n_good, count(*) FILTER (WHERE toxic) AS n_toxic
+  FROM f LEFT JOIN lab USING (doc_id) GROUP BY part, bits),
+l AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(x, b)),
+o AS (
+  SELECT l1.x || l2.x || l3.x || l4.x || l5.x AS filter_order, [l1.b, l2.b, l3.b, l4.b, l5.b] AS bs
+  FROM l l1, l l2, l l3, l l4, l l5 WHERE l1.b + l2.b + l3.b + l4.b + l5.b = 31 AND len(list_distinct([l1.b, l2.b, l3.b, l4.b, l5.b])) = 5),
+s AS (SELECT filter_order, step, bs[step] AS own, coalesce(list_sum(bs[1:step - 1]), 0)::INT AS before FROM (SELECT *, unnest(range(1, 6)) AS step FROM o) q),
+e AS (SELECT *, bits & own <> 0 AS fails, bits & before <> 0 AS gone FROM c, s)
+SELECT part, filter_order, step::INT AS step, coalesce(sum(n) FILTER (WHERE NOT fails AND NOT gone), 0)::BIGINT AS kept,
+  coalesce(sum(n) FILTER (WHERE fails AND NOT gone), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (WHERE fails AND gone), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (WHERE bits = own), 0)::BIGINT AS unique_fails, coalesce(sum(n_good) FILTER (WHERE fails AND NOT gone), 0)::BIGINT AS good_lost,
+  coalesce(sum(n_toxic) FILTER (WHERE fails AND NOT gone), 0)::BIGINT AS toxic_lost,
+  coalesce(sum(n * 120 // greatest(bit_count(bits), 1)) FILTER (WHERE fails), 0)::BIGINT AS shapley
+FROM e GROUP BY part, filter_order, step"""
+
+
+def _merkle_levels(tree: str, path: str, levels: int) -> str:
+    """Levels of runs r1.. over {tree}0 (tree, idx, n, digest), and paths p1.. of the leaves through them."""
+    out = []
+    for k in range(1, levels + 1):
+        below, was = f"{tree}{k - 1}", f"{path}{k - 1}"
+        out.append(f"""{tree}{k} AS (
+  SELECT tree, idx // 16 AS idx, (max(n) + 15) // 16 AS n, sha256(string_agg(digest, '' ORDER BY idx)) AS digest, list(digest ORDER BY idx) AS kids
+  FROM {below} b WHERE n > 1 GROUP BY tree, b.idx // 16),
+{path}{k} AS (
+  SELECT p.* REPLACE (p.idx // 16 AS idx,
+    CASE WHEN kids IS NULL THEN folded ELSE sha256(array_to_string(list_concat(list_concat(kids[1:p.idx % 16], [folded]), kids[p.idx % 16 + 2:]), '')) END AS folded,
+    CASE WHEN kids IS NULL THEN proof ELSE proof || array_to_string(list_concat(kids[1:p.idx % 16], kids[p.idx % 16 + 2:]), '') END AS proof)
+  FROM {was} p LEFT JOIN {tree}{k} r ON r.tree = p.tree AND r.idx = p.idx // 16)""")
+    return ",\n".join(out)
+
+
+def _merkle_tops(tree: str, levels: int) -> str:
+    return " UNION ALL ".join(f"SELECT tree, digest FROM {tree}{k} WHERE n = 1" for k in range(levels + 1))
+
+
+def _merkle_field(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen({x}::VARCHAR)::VARCHAR || ':' || {x}::VARCHAR END"
+
+
+def _merkle_leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_merkle_field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+#: Six levels hold 16 million rows of a source, and as many sources.
+OP12 = f"""
+WITH bytes AS (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, i::BIGINT) AS v FROM range(256) t(i)),
+crc AS (SELECT list(v ORDER BY i) AS tab FROM bytes),
+d AS (
+  SELECT *, xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS crc FROM documents, crc),
+leaves AS (
+  SELECT doc_id, source, {_merkle_leaf("text")} AS leaf,
+    {_merkle_leaf("CASE WHEN crc % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END")} AS start FROM d),
+placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM leaves),
+r0 AS (SELECT tree, idx, n, leaf AS digest FROM placed),
+p0 AS (SELECT doc_id, tree, tree AS source_tree, idx, leaf, start AS folded, '' AS proof FROM placed),
+{_merkle_levels("r", "p", 6)},
+sub AS ({_merkle_tops("r", 6)}),
+t0 AS (SELECT 0::BIGINT AS tree, tree AS idx, count(*) OVER () AS n, digest FROM sub),
+q0 AS (SELECT p.* REPLACE (0::BIGINT AS tree, p.tree AS idx) FROM p6 p),
+{_merkle_levels("t", "q", 6)},
+tops AS ({_merkle_tops("t", 6)})
+SELECT q.doc_id, leaf, sub.digest AS subroot, (SELECT digest FROM tops) AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = (SELECT digest FROM tops) AS verified
+FROM q6 q JOIN sub ON sub.tree = q.source_tree"""
+
+ORACLES = {
+    "op1_substring_dedup": OP1, "op2_url_filters": OP2, "op3_quality_rules": OP3, "op4_minhash_near_dedup": OP4, "op5_line_dedup": OP5,
+    "op6_benchmark_decontamination": OP6, "op12_merkle_manifest": OP12, "op13_filter_interaction_audit": OP13,
+}
