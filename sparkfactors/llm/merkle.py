@@ -58,8 +58,8 @@ def _above(nodes: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Manifest:
-    """leaves: tree (number of the source), idx (place there), n, at (place among all leaves), leaf, start, the columns
-    carried along, and the link up_tree, up_level, up_idx, place. nodes: NODES, the built levels, linked alike."""
+    """leaves: tree (number of the source), idx (place there), n, at (place among all leaves), leaf, start (null: leaf), the
+    columns carried along, and the link up_tree, up_level, up_idx, place. nodes: NODES, the built levels, linked alike."""
 
     leaves: DataFrame
     nodes: DataFrame
@@ -67,7 +67,7 @@ class Manifest:
 
 
 def build_manifest(records: DataFrame, carry: tuple[str, ...] = (), path: str | None = None) -> Manifest:
-    """The manifest of records (doc_id, source, leaf, start: hex digests), its levels written below path (a scratch folder
+    """The manifest of records (doc_id, source, leaf, and start, null where it is leaf: hex digests), its levels written below path (a scratch folder
     by default), each from the one before.
 
     Leaves are put in order by ranges, so that a source of any size is spread over tasks; sources are numbered in order
@@ -97,20 +97,23 @@ def build_manifest(records: DataFrame, carry: tuple[str, ...] = (), path: str |
     return Manifest(leaves, nodes(), n_trees)
 
 
-#: Each step joins a leaf's path to the node above it, appends the node's other children to the proof and folds the
-#: digest so far in its place.
+#: Leaves that hang on one node climb in one row, each with its own digest, as all they meet above is the same. A step
+#: joins the row to that node, appends the node's other children to the proof and folds each digest in its place. The
+#: first node's children stay apart (lowest): there each leaf has other siblings.
 CLIMB = """
 WITH RECURSIVE climb AS (
-  SELECT {carry}, block, leaf, subroot, root, folded, proof, up_tree, up_level, up_idx, place FROM {leaves}
+  SELECT block, step, members, lowest, proof, subroot, root, up_tree, up_level, up_idx FROM {leaves}
   UNION ALL
-  SELECT {carry_c}, c.block, c.leaf,
-    CASE WHEN c.up_level < {top:d} AND coalesce(n.up_level, {top:d}) >= {top:d} THEN n.digest ELSE c.subroot END,
-    CASE WHEN n.up_level IS NULL THEN n.digest ELSE c.root END,
-    unhex(sha2(lower(hex(concat(substring(n.children, 1, 32 * c.place), c.folded, substring(n.children, 32 * c.place + 33)))), 256)),
-    concat(c.proof, substring(n.children, 1, 32 * c.place), substring(n.children, 32 * c.place + 33)),
-    n.up_tree, n.up_level, n.up_idx, n.place
+  SELECT c.block, c.step + 1,
+    transform(c.members, m -> struct(m.row, m.first, n.up_place AS place,
+      unhex(sha2(lower(hex(concat(substring(n.children, 1, 32 * m.place), m.folded, substring(n.children, 32 * m.place + 33)))), 256)) AS folded)),
+    if(c.step = 0, n.children, c.lowest),
+    if(c.step = 0, c.proof, concat(c.proof, substring(n.children, 1, 32 * c.members[0].place), substring(n.children, 32 * c.members[0].place + 33))),
+    if(c.up_level < {top} AND coalesce(n.up_level, {top}) >= {top}, n.digest, c.subroot),
+    if(n.up_level IS NULL, n.digest, c.root),
+    n.up_tree, n.up_level, n.up_idx
   FROM climb c JOIN {nodes} n ON c.block = n.block AND c.up_tree = n.tree AND c.up_level = n.level AND c.up_idx = n.idx)
-SELECT {carry}, leaf, subroot, root, folded, proof FROM climb WHERE up_level IS NULL LIMIT ALL"""
+SELECT step, members, lowest, proof, subroot, root FROM climb WHERE up_level IS NULL LIMIT ALL"""
 
 
 def prove(manifest: Manifest, carry: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
@@ -122,15 +125,19 @@ def prove(manifest: Manifest, carry: tuple[str, ...] = (), block: int = BLOCK) -
     """
     m, block_of = manifest, lambda x: F.floor(F.col(x) / block).cast("long")
     nodes = m.nodes.withColumn("block", F.explode(F.sequence(block_of("first"), block_of("last"))))
-    # A leaf that is its source's subroot, and maybe the root, has them already.
-    subroot = F.when(F.col("n") == 1, F.col("leaf"))
-    leaves = m.leaves.select(
-        *carry, block_of("at").alias("block"), "leaf", subroot.alias("subroot"), F.when(F.col("up_level").isNull(), F.col("leaf")).alias("root"),
-        F.unhex("start").alias("folded"), F.substring(F.unhex("start"), 1, 0).alias("proof"), "up_tree", "up_level", "up_idx", "place",
-    )
-    names = ", ".join(f"`{x}`" for x in carry)
-    query = CLIMB.replace("{carry}", names).replace("{carry_c}", ", ".join(f"c.`{x}`" for x in carry)).replace("{top:d}", str(TOP))
-    return c.materialize(m.leaves.sparkSession.sql(query, leaves=leaves, nodes=nodes.select("block", "tree", "level", "idx", "digest", "children", "up_tree", "up_level", "up_idx", "place")))
+    nodes = nodes.select("block", "tree", "level", "idx", "digest", "children", "up_tree", "up_level", "up_idx", F.col("place").alias("up_place"))
+    own = F.struct(F.struct(*carry, "leaf").alias("row"), F.col("place").alias("first"), "place", F.unhex(F.coalesce("start", "leaf")).alias("folded"))
+    # At most RUN leaves hang on a node.
+    hung = m.leaves.withColumn("block", block_of("at")).groupBy("block", "up_tree", "up_level", "up_idx").agg(F.collect_list(own).alias("members"))
+    none = F.unhex(F.lit(""))
+    leaves = hung.select("*", F.lit(0).alias("step"), none.alias("lowest"), none.alias("proof"), F.lit("").alias("subroot"), F.lit("").alias("root"))
+    query = CLIMB.replace("{top}", str(TOP))
+    done = c.materialize(m.leaves.sparkSession.sql(query, leaves=leaves, nodes=nodes))
+    done = done.select(F.explode("members").alias("m"), "step", "lowest", "proof", "subroot", "root")
+    siblings = F.concat(F.expr("substring(lowest, 1, 32 * m.first)"), F.expr("substring(lowest, 32 * m.first + 33)"), F.col("proof"))
+    # A leaf without siblings in its source is the subroot, and one without any the root.
+    own = lambda x: F.when(F.col(x) == "", F.col("m.row.leaf")).otherwise(F.col(x)).alias(x)
+    return done.select(*(F.col(f"m.row.`{x}`").alias(x) for x in carry), "m.row.leaf", own("subroot"), own("root"), F.when(F.col("step") == 0, none).otherwise(siblings).alias("proof"), "m.folded")
 
 
 def audit_manifest(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -143,7 +150,7 @@ def audit_manifest(docs: DataFrame, path: str | None = None) -> DataFrame:
     leaf; a table of one row is its own root, an empty one gives an empty result. Only the five fields of a record are
     read, so extra columns and their names don't matter.
     """
-    start = F.when(is_sampled(), leaf_digest(c.lower_ascii(F.col("text")))).otherwise(leaf_digest())
+    start = F.when(is_sampled(), leaf_digest(c.lower_ascii(F.col("text"))))
     records = docs.select("doc_id", "source", leaf_digest().alias("leaf"), start.alias("start"))
     out = prove(build_manifest(records, ("doc_id",), path), ("doc_id",))
     folded = F.lower(F.hex("folded"))
