@@ -7,6 +7,8 @@ from itertools import permutations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import quantiles
+
 
 def abs_corr(x: DataFrame, y: DataFrame, key: str = "spot_id") -> DataFrame:
     """i, j, r: absolute correlation of each factor of x with each of y (key, k, v; a row for every key and factor).
@@ -104,13 +106,16 @@ def quantile_bins(scores: DataFrame, bins: int) -> DataFrame:
     different values each has a bin of its own."""
     if bins < 2:
         raise ValueError("at least two bins")
-    qs = ", ".join(str(i / bins) for i in range(bins + 1))
-    e = scores.groupBy("k").agg(F.expr(f"percentile(v, array({qs}))").alias("e"), F.count_distinct("v").alias("u"))
-    e = e.withColumn("e", F.array_distinct("e"))
+    e = quantiles(scores, "v", [i / bins for i in range(bins + 1)], ("k",)).withColumn("e", F.array_distinct("e"))
+    # The least values that differ, one more than bins at most: each task sends on so many a factor.
+    place = F.row_number().over(Window.partitionBy("k").orderBy("v"))
+    first = scores.select("k", "v").distinct().withColumn("r", place).where(F.col("r") <= bins + 1)
+    e = e.join(first.groupBy("k").agg(F.array_sort(F.collect_list("v")).alias("first")), "k")
     inner = F.slice("e", F.lit(2), F.greatest(F.size("e") - 2, F.lit(0)))
-    rank = F.dense_rank().over(Window.partitionBy("k").orderBy("v")) - 1
     by_edge = F.size(F.filter(inner, lambda x: x <= F.col("v")))
-    return scores.join(F.broadcast(e), "k").withColumn("r", rank).select("spot_id", "k", F.when(F.col("u") <= bins, F.col("r")).otherwise(by_edge).alias("bin"))
+    own = (F.array_position("first", F.col("v")) - 1).cast("int")
+    # A row per factor.
+    return scores.join(F.broadcast(e), "k").select("spot_id", "k", F.when(F.size("first") <= bins, own).otherwise(by_edge).alias("bin"))
 
 
 def domain_stats(labels: DataFrame) -> DataFrame:

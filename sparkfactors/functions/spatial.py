@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import hash_unit, knn, neighbour_sum
+from ..operators.ranks import ranked
 
 
 def morans_i(values: DataFrame, edges: DataFrame, key: str) -> DataFrame:
@@ -149,8 +150,8 @@ def calinski_harabasz(points: DataFrame) -> DataFrame:
 
 
 def permuted(labels: DataFrame, shuffles: int, seed: int = 0) -> DataFrame:
-    """b, spot_id, label: for each b the labels in an order set by the hash of seed, b and spot."""
-    order = Window.partitionBy("b")
-    rows = labels.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(shuffles - 1))))
-    rows = rows.withColumns({"i": F.row_number().over(order.orderBy("spot_id")), "j": F.row_number().over(order.orderBy(hash_unit(seed, F.col("b"), F.col("spot_id")), "spot_id"))})
+    """b, spot_id, label: for each b the labels in an order set by the hash of seed, b and spot. Spots are sorted by
+    ranges, so no task sees all of a shuffle."""
+    rows = ranked(labels.select("spot_id", "label"), ("spot_id",), name="i").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(shuffles - 1))))
+    rows = ranked(rows.withColumn("u", hash_unit(seed, F.col("b"), F.col("spot_id"))), ("u", "spot_id"), ("b",), name="j")
     return rows.select("b", "spot_id", "i").join(rows.select("b", F.col("j").alias("i"), "label"), ["b", "i"]).select("b", "spot_id", "label")

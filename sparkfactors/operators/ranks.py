@@ -46,3 +46,23 @@ def ranked(df: DataFrame, order: tuple[str, ...], within: tuple[str, ...] = (),
 
 def _same(left: Sequence[str], right: Sequence[str]) -> Column:
     return reduce(lambda x, y: x & y, (F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right, strict=True)), F.lit(True))
+
+
+def quantiles(df: DataFrame, value: str, at: Sequence[float], within: tuple[str, ...] = ()) -> DataFrame:
+    """within, e: the exact quantiles (array, linear between neighbours) of a column; nulls are left out.
+
+    Only the few rows at the places wanted leave the sorted ranges.
+    """
+    rows = ranked(df.select(*within, value).where(F.col(value).isNotNull()), (value,), within, name="__r", size="__n")
+    qs = F.array(*(F.lit(float(q)) for q in at))
+    places = lambda f: F.transform(qs, lambda q: f(q * (F.col("__n") - 1)).cast("long"))
+    picked = rows.where(F.array_contains(places(F.floor), F.col("__r")) | F.array_contains(places(F.ceil), F.col("__r")))
+    known = picked.groupBy(*within, "__n").agg(F.map_from_entries(F.collect_list(F.struct("__r", value))).alias("__v"))
+
+    def between(q: Column) -> Column:
+        p = q * (F.col("__n") - 1)
+        low, high = F.floor(p), F.ceil(p)
+        v = lambda i: F.element_at("__v", i.cast("long"))
+        return F.when(low == high, v(low)).otherwise((high - p) * v(low) + (p - low) * v(high))
+
+    return known.select(*within, F.transform(qs, between).alias("e"))

@@ -9,6 +9,7 @@ from ..checkpoints import cut
 from ..functions import concordance, spatial
 from ..functions.concordance import has_label
 from ..operators import graph, linalg, prep
+from ..operators.ranks import ranked
 
 
 def preprocess(expr: DataFrame, spots: DataFrame, n_genes: int, *, already_normalized: bool = False, n_hvg: int = 0, target: float = 1e4) -> tuple[DataFrame, DataFrame]:
@@ -124,10 +125,7 @@ def chaos_null(spots: DataFrame, labels: DataFrame, shuffles: int = 10, seed: in
 
 def order_bins(values: DataFrame, by: tuple[str, ...], value: str, bins: int) -> DataFrame:
     """values with bin: rank * bins div size, of the rank by value, then spot_id, in its group."""
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(value, "spot_id")) - 1
-    return values.withColumns({"r": rank, "m": F.count("*").over(Window.partitionBy(*by))}).withColumn("bin", F.expr(f"(r * {int(bins)}L) div m")).drop("r", "m")
+    return ranked(values, (value, "spot_id"), by, name="r", size="m").withColumn("bin", F.expr(f"(r * {int(bins)}L) div m")).drop("r", "m")
 
 
 def accuracy_ambiguity(accuracy: DataFrame, ambiguity: DataFrame) -> DataFrame:

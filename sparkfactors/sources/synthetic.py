@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph
+from ..operators.ranks import ranked
 
 
 class Instance(NamedTuple):
@@ -35,16 +36,13 @@ def normal(*parts) -> Column:
 def spatial_domains(spots: DataFrame, n_domains: int, seed: int = 0) -> DataFrame:
     """spot_id, domain_id: each section is cut across a direction of its own into up to n_domains runs of equal size.
 
-    A spot of rank r among m gets r * k div m with k = min(n_domains, m, all spots); ties by spot_id. Sections are
-    ranked one by one, so the largest must fit a task's sort.
+    A spot of rank r among m gets r * k div m with k = min(n_domains, m, all spots); ties by spot_id.
     """
     if n_domains <= 0:
         return spots.select("spot_id", F.lit(0).cast("long").alias("domain_id"))
     along = F.col("x") * normal(seed, "D", F.col("section_id"), 0) + F.col("y") * normal(seed, "D", F.col("section_id"), 1)
-    rows = spots.withColumn("along", along)
-    rank = F.row_number().over(Window.partitionBy("section_id").orderBy("along", "spot_id")) - 1
-    size = F.count("*").over(Window.partitionBy("section_id"))
-    return rows.select("spot_id", rank.alias("r"), size.alias("m")).select("spot_id", F.expr(f"(r * least({int(n_domains)}L, m)) div m").alias("domain_id"))
+    rows = ranked(spots.select("spot_id", "section_id", along.alias("along")), ("along", "spot_id"), ("section_id",), name="r", size="m")
+    return rows.select("spot_id", F.expr(f"(r * least({int(n_domains)}L, m)) div m").alias("domain_id"))
 
 
 def generate(

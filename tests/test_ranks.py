@@ -3,9 +3,10 @@
 import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from sparkfactors.operators.ranks import ranked
+from sparkfactors.operators.ranks import quantiles, ranked
 
 
 def test_places_of_groups_with_nulls_and_a_hot_group(spark):
@@ -32,3 +33,15 @@ def test_ties_and_empty_tables(spark):
     assert sorted(x["rank"] for x in ranked(same, ("v",)).collect()) == list(range(100))
     assert ranked(same.limit(0), ("v",)).count() == 0
     assert ranked(same, ("v",), name="place").columns == ["v", "place"]
+
+
+def test_quantiles_are_exact(spark):
+    r = random.Random(4)
+    rows = [(i % 3, None if i % 17 == 0 else r.choice([r.random(), 0.5])) for i in range(2000)] + [(3, 1.5)]
+    at = [0.0, 0.1, 0.25, 1 / 3, 0.9, 1.0]
+    got = {x["k"]: x["e"] for x in quantiles(spark.createDataFrame(rows, "k int, v double").repartition(5), "v", at, ("k",)).collect()}
+    for k in range(4):
+        want = np.quantile([v for g, v in rows if g == k and v is not None], at)
+        assert np.allclose(got[k], want, rtol=0, atol=1e-15)
+    (every,) = quantiles(spark.createDataFrame(rows, "k int, v double"), "v", [0.5]).collect()
+    assert every["e"] == [np.median([v for _, v in rows if v is not None])]
