@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
+
 #: Labels that say nothing (fixed values), compared after trimming and lower-casing.
 MISSING = ("", "na", "nan", "none", "unknown", "unlabeled", "unlabelled")
 
@@ -90,6 +92,11 @@ def expected_information(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFram
     c = contingency(pairs, by)
     a = c.select(*by, "t", "a", "total").distinct().groupBy(*by, "a", "total").agg(F.count("*").alias("ka"))
     b = c.select(*by, "p", "b").distinct().groupBy(*by, "b").agg(F.count("*").alias("kb"))
+    return expected_of_margins(a, b, by)
+
+
+def expected_of_margins(a: DataFrame, b: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """by, emi from the margins' sizes and how often each occurs: a (by, a, total, ka) and b (by, b, kb)."""
     g = _join(a, b, by)
     A, B, N = (F.col(x).cast("double") for x in ("a", "b", "total"))
     mean = A * B / N
@@ -155,3 +162,35 @@ def pairwise_stability(runs: DataFrame) -> DataFrame:
     pairs = r.withColumnRenamed("label", "t").join(other, ["method", "spot_id"]).where("seed < seed2")
     mean = ari(pairs, ("method", "seed", "seed2")).groupBy("method").agg(F.avg("ari").alias("stability"))
     return r.select("method").distinct().join(mean, "method", "left")
+
+
+def accuracy_sets(pairs: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """by, total, ari, nmi, ami of every group, as ari, nmi and ami give, from one pass over the pairs.
+
+    Tables and both margins of all groups are grouping sets of one aggregation; what the metrics need of them are sums
+    over their rows, so nothing but the margins' sizes is joined.
+    """
+    sets = pairs.groupingSets([[*by, "t", "p"], [*by, "t"], [*by, "p"]], *by, "t", "p").agg(F.count("*").alias("n"), F.grouping("t").alias("no_t"), F.grouping("p").alias("no_p"))
+    kind = F.when(F.col("no_p") == 1, "t").when(F.col("no_t") == 1, "p").otherwise("c")
+    # A row per size and group, however many labels have it.
+    sizes = cut(sets.groupBy(*by, kind.alias("kind"), "n").agg(F.count("*").alias("k")))
+    n, k = F.col("n").cast("double"), F.col("k")
+    of = lambda kind, v: F.coalesce(F.sum(F.when(F.col("kind") == kind, v)), F.lit(0e0))
+    sums = sizes.groupBy(*by).agg(
+        of("c", n * k).alias("total"), *(of(x, _choose2(F.col("n")) * k).alias(f"{x}2") for x in "ctp"), *(of(x, n * F.ln(n) * k).alias(f"{x}l") for x in "ctp"),
+        of("t", k.cast("double")).alias("kt"), of("p", k.cast("double")).alias("kp"),
+    )
+    margin = lambda x, name: sizes.where(F.col("kind") == x).select(*by, F.col("n").alias(name), F.col("k").alias(f"k{name}"))
+    s = _join(sums, expected_of_margins(_join(margin("t", "a"), sums.select(*by, "total"), by), margin("p", "b"), by), by)
+    total = F.col("total")
+    ht, hp = F.ln(total) - F.col("tl") / total, F.ln(total) - F.col("pl") / total
+    mi = F.greatest(ht + hp - (F.ln(total) - F.col("cl") / total), F.lit(0e0))
+    expected = F.try_divide(F.col("t2") * F.col("p2"), total * (total - 1) / 2)
+    value = F.try_divide(F.col("c2") - expected, 0.5 * (F.col("t2") + F.col("p2")) - expected)
+    one = (F.col("kt") == 1) & (F.col("kp") == 1)
+    eps = 2.220446049250313e-16
+    d = (ht + hp) / 2 - F.col("emi")
+    d = F.when(d < 0, F.least(d, F.lit(-eps))).otherwise(F.greatest(d, F.lit(eps)))
+    share = F.least(F.try_divide(mi, (ht + hp) / 2), F.lit(1e0))
+    few = lambda v: F.when(total >= 2, v)
+    return s.select(*by, total.cast("long").alias("total"), few(value).alias("ari"), few(F.when(one, 1e0).otherwise(share)).alias("nmi"), few(F.when(one, 1e0).otherwise((mi - F.col("emi")) / d)).alias("ami"))

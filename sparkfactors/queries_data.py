@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from .checkpoints import scratch
 from .operators import lattice
 from .operators.wide_pca import wide_pca
-from .queries import SUP, query, r6
+from .plans import factor_reports
+from .queries import ARI, BYARI, CEN, EDGES, EXPR, FIT, LONG, NEAR, RUNS, SNEAR, SPOTS, SUP, edges_of, given_loadings, query, r6
 from .sources import adapters as ad
-from .sources import containers
+from .sources import containers, stacking
 
 # Archives: what the vectors hold, written as archives and read back by byte range.
 
@@ -86,3 +87,81 @@ def _(spark, sf):
     x = ad.supplier_counts(spark, sf)
     got = wide_pca(x, x.select("spot_id").distinct(), 1, oversample=30)
     return got.scores.select(F.col("id").alias("spot_id"), F.round(F.get("h", 0), 3).alias("score"))
+
+
+# Sections stacked: vectors as spots of sections, values in expr and, for odd sections, in raw.
+STACKED = f"""{SPOTS}, st_ids AS (SELECT spot_id AS vec, section_id, row_number() OVER (ORDER BY section_id, spot_id) - 1 AS spot_id FROM spots)"""
+
+
+def stacked(spark, sf):
+    e = ad.table(spark, sf, "embeddings").select(F.concat(F.lit("s"), F.pmod("vec_id", F.lit(4))).alias("section"), F.col("vec_id").alias("local_id"), F.transform("embedding", lambda v: v.cast("double")).alias("h"))
+    spots = e.select("section", "local_id", F.get("h", 0).alias("x"), F.get("h", 1).alias("y"))
+    rows = e.select("section", "local_id", F.posexplode(F.slice("h", 3, 62)).alias("gene_id", "value")).where("value > 0").withColumn("gene_id", F.col("gene_id").cast("long"))
+    raw = rows.where(F.col("section").isin("s1", "s3")).withColumn("value", F.col("value") * 100)
+    return stacking.stack_tables(spots, rows, raw, n_neighs=6, coord_type="generic")
+
+
+@query("stacked_values", f"WITH {STACKED}, {EXPR} SELECT i.spot_id, gene_id, round(value * CASE WHEN section_id % 2 = 1 THEN 100 ELSE 1 END, 6) AS value FROM expr JOIN st_ids i ON i.vec = expr.spot_id")
+def _(spark, sf):
+    return r6(stacked(spark, sf).expr, "value")
+
+
+@query("stacked_graph", f"WITH {STACKED}, {SNEAR} SELECT a.spot_id AS src, b.spot_id AS dst FROM snear JOIN st_ids a ON a.vec = src JOIN st_ids b ON b.vec = dst")
+def _(spark, sf):
+    return stacked(spark, sf).edges
+
+
+@query("stacked_sections", "SELECT vec_id % 4 AS section_id, 's' || vec_id % 4 AS section, count(*)::BIGINT AS n, vec_id % 2 = 1 AS used_raw FROM embeddings GROUP BY ALL")
+def _(spark, sf):
+    return stacked(spark, sf).sections
+
+
+# Reports over many labelings: each method and seed against the truth, the seed as a dataset.
+ACC = f"""{RUNS}, pairs AS (SELECT method, seed, e.label AS t, r.label AS p FROM runs r JOIN embeddings e ON vec_id = spot_id),
+{BYARI.format(g='method, seed')}, tt AS (SELECT method, seed, t, sum(n) AS n FROM c GROUP BY ALL), pp AS (SELECT method, seed, p, sum(n) AS n FROM c GROUP BY ALL),
+hh AS (SELECT method, seed, any_value(z.n) AS n, -sum(tt.n / z.n * ln(tt.n / z.n)) AS ht FROM tt JOIN z USING (method, seed) GROUP BY ALL),
+hp AS (SELECT method, seed, -sum(pp.n / z.n * ln(pp.n / z.n)) AS hp FROM pp JOIN z USING (method, seed) GROUP BY ALL),
+mi AS (SELECT method, seed, sum(c.n / z.n * ln(c.n * z.n / (tt.n * pp.n))) AS mi FROM c JOIN tt USING (method, seed, t) JOIN pp USING (method, seed, p) JOIN z USING (method, seed) GROUP BY ALL),
+em AS (SELECT method, seed, sum(x / n * (ln(n) + ln(x) - ln(a) - ln(b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(n - a + 1) + lgamma(n - b + 1) - lgamma(n + 1) - lgamma(x + 1) - lgamma(a - x + 1) - lgamma(b - x + 1) - lgamma(n - a - b + x + 1))) AS emi
+FROM (SELECT method, seed, tt.n AS a, pp.n AS b, z.n AS n, unnest(range(greatest(1, tt.n + pp.n - z.n)::BIGINT, least(tt.n, pp.n)::BIGINT + 1))::DOUBLE AS x FROM tt JOIN pp USING (method, seed) JOIN z USING (method, seed)) q GROUP BY ALL)"""
+
+
+def run_pairs(spark, sf):
+    e = ad.table(spark, sf, "embeddings").select(F.col("vec_id").alias("spot_id"), F.col("label").cast("long").alias("t"))
+    r = ad.runs(spark, sf).join(e, "spot_id")
+    return r.select(F.concat(F.lit("seed"), "seed").alias("dataset"), F.col("method").alias("variant"), "t", F.col("label").alias("p"))
+
+
+@query("domain_accuracy", f"WITH {ACC} SELECT 'seed' || seed AS dataset, method AS variant, round({ARI}, 6) AS ari, round(mi / ((ht + hp) / 2), 6) AS nmi, round((mi - emi) / ((ht + hp) / 2 - emi), 6) AS ami FROM s JOIN hh USING (method, seed) JOIN hp USING (method, seed) JOIN mi USING (method, seed) JOIN em USING (method, seed)")
+def _(spark, sf):
+    return r6(factor_reports.domain_accuracy(run_pairs(spark, sf)), "ari", "nmi", "ami")
+
+
+# Factors: six entries of the vectors as scores, beside the loadings that other queries use.
+FACT = f"""{SPOTS}, {NEAR}, {EDGES}, {LONG}, {CEN}, {FIT}, mo AS (SELECT k, count(*)::DOUBLE AS n, sum(v * v) AS m2, sum(v * v * v * v) AS m4 FROM cen GROUP BY k),
+cr AS (SELECT a.k, sum(a.v * b.v) AS x FROM edges JOIN cen a ON a.spot_id = src JOIN cen b ON b.spot_id = dst AND a.k = b.k GROUP BY a.k),
+gw AS (SELECT count(*)::DOUBLE AS w FROM edges), g1 AS (SELECT sum(m * m) AS s1 FROM (SELECT count(*)::DOUBLE AS m FROM edges GROUP BY least(src, dst), greatest(src, dst)) q),
+g2 AS (SELECT sum(d * d) AS s2 FROM (SELECT count(*)::DOUBLE AS d FROM (SELECT src AS i FROM edges UNION ALL SELECT dst FROM edges) q GROUP BY i) r),
+rd AS (SELECT i AS k, max(r) AS red FROM (SELECT a.k AS i, b.k AS j, abs(corr(a.v, b.v)) AS r FROM vals a JOIN vals b USING (spot_id) WHERE a.k <> b.k GROUP BY 1, 2) q GROUP BY i),
+rk AS (SELECT k, gene_id, w, row_number() OVER (PARTITION BY k ORDER BY w DESC, gene_id) AS r FROM w),
+ld AS (SELECT k, sum(w) FILTER (WHERE r <= 10) / sum(w) AS mass, string_agg(gene_id::VARCHAR, ',' ORDER BY r) FILTER (WHERE r <= 10) AS genes FROM rk GROUP BY k),
+it AS (SELECT mo.k, n * x / (w * m2) AS i, -1 / (n - 1) AS e, red, mass, genes,
+  sqrt((n * ((n * n - 3 * n + 3) * s1 - n * s2 + 3 * w * w) - n * m4 / (m2 * m2) * ((n * n - n) * s1 - 2 * n * s2 + 6 * w * w)) / ((n - 1) * (n - 2) * (n - 3) * w * w) - 1 / ((n - 1) * (n - 1))) AS sd
+  FROM mo JOIN cr USING (k) JOIN rd USING (k) JOIN ld USING (k), gw, g1, g2)"""
+
+
+def factor_rows(spark, sf):
+    return ad.embedding_points(spark, sf).select(F.col("id").alias("spot_id"), F.slice("h", 3, 6).alias("h"))
+
+
+@query("factor_interpretability", f"WITH {FACT} SELECT k AS factor, round(i, 6) AS coherence, round(e, 6) AS null_mean, round(sd, 6) AS null_std, round((i - e) / sd, 4) AS z, round(mass, 6) AS enrichment, round(red, 6) AS max_redundancy, genes FROM it")
+def _(spark, sf):
+    out = factor_reports.factor_interpretability(factor_rows(spark, sf), given_loadings(spark), edges_of(spark, sf), 6)
+    out = r6(out, "coherence", "null_mean", "null_std", "enrichment", "max_redundancy")
+    return out.withColumns({"z": F.round("z", 4), "genes": F.array_join("top_genes", ",")}).drop("top_genes")
+
+
+@query("factor_coherence", f"WITH {FACT} SELECT k AS factor, round(mass, 6) AS top_gene_mass, round(i, 6) AS spatial_coherence, round(red, 6) AS max_redundancy FROM it")
+def _(spark, sf):
+    out = factor_reports.factor_coherence(factor_rows(spark, sf), given_loadings(spark), edges_of(spark, sf), 6)
+    return r6(out, "top_gene_mass", "spatial_coherence", "max_redundancy")
