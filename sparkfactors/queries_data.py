@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from .checkpoints import scratch
-from .operators import lattice
+from .checkpoints import cut, scratch
+from .operators import graph, lattice, linalg, models
 from .operators.wide_pca import wide_pca
-from .plans import factor_reports
+from .plans import experiments, factor_reports
 from .queries import ARI, BYARI, CEN, EDGES, EXPR, FIT, LONG, NEAR, RUNS, SNEAR, SPOTS, SUP, edges_of, given_loadings, query, r6
 from .sources import adapters as ad
 from .sources import containers, stacking
@@ -165,3 +166,61 @@ def _(spark, sf):
 def _(spark, sf):
     out = factor_reports.factor_coherence(factor_rows(spark, sf), given_loadings(spark), edges_of(spark, sf), 6)
     return r6(out, "top_gene_mass", "spatial_coherence", "max_redundancy")
+
+
+# Solves on two factors, which SQL writes out: the first two entries' positive parts as scores.
+TWO = """sc AS (SELECT vec_id AS spot_id, greatest(embedding[3]::DOUBLE, 0e0) AS a, greatest(embedding[4]::DOUBLE, 0e0) AS b FROM embeddings),
+gm AS (SELECT sum(a * a) AS g11, sum(a * b) AS g12, sum(b * b) AS g22 FROM sc), rhs AS (SELECT gene_id, sum(value * a) AS b1, sum(value * b) AS b2 FROM expr JOIN sc USING (spot_id) GROUP BY gene_id),
+un AS (SELECT *, (g22 * b1 - g12 * b2) / (g11 * g22 - g12 * g12) AS u1, (g11 * b2 - g12 * b1) / (g11 * g22 - g12 * g12) AS u2 FROM rhs, gm),
+sol AS (SELECT gene_id, CASE WHEN u1 >= 0 AND u2 >= 0 THEN u1 WHEN u1 < 0 THEN 0e0 ELSE greatest(b1 / g11, 0e0) END AS w1, CASE WHEN u1 >= 0 AND u2 >= 0 THEN u2 WHEN u1 < 0 THEN greatest(b2 / g22, 0e0) ELSE 0e0 END AS w2 FROM un)"""
+
+
+def two_scores(spark, sf):
+    return ad.embedding_points(spark, sf).select(F.col("id").alias("spot_id"), F.transform(F.slice("h", 3, 2), lambda v: F.greatest(v, F.lit(0e0))).alias("h"))
+
+
+@query("nnls_loadings", f"WITH {EXPR}, {TWO} SELECT gene_id, round(w1, 6) + 0e0 AS w1, round(w2, 6) + 0e0 AS w2 FROM sol")
+def _(spark, sf):
+    rows = two_scores(spark, sf)
+    x = ad.embedding_expr(spark, sf).join(rows, "spot_id").groupBy("gene_id").agg(*linalg.sum_vector("h", 2, F.col("value"))).select("gene_id", F.array("x0", "x1").alias("b"))
+    w = linalg.nnls_rows(x, "gene_id", linalg.gram_of(rows, "h", 2))
+    return r6(w.select("gene_id", F.get("w", 0).alias("w1"), F.get("w", 1).alias("w2")), "w1", "w2")
+
+
+REFIT = """lw AS (SELECT g AS gene_id, (g % 7 + 1) / 10e0 AS a, (g % 5 + 1) / 10e0 AS b FROM range(62) t(g)), lg AS (SELECT sum(a * a) AS g11, sum(a * b) AS g12, sum(b * b) AS g22 FROM lw),
+lr AS (SELECT vec_id AS spot_id, coalesce(b1, 0e0) AS b1, coalesce(b2, 0e0) AS b2 FROM embeddings LEFT JOIN (SELECT spot_id, sum(value * a) AS b1, sum(value * b) AS b2 FROM expr JOIN lw USING (gene_id) GROUP BY spot_id) q ON spot_id = vec_id)"""
+
+
+@query("lstsq_refit", f"WITH {EXPR}, {REFIT} SELECT spot_id, round(greatest((g22 * b1 - g12 * b2) / (g11 * g22 - g12 * g12), 0e0), 6) AS h1, round(greatest((g11 * b2 - g12 * b1) / (g11 * g22 - g12 * g12), 0e0), 6) AS h2 FROM lr, lg")
+def _(spark, sf):
+    part = lambda m: ((F.col("id") % m + 1) / 10e0)
+    w = spark.range(62).select(F.col("id").alias("gene_id"), F.array(part(7), part(5)).alias("w"))
+    h = experiments.project_scores(ad.embedding_expr(spark, sf), ad.embedding_spots(spark, sf), w, 2)
+    return r6(h.select("spot_id", F.get("h", 0).alias("h1"), F.get("h", 1).alias("h2")), "h1", "h2")
+
+
+@query("pca_scores", f"WITH RECURSIVE {SUP}, {LEAD} SELECT spot_id, round(sum(c.v * d.v[c.g]), 3) AS score FROM cen c, dir d GROUP BY spot_id")
+def _(spark, sf):
+    x = cut(ad.supplier_counts(spark, sf))
+    points = models.dense_rows(x.withColumnRenamed("value", "v"), x.select("spot_id").distinct(), x.agg(F.max("gene_id")).first()[0] + 1)
+    return linalg.pca(points, 1)[0].select(F.col("id").alias("spot_id"), F.round(F.get("h", 0), 3).alias("score"))
+
+
+def _encode_sql(d: int = 2, n: int = 62, seed: int = 3) -> str:
+    """The random projection as a table, and the encoder in SQL."""
+    f = 2 * n + 3
+    p = np.random.default_rng(seed).normal(0, f**-0.5, (f, d))
+    ends = ", ".join(f"({j}, {float(p[-3, j])!r}, {float(p[-2, j])!r}, {float(p[-1, j])!r})" for j in range(d))
+    rows = ", ".join(f"({g}, {j}, {float(p[g, j])!r}::DOUBLE, {float(p[n + g, j])!r}::DOUBLE)" for g in range(n) for j in range(d))
+    return f"""pr AS (SELECT * FROM (VALUES {rows}) v(gene_id, j, po, pn)), pe AS (SELECT * FROM (VALUES {ends}) v(j, px, py, ps)),
+own AS (SELECT s.spot_id, pe.j, coalesce(sum(value * po), 0e0) AS o, coalesce(sum(value * pn), 0e0) AS q FROM spots s CROSS JOIN pe LEFT JOIN expr ON expr.spot_id = s.spot_id LEFT JOIN pr ON pr.gene_id = expr.gene_id AND pr.j = pe.j GROUP BY s.spot_id, pe.j),
+mean_q AS (SELECT src AS spot_id, j, avg(q) AS m FROM snear JOIN own ON own.spot_id = dst GROUP BY src, j)
+SELECT spot_id, j::BIGINT AS j, round(o - avg(o) OVER (PARTITION BY j) + coalesce(m, 0e0) - avg(q) OVER (PARTITION BY j) + (x - avg(x) OVER (PARTITION BY j)) * px + (y - avg(y) OVER (PARTITION BY j)) * py + section_id / 3e0 * ps, 6) + 0e0 AS v
+FROM own JOIN spots USING (spot_id) JOIN pe USING (j) LEFT JOIN mean_q USING (spot_id, j)"""
+
+
+@query("encode_graph", f"WITH {SPOTS}, {SNEAR}, {EXPR}, {_encode_sql()}")
+def _(spark, sf):
+    spots = ad.embedding_spots(spark, sf)
+    h = models.encode(ad.embedding_expr(spark, sf), spots, graph.knn_directed(spots, 6), 62, 2, 3)
+    return r6(h.select("spot_id", F.posexplode("h").alias("j", "v")).withColumn("j", F.col("j").cast("long")), "v")
