@@ -48,29 +48,18 @@ def find_candidates(docs: DataFrame) -> DataFrame:
     before and the value), b2, b1 and a1 (the words before and after). A word gives all its runs with a digit."""
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
     rows = docs.select("doc_id", source.alias("source"), F.split(F.coalesce("text", F.lit("")), c.SPACE_RE).alias("w"))
-    long = F.filter(F.transform("w", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: (F.length(s["x"]) >= 16) & s["x"].rlike("[0-9]"))
-    found = rows.where(F.size(long) > 0).select("doc_id", "source", "w", F.explode(long).alias("s"))
-    word = F.col("s.x")
-    start = F.struct(F.array().cast("array<struct<value:string,lead:string>>").alias("done"), F.lit(1).alias("at"))
-
-    def place(state: Column, value: Column) -> Column:
-        begin = F.call_function("locate", value, word, state["at"])
-        lead = F.substring(word, state["at"], begin - state["at"])
-        return F.struct(F.array_append(state["done"], F.struct(value.alias("value"), lead.alias("lead"))).alias("done"), (begin + F.length(value)).alias("at"))
-
-    runs = F.aggregate(F.regexp_extract_all(word, F.lit(CANDIDATE), F.lit(1)), start, place, lambda state: state["done"])
-    found = found.select("*", F.posexplode(runs).alias("nth", "run"))
-    i = F.col("s.i")
-    out = found.select(
-        "doc_id",
-        "source",
-        i.alias("at"),
-        "nth",
-        F.col("run.value").alias("value"),
-        F.col("run.lead").alias("lead"),
-        *(F.coalesce(F.get("w", i + j), F.lit("")).alias(name) for name, j in (("b2", -2), ("b1", -1), ("a1", 1))),
-    )
-    return out.where(F.col("value").rlike("[0-9]"))
+    near = lambda i, j: F.coalesce(F.get("w", i + j), F.lit(""))
+    # A long word takes its neighbours with it, so that no later row holds the whole text.
+    placed = F.transform("w", lambda x, i: F.struct(x.alias("x"), i.alias("at"), near(i, -2).alias("b2"), near(i, -1).alias("b1"), near(i, 1).alias("a1")))
+    long = F.filter(placed, lambda s: (F.length(s["x"]) >= 16) & s["x"].rlike("[0-9]"))
+    found = rows.select("doc_id", "source", F.explode(long).alias("s"))
+    # The word is cut at its runs: a run's lead is the gap before it and what stands before the value in the run's match.
+    all_of = lambda group: F.regexp_extract_all("s.x", F.lit(CANDIDATE), F.lit(group))
+    cut = found.select("doc_id", "source", "s.at", "s.b2", "s.b1", "s.a1", F.arrays_zip(all_of(1).alias("value"), all_of(0).alias("whole"), F.split("s.x", CANDIDATE).alias("gap")).alias("runs"))
+    out = cut.select("doc_id", "source", "at", "b2", "b1", "a1", F.posexplode("runs").alias("nth", "run"))
+    value, whole = F.col("run.value"), F.col("run.whole")
+    lead = F.concat(F.coalesce("run.gap", F.lit("")), F.substring(whole, F.lit(1), F.length(whole) - F.length(value)))
+    return out.where(value.rlike("[0-9]")).select("doc_id", "source", "at", "nth", value.alias("value"), lead.alias("lead"), "b2", "b1", "a1")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -80,34 +69,53 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def transitions(words: DataFrame) -> DataFrame:
-    """pair, p: log of the share that the second of two neighbouring characters has after the first; 27 * 26 rows."""
+    """pair, p: log of the share that the second of two neighbouring letters has after the first; at most 26 * 26 rows."""
     pairs = words.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", i, F.lit(2)))).alias("pair"))
     counts = pairs.groupBy("pair").agg(F.sum("n").alias("n"))
     first = counts.groupBy(F.substring("pair", 1, 1).alias("x")).agg(F.sum("n").alias("total"))
     return counts.join(first, F.substring("pair", 1, 1) == F.col("x")).select("pair", F.log((F.col("n") + 1e0) / (F.col("total") + 26e0)).alias("p"))
 
 
+def transition_table(words: DataFrame) -> DataFrame:
+    """One row: an array of transitions' p by 26 times the first letter's place in the alphabet plus the second's, -9 for
+    pairs that don't occur."""
+    place = lambda i: F.ascii(F.substring("pair", i, 1)) - 97
+    known = transitions(words).select((place(1) * 26 + place(2)).alias("i"), "p")
+    every = words.sparkSession.range(26 * 26).select(F.col("id").cast("int").alias("i")).join(known, "i", "left")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("p", F.lit(-9e0)).alias("p")))), lambda x: x["p"]).alias("table"))
+
+
+def mean_transition(value: Column, table: Column) -> Column:
+    """Mean of the table's entries over a string's neighbouring characters, -9 for pairs that aren't two letters."""
+    places = F.transform(F.split(F.lower(value), ""), lambda x: F.when((x >= "a") & (x <= "z"), F.ascii(x) - 97))
+
+    def mean(x: Column) -> Column:
+        pairs = F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1), lambda a, b: F.coalesce(F.get(table, a * 26 + b), F.lit(-9e0)))
+        return F.aggregate(pairs, F.lit(0e0), lambda s, v: s + v) / F.greatest(F.size(x) - 1, F.lit(1))
+
+    return c.let(places, mean)
+
+
 def classes(value: Column) -> Column:
     """The value with each character replaced by its class: 0, A, a or -."""
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0"), "[^aA0]", "-")
 
 
 def string_features(values: DataFrame, words: DataFrame, settings: Settings) -> DataFrame:
-    """value and STRING_FEATURES; values: distinct strings."""
-    table = F.broadcast(transitions(words))  # at most 26 * 26 rows, whatever the input
-    chars = values.select("value", F.explode(F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.substring(F.lower("value"), i, F.lit(2)))).alias("pair"))
-    likely = chars.join(table, "pair", "left").groupBy("value").agg(F.avg(F.coalesce("p", F.lit(-9e0))).alias("transition"))
+    """digest and STRING_FEATURES; values: digest, value of distinct strings. The value itself is in one row alone, so a
+    very long one is not copied for each of its parts."""
+    table = F.lit(transition_table(words).first()["table"])  # 26 * 26 numbers, whatever the input
     known = words.where(F.col("n") >= settings.dictionary_count).select("word")
-    parts = values.select("value", F.explode(F.array_distinct(F.filter(F.split(F.lower("value"), "[^a-z]+"), lambda x: F.length(x) >= 2))).alias("word"))
-    covered = parts.join(known, "word").groupBy("value").agg(F.sum(F.length("word")).alias("covered"))
+    parts = values.select("digest", F.array_distinct(F.filter(F.split(F.lower("value"), "[^a-z]+"), lambda x: F.length(x) >= 2)).alias("parts"))
+    parts = parts.select("digest", F.explode("parts").alias("word"))
+    covered = parts.join(known, "word").groupBy("digest").agg(F.sum(F.length("word")).alias("covered"))
     k = classes(F.col("value"))
     n = F.length("value").cast("double")
     share = lambda cls: F.length(F.regexp_replace(k, f"[^{cls}]", "")) / n
     return (
-        values.join(likely, "value", "left")
-        .join(covered, "value", "left")
+        values.join(covered, "digest", "left")
         .select(
-            "value",
+            "digest",
             n.alias("length"),
             share("0").alias("digits"),
             share("A").alias("uppers"),
@@ -115,7 +123,7 @@ def string_features(values: DataFrame, words: DataFrame, settings: Settings) ->
             share("\\-").alias("others"),
             (F.size(F.array_distinct(F.split("value", ""))) / n).alias("distinct"),
             (F.length(F.regexp_replace(k, r"(.)\1*", "x")) / n).alias("changes"),
-            F.coalesce("transition", F.lit(-9e0)).alias("transition"),
+            mean_transition(F.col("value"), table).alias("transition"),
             F.least(F.coalesce("covered", F.lit(0)) / n, F.lit(1e0)).alias("coverage"),
         )
     )
@@ -164,16 +172,18 @@ def scan_secrets(docs: DataFrame, labels: DataFrame | None = None, settings: Set
     known = found.join(labels, keys).select("doc_id", "at", "nth", "value", "source", "label")
     few = c.materialize(known.orderBy(F.xxhash64("value", "doc_id", "at"), "doc_id", "at", "nth").limit(settings.most_labelled))
     digest = F.sha2("value", 256).alias("value_sha256")
+    key = F.unhex(F.sha2("value", 256)).alias("digest")
     if few.select("label").distinct().count() < 2:
         return found.select("doc_id", "at", digest, F.lit(None).cast("double").alias("score"), F.lit(True).alias("is_secret"))
     words = c.materialize(word_counts(docs).where("n > 1"))
-    strings = string_features(found.select("value").distinct(), words, settings)
-    rows = c.materialize(place_features(found, few, settings).join(strings, "value").select("doc_id", "at", "nth", "value", *features))
+    strings = string_features(found.groupBy(key).agg(F.first("value").alias("value")), words, settings)
+    placed = place_features(found.select("*", key).drop("value"), few, settings)
+    rows = c.materialize(placed.join(strings, "digest").select("doc_id", "at", "nth", "digest", *features))
     ready = VectorAssembler(inputCols=list(features), outputCol="features").transform(rows)
     # Bounded by most_labelled; one sorted partition, so that the fit doesn't depend on how rows were dealt.
-    train = ready.join(few.select("doc_id", "at", "nth", "value", "label").distinct(), ["doc_id", "at", "nth", "value"]).select("features", "label", "doc_id", "at", "nth")
+    train = ready.join(few.select("doc_id", "at", "nth", key, "label").distinct(), ["doc_id", "at", "nth", "digest"]).select("features", "label", "doc_id", "at", "nth")
     train = train.coalesce(1).sortWithinPartitions("doc_id", "at", "nth")
     forest = RandomForestClassifier(numTrees=settings.trees, maxDepth=settings.depth, seed=7, featureSubsetStrategy="sqrt").fit(train)
     score = F.round(vector_to_array("probability")[1], 6)
     out = forest.transform(ready).withColumn("score", score)
-    return out.select("doc_id", F.col("at").cast("long").alias("at"), digest, "score", (F.col("score") >= settings.threshold).alias("is_secret"))
+    return out.select("doc_id", F.col("at").cast("long").alias("at"), F.lower(F.hex("digest")).alias("value_sha256"), "score", (F.col("score") >= settings.threshold).alias("is_secret"))

@@ -420,6 +420,29 @@ def test_secrets_candidates_against_regular_expressions(docs, rows):
     assert secret_scan.scan_secrets(docs).count() == len(want)
 
 
+def test_secrets_in_very_long_words(spark):
+    """A word of a megabyte, of one run or of very many, is read in a time that grows with its length."""
+    import random
+    import time
+
+    r = random.Random(9)
+    dotted = ".".join("".join(r.choice("0123456789abcdef") for _ in range(20)) for _ in range(50_000))
+    blob = "".join(r.choice("ABCDEFabcdef0123456789+/") for _ in range(1_000_000))
+    d = spark.createDataFrame([(0, dotted), (1, blob), (2, "plain words of a text")], "doc_id long, text string")
+    began = time.time()
+    found = secret_scan.find_candidates(d).groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.length("value")).alias("most"), F.max("lead").alias("lead"))
+    assert {tuple(x) for x in found.collect()} == {(0, 50_000, 20, "."), (1, 1, 1_000_000, "")}
+    assert secret_scan.scan_secrets(d).count() == 50_001
+    words = spark.createDataFrame([("abc", 10), ("bca", 30)], "word string, n long")
+    values = spark.createDataFrame([(b"a", "abX-ca"), (b"b", blob)], "digest binary, value string")
+    table = {x["pair"]: x["p"] for x in secret_scan.transitions(words).collect()}
+    got = {bytes(x["digest"]): x["transition"] for x in secret_scan.string_features(values, words, secret_scan.Settings()).collect()}
+    for key, value in ((b"a", "abx-ca"), (b"b", blob.lower())):
+        want = [table.get(value[i : i + 2], -9.0) for i in range(len(value) - 1)]
+        assert abs(got[key] - sum(want) / len(want)) < 1e-9
+    assert time.time() - began < 60
+
+
 def test_secrets_without_reviewed_labels(spark):
     """What a place settles elsewhere is told from the string alone: secrets that nothing names, and names of files."""
     import random
