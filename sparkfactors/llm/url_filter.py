@@ -65,29 +65,55 @@ def shaped(path: Column) -> Column:
     return F.transform(F.split(path, "/"), lambda s: F.regexp_replace(F.regexp_replace(s, HEX_RE, "*"), DIGITS_RE, "*"))
 
 
+def family(general: Column) -> Column:
+    """A generalised path with its last literal part replaced by ?: the end of a segment that only segments with a * (and
+    one slash) follow. Without such a part, the path itself. Segments are looked at one by one, as an expression over
+    all of a long path would go as deep as it has segments."""
+
+    def of(x: Column) -> Column:
+        last = F.when(F.element_at(x, -1) == "", F.size(x) - 1).otherwise(F.size(x))
+        places = lambda ok: F.filter(F.transform(x, lambda s, i: F.when((i < last) & ok(s, i), i)), lambda i: i.isNotNull())
+        plain = F.coalesce(F.array_max(places(lambda s, i: ~F.contains(s, F.lit("*")))), F.lit(-1))
+
+        def replaced(w: Column) -> Column:
+            ended = F.array_min(places(lambda s, i: (i > w) & (s != "") & ~F.endswith(s, F.lit("*"))))
+            at = F.when((w >= 0) & (F.get(x, w) != ""), w).otherwise(ended)
+            cut = lambda s: F.concat(F.substring(s, F.lit(1), F.length(s) - F.length(F.substring_index(s, "*", -1))), F.lit("?"))
+            return c.let(at, lambda j: F.array_join(F.transform(x, lambda s, i: F.when(i.eqNullSafe(j), cut(s)).otherwise(s)), "/"))
+
+        return c.let(plain, replaced)
+
+    return c.let(F.split(general, "/"), of)
+
+
 def templates(urls: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """From host, path and label (block, allow or null): host, shape, template, purity. One row per host and shape.
 
-    shape: the shaped segments joined by /. A node is a host and a shape's first segments.
+    shape: the shaped segments joined by /. A node is a host and a shape's first segments, known by two 64-bit hashes of
+    those, so that a path of very many segments isn't copied for each of them.
     """
+    from pyspark.sql import Window
+
     shapes = urls.select("host", F.array_join(shaped(F.col("path")), "/").alias("shape"), "label").groupBy("host", "shape").agg(
         F.count_if(F.col("label") == "block").alias("n_block"), F.count("label").alias("n_label")
     )
-    steps = shapes.select("host", "shape", F.posexplode(F.split("shape", "/")).alias("i", "seg")).withColumn(
-        "parent", F.array_join(F.slice(F.split("shape", "/"), F.lit(1), F.col("i")), "/")
-    )
+    shapes = shapes.withColumn("id", F.struct(F.xxhash64("host", "shape").alias("a"), F.xxhash64(F.lit(1), "shape", "host").alias("b")))
+    steps = shapes.select("host", "id", F.posexplode(F.split("shape", "/")).alias("i", "seg"))
+    before = Window.partitionBy("host", "id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    hashed = lambda seed: F.coalesce(F.bit_xor(F.xxhash64(F.lit(seed), "i", "seg")).over(before), F.lit(0))
+    steps = steps.withColumn("parent", F.struct(hashed(2).alias("a"), hashed(3).alias("b")))
     children = steps.groupBy("host", "i", "parent", "seg").agg(F.count("*").alias("n"))
     wild = children.groupBy("host", "i", "parent").agg((F.count("*") > limits.most_children).alias("wild"))
     general = (
         steps.join(wild, ["host", "i", "parent"])
-        .groupBy("host", "shape")
+        .groupBy("host", "id")
         .agg(F.array_sort(F.collect_list(F.struct("i", F.when(F.col("wild"), "*").otherwise(F.col("seg")).alias("seg")))).alias("t"))
-        .select("host", "shape", F.array_join(F.col("t.seg"), "/").alias("general"))
+        .select("host", "id", F.array_join(F.col("t.seg"), "/").alias("general"))
     )
-    per = shapes.join(general, ["host", "shape"])
+    per = shapes.join(general, ["host", "id"]).drop("id")
     # A branch is a generalised path; its siblings are those with the same path but for the last literal segment.
     branch = per.groupBy("host", "general").agg(F.sum("n_block").alias("n_block"), F.sum("n_label").alias("n_label"))
-    branch = branch.withColumn("family", F.regexp_replace("general", r"[^/*]+((?:/[^/]*\*[^/]*)*/?)$", "?$1"))
+    branch = branch.withColumn("family", family(F.col("general")))
     joined = merged_siblings(branch, limits)
     total = branch.agg(((F.sum("n_block") + 1e0) / (F.sum("n_label") + 2e0)).alias("p_all"))
     host = branch.groupBy("host").agg(F.sum("n_block").alias("hb"), F.sum("n_label").alias("hn"))

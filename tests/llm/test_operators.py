@@ -509,6 +509,28 @@ def test_templates_generalise_and_reject(spark):
     assert purity["/u/*/p*"] > 0.75 > purity["/ok/*"]
 
 
+def test_families_against_a_regular_expression(spark):
+    import itertools
+
+    paths = ["", "/", "//", *("/".join(p) for n in (1, 2, 3, 4) for p in itertools.product(("", "a", "b*", "*c", "*"), repeat=n))]
+    rows = spark.createDataFrame([(p,) for p in paths], "general string").select("general", url_filter.family(F.col("general"))).collect()
+    assert {p: f for p, f in rows} == {p: re.sub(r"[^/*]+((?:/[^/]*\*[^/]*)*/?)\Z", r"?\1", p) for p in paths}
+
+
+def test_urls_of_very_many_segments(spark):
+    """Ten thousand segments, all literal, all numbers or half and half, in a time that grows with their number."""
+    import time
+
+    n = 10_000
+    paths = ["/".join(f"s{chr(97 + i % 26)}" for i in range(n)), "/".join(str(i) for i in range(n)), "/".join(f"x/{i}" for i in range(n // 2))]
+    d = spark.createDataFrame([(i, f"http://h{i}.org/{'es/' if i % 2 else ''}{p}") for i, p in enumerate(paths)], "page_id long, url string")
+    began = time.time()
+    got = {x["row"]["page_id"]: x for x in url_filter.filter_urls(d).collect()}
+    assert [got[i]["verdict"] for i in range(3)][1] == "block" and got[1]["rule"] == "org/es/"
+    assert got[0]["template"].count("/") == n and "*" in got[1]["template"]
+    assert time.time() - began < 60
+
+
 def test_empty_tables(spark, empty):
     assert substring_dedup.dedup_substrings(empty).count() == 0
     assert quality.quality_report(empty).count() == quality.filter_quality(empty).count() == 0
