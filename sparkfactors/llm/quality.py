@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade.
 
-On a sample each rule's cost is timed, and its rate of rejection counted among the documents that the rules before it
-leave; rules are ordered by rejection per cost, and each document is tested only until one rule rejects it. The order
+On a sample each rule's work is counted, and its rate of rejection, among the documents that the rules before it leave;
+rules are ordered by rejection per cost, and each document is tested only until one rule rejects it. The order
 never changes which documents stay, only the work and the rule that is named first.
 
 Only DataFrame functions are used; there is no shuffle, as every feature is computed within its row.
@@ -82,22 +82,30 @@ def n_upper(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """reject is made of text (never null) and words. cost is work a document, in any unit; None: timed on the sample."""
+    """reject is made of text (never null) and words. cost is the work on a document, in characters looked at; work is
+    the same as an expression of the document. Rules that give neither are timed on the sample."""
 
     name: str
     reject: Callable[[Column, Column], Column]
     cost: float | None = None
+    work: Callable[[Column, Column], Column] | None = None
+
+
+#: Characters that could be looked at while one value is hashed or compared.
+HASH = 8
 
 
 def default_rules() -> list[Rule]:
-    """Limits are on whole counts, so that they don't depend on rounding."""
+    """Limits are on whole counts, so that they don't depend on rounding. Work: passes over the characters, and the lines
+    or windows that are hashed and sorted."""
+    chars, words = lambda t, w: F.length(t), lambda t, w: F.size(w)
     return [
-        Rule("few_words", lambda t, w: F.size(w) < 50),
-        Rule("word_length", lambda t, w: ~word_chars(t).between(2 * F.size(w), 20 * F.size(w))),
-        Rule("symbols", lambda t, w: 100 * n_symbols(t) > 10 * F.size(w)),
-        Rule("capitals", lambda t, w: 100 * n_upper(t) > 50 * word_chars(t)),
-        Rule("dup_lines", lambda t, w: 100 * n_dup_lines(t) > 50 * n_lines(t)),
-        Rule("repeats", lambda t, w: 100 * n_repeat_words(w) > 50 * F.size(w)),
+        Rule("few_words", lambda t, w: F.size(w) < 50, work=lambda t, w: F.lit(1)),
+        Rule("word_length", lambda t, w: ~word_chars(t).between(2 * F.size(w), 20 * F.size(w)), work=chars),
+        Rule("symbols", lambda t, w: 100 * n_symbols(t) > 10 * F.size(w), work=chars),
+        Rule("capitals", lambda t, w: 100 * n_upper(t) > 50 * word_chars(t), work=lambda t, w: 2 * chars(t, w)),
+        Rule("dup_lines", lambda t, w: 100 * n_dup_lines(t) > 50 * n_lines(t), work=lambda t, w: 3 * chars(t, w) + HASH * n_lines(t)),
+        Rule("repeats", lambda t, w: 100 * n_repeat_words(w) > 50 * F.size(w), work=lambda t, w: HASH * words(t, w) * (2 + F.log2(words(t, w) + 2))),
     ]
 
 
@@ -122,27 +130,37 @@ def timed(sample: DataFrame, rules: list[Rule]) -> list[float]:
 
 
 def order_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = 2000) -> list[Rule]:
-    """Rules by rejection per cost, greedily: each next one by what it rejects of the sample's rows that are left.
+    """Rules by rejection per cost, greedily: each next one by what it rejects of the sample's rows that are left, over
+    its work on them.
 
     The sample is the rows whose hash of id and text falls in the share of its range that about sample_rows of all rows
-    meet, so no rows are gathered to be counted off. It settles the order of work alone. Only counts of each combination of verdicts
-    reach the driver. Ties go to the cheaper rule, then to the order given. Where the sample is empty, the order stays.
+    meet, so no rows are gathered to be counted off. It settles the order of work alone, and the same documents give the
+    same order. Counts and work of each combination of verdicts come from one pass, and only they reach the driver. Ties
+    go to the cheaper rule, then to the order given. Where the sample is empty, the order stays.
     """
     text = F.coalesce("text", F.lit(""))
     share = min(1.0, sample_rows / max(1, docs.count()))
     picked = docs.select("doc_id", text.alias("text")).where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**31)) < int(share * 2**31))
-    sample = c.materialize(with_words(picked))
-    if not sample.take(1):
+    given = all(r.cost is not None or r.work is not None for r in rules)
+    sample = with_words(picked) if given else c.materialize(with_words(picked))
+    t, w = F.col("text"), F.col("words")
+    hits = [F.coalesce(r.reject(t, w), F.lit(False)).alias(f"r{i}") for i, r in enumerate(rules)]
+    work = [(r.work(t, w).cast("double") if r.cost is None and r.work else F.lit(float(r.cost or 0))).alias(f"w{i}") for i, r in enumerate(rules)]
+    names = [f"r{i}" for i in range(len(rules))]
+    rows = sample.select(*hits, *work).groupBy(*names).agg(F.count("*").alias("n"), *(F.sum(f"w{i}").alias(f"w{i}") for i in range(len(rules)))).collect()
+    if not rows:
         return rules
-    hits = sample.select(*(F.coalesce(r.reject(F.col("text"), F.col("words")), F.lit(False)).alias(f"r{i}") for i, r in enumerate(rules)))
-    left = [(row[:-1], row[-1]) for row in hits.groupBy(*hits.columns).count().collect()]
-    costs = [r.cost for r in rules] if all(r.cost is not None for r in rules) else timed(sample, rules)
+    left = [(tuple(row[x] for x in names), row["n"], [row[f"w{i}"] for i in range(len(rules))]) for row in rows]
+    if not given:
+        seconds, total = timed(sample, rules), sum(n for _, n, _ in left)
+        left = [(v, n, [s * n / total for s in seconds]) for v, n, _ in left]
     order, todo = [], list(range(len(rules)))
     while todo:
-        best = max(todo, key=lambda i: (sum(n for v, n in left if v[i]) / costs[i], -costs[i], -i))
+        cost = {i: max(sum(x[i] for _, _, x in left), 1e-9) for i in todo}
+        best = max(todo, key=lambda i: (sum(n for v, n, _ in left if v[i]) / cost[i], -cost[i], -i))
         order.append(rules[best])
         todo.remove(best)
-        left = [(v, n) for v, n in left if not v[best]]
+        left = [x for x in left if not x[0][best]]
     return order
 
 

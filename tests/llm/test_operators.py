@@ -69,6 +69,11 @@ def test_rule_order_is_rejection_per_cost(spark):
     assert [r.name for r in quality.order_rules(d, rules, 500)] == ["cheap", "never", "dear"]
 
 
+def test_rule_order_is_the_same_each_time(docs):
+    names = [[r.name for r in quality.order_rules(d, quality.default_rules())] for d in (docs, docs.repartition(5), docs)]
+    assert names[0] == names[1] == names[2] and names[0][0] == "few_words" and set(names[0]) == {r.name for r in quality.default_rules()}
+
+
 def test_rule_costs_are_timed(spark):
     """Of two rules that reject alike, the one that does more work comes second."""
     d = spark.range(500).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda i: (i * 7 + F.col("id")).cast("string"))).alias("text"))
