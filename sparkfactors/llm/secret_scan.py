@@ -49,10 +49,10 @@ def find_candidates(docs: DataFrame) -> DataFrame:
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
     rows = docs.select("doc_id", source.alias("source"), F.split(F.coalesce("text", F.lit("")), c.SPACE_RE).alias("w"))
     near = lambda i, j: F.coalesce(F.get("w", i + j), F.lit(""))
+    long = F.filter(F.transform("w", lambda x, i: F.when((F.length(x) >= 16) & x.rlike("[0-9]"), i)), lambda i: i.isNotNull())
     # A long word takes its neighbours with it, so that no later row holds the whole text.
-    placed = F.transform("w", lambda x, i: F.struct(x.alias("x"), i.alias("at"), near(i, -2).alias("b2"), near(i, -1).alias("b1"), near(i, 1).alias("a1")))
-    long = F.filter(placed, lambda s: (F.length(s["x"]) >= 16) & s["x"].rlike("[0-9]"))
-    found = rows.select("doc_id", "source", F.explode(long).alias("s"))
+    placed = F.transform(long, lambda i: F.struct(F.get("w", i).alias("x"), i.alias("at"), near(i, -2).alias("b2"), near(i, -1).alias("b1"), near(i, 1).alias("a1")))
+    found = rows.select("doc_id", "source", F.explode(placed).alias("s"))
     # The word is cut at its runs: a run's lead is the gap before it and what stands before the value in the run's match.
     all_of = lambda group: F.regexp_extract_all("s.x", F.lit(CANDIDATE), F.lit(group))
     cut = found.select("doc_id", "source", "s.at", "s.b2", "s.b1", "s.a1", F.arrays_zip(all_of(1).alias("value"), all_of(0).alias("whole"), F.split("s.x", CANDIDATE).alias("gap")).alias("runs"))
