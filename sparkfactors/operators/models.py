@@ -17,6 +17,10 @@ EPS = 1e-12
 BROADCAST_NUMBERS = 2_000_000
 
 
+#: So many numbers at most are observed by one job.
+MOST_OBSERVED = 1000
+
+
 class Factorisation(NamedTuple):
     h: DataFrame  # spot_id, h
     w: DataFrame  # gene_id, w
@@ -62,8 +66,8 @@ def fit_nmf_runs(
     Multiplicative updates, scores first and then loadings; edges count in both directions as a bag. lam is multiplied
     by the root mean square of all values, zeros included. A run stops when its objective changes by less than tol of
     itself. Matrices k x k go through the driver; everything else stays distributed, and no spots x genes residual is
-    made. low: start from numbers in (low, 1) unscaled. An iteration writes scores and loadings once each; the objective
-    is observed while the next scores are written.
+    made. low: start from numbers in (low, 1) unscaled. An iteration is two jobs, which write scores and loadings; the
+    objective and the Gram matrices are observed meanwhile, in the writing stages, whose tasks count once.
     """
     if k <= 0 or n_iter <= 0 or any(lam < 0 for _, lam, _ in runs):
         raise ValueError("k and n_iter must be positive and lam not negative")
@@ -124,6 +128,21 @@ def fit_nmf_runs(
         flat = spark.createDataFrame([(r, lam_eff[r], g.ravel().tolist()) for r, g in grams.items()], "run long, lam double, g array<double>")
         return rows.join(F.broadcast(flat), "run"), [sum((F.get("h", j) * F.get("g", j * k + i) for j in range(k)), F.lit(0e0)) for i in range(k)]
 
+    def written(rows: DataFrame, of: list[int]) -> tuple[DataFrame, dict[int, np.ndarray]]:
+        """rows (run, key, h) written, and the Gram matrix of each run of them, observed by the same job; with very many
+        runs the matrices are grouped by a job of their own."""
+        places = [(i, j) for i in range(k) for j in range(i, k)]
+        if len(of) * len(places) > MOST_OBSERVED:
+            out = cut(rows)
+            return out, linalg.grams_by(out, "run", "h", k)
+        seen = Observation()
+        out = cut(rows.observe(seen, *(F.sum(F.when(F.col("run") == r, F.get("h", i) * F.get("h", j))).alias(f"g{r}_{i}_{j}") for r in of for i, j in places)))
+        found, grams = seen.get, {r: np.zeros((k, k)) for r in of}
+        for r in of:
+            for i, j in places:
+                grams[r][i, j] = grams[r][j, i] = found[f"g{r}_{i}_{j}"] or 0.0
+        return out, grams
+
     h, w = cut(h), cut(w)
     hh, ww = linalg.grams_by(h, "run", "h", k), linalg.grams_by(w, "run", "h", k)
     going, traces, out = [r for r, _, _ in runs if r in hh], {r: [] for r, _, _ in runs}, {}
@@ -135,7 +154,7 @@ def fit_nmf_runs(
             seen = Observation()
             rows, down = times_gram(q.observe(seen, *sums), {r: ww[r] for r in going})
             new = [F.get("h", i) * (F.get("x", i) + F.col("lam") * F.get("a", i)) / (down[i] + F.col("lam") * F.col("d") * F.get("h", i) + eps) for i in range(k)]
-            ahead, found = cut(rows.select("run", "spot_id", F.array(*new).alias("h"))), seen.get
+            (ahead, grams), found = written(rows.select("run", "spot_id", F.array(*new).alias("h")), going), seen.get
         else:
             found = q.agg(*sums).first().asDict()
         for r in list(going):
@@ -147,11 +166,9 @@ def fit_nmf_runs(
         if not going:
             break
         left = F.col("run").isin(going)
-        h, w = ahead.where(left), w.where(left)
-        hh = linalg.grams_by(h, "run", "h", k)
+        h, w, hh = ahead.where(left), w.where(left), {r: grams[r] for r in going}
         rows, down = times_gram(summed("gene_id", "hx", (x.join(h, ["spot_id", *ex]), "x", F.col("value")), (w, "h", None)), hh)
-        w = cut(rows.select("run", "gene_id", F.array(*(F.get("h", i) * F.get("x", i) / (down[i] + eps) for i in range(k))).alias("h")))
-        ww = linalg.grams_by(w, "run", "h", k)
+        w, ww = written(rows.select("run", "gene_id", F.array(*(F.get("h", i) * F.get("x", i) / (down[i] + eps) for i in range(k))).alias("h")), going)
     return out
 
 
