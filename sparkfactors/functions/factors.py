@@ -114,8 +114,7 @@ def quantile_bins(scores: DataFrame, bins: int) -> DataFrame:
     inner = F.slice("e", F.lit(2), F.greatest(F.size("e") - 2, F.lit(0)))
     by_edge = F.size(F.filter(inner, lambda x: x <= F.col("v")))
     own = (F.array_position("first", F.col("v")) - 1).cast("int")
-    # A row per factor.
-    return scores.join(F.broadcast(e), "k").select("spot_id", "k", F.when(F.size("first") <= bins, own).otherwise(by_edge).alias("bin"))
+    return scores.join(e, "k").select("spot_id", "k", F.when(F.size("first") <= bins, own).otherwise(by_edge).alias("bin"))
 
 
 def domain_stats(labels: DataFrame) -> DataFrame:

@@ -98,6 +98,6 @@ def section_gate(scores: DataFrame, spots: DataFrame, first_private: int) -> Dat
     """Private factors (from first_private on) are 0 outside their section: number k of them belongs to the section of
     rank k modulo the number of sections."""
     rank = spots.select("section_id").distinct().select("section_id", (F.row_number().over(Window.orderBy("section_id")) - 1).alias("s"), F.count("*").over(Window.partitionBy(F.lit(0))).alias("n"))
-    where = spots.select("spot_id", "section_id").join(F.broadcast(rank), "section_id").select("spot_id", "s", "n")
+    where = spots.select("spot_id", "section_id").join(rank, "section_id").select("spot_id", "s", "n")
     own = F.pmod(F.col("k") - first_private, F.col("n")) == F.col("s")
     return scores.join(where, "spot_id").select("spot_id", "k", F.when((F.col("k") < first_private) | own, F.col("v")).otherwise(0e0).alias("v"))

@@ -148,8 +148,8 @@ def loso_transfer(
     sections = [r[0] for r in spots.select("section_id").distinct().orderBy("section_id").collect()]
     if len(sections) < 2:
         raise ValueError("at least two sections")
-    runs = spots.sparkSession.createDataFrame([(i, s) for i, s in enumerate(sections)], "run long, out long")
-    train = cut(spots.join(F.broadcast(runs), F.col("section_id") != F.col("out")).select("run", "spot_id"))
+    every = F.array(*(F.struct(F.lit(i).cast("long").alias("run"), F.lit(s).alias("out")) for i, s in enumerate(sections)))
+    train = cut(spots.select("spot_id", F.explode(F.filter(every, lambda x: x["out"] != F.col("section_id"))).alias("x")).select("x.run", "spot_id"))
     e = edges.join(train.withColumnRenamed("spot_id", "src"), "src").join(train.withColumnRenamed("spot_id", "dst"), ["run", "dst"])
     fits = models.fit_nmf_runs(expr.join(train, "spot_id"), e, train, n_genes, k, [(i, lam, seed) for i in range(len(sections))], n_iter=n_iter, tol=tol)
     found = None
