@@ -29,7 +29,7 @@ def local_session(cores: int = 8, partitions: int = 8, folder: str = "/tmp/check
         "spark.driver.memory": "8g",
         "spark.driver.host": "127.0.0.1",
         "spark.ui.showConsoleProgress": "false",
-        "spark.sql.warehouse.dir": f"{folder}/warehouse",
+        "spark.sql.warehouse.dir": f"{folder or '/tmp/checkpoints'}/warehouse",
     }.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
