@@ -62,11 +62,36 @@ def regression(points: DataFrame) -> DataFrame:
     return s.select(r.alias("r"), slope.alias("slope"), F.try_divide(F.col("sy") - slope * F.col("sx"), "n").alias("intercept"))
 
 
-def coassociation(runs: DataFrame, n_runs: int) -> DataFrame:
+def coassociation(runs: DataFrame, n_runs: int, digits: int | None = None, block: int = 8192) -> DataFrame:
     """i < j, share of runs (run, spot_id, label) that put both spots under one label; pairs that never meet are left
-    out. The work is the square of a label's size, as the matrix is."""
-    a, b = runs.select("run", "label", F.col("spot_id").alias("i")), runs.select("run", "label", F.col("spot_id").alias("j"))
-    return a.join(b, ["run", "label"]).where("i < j").groupBy("i", "j").agg((F.count("*") / F.lit(float(n_runs))).alias("share"))
+    out. The result is the square of a label's size, as the matrix is; no pair of spots is shuffled.
+
+    Spots with the same labels in all runs have the same shares, so they travel in packs, of which each has spots of one
+    of the blocks of about `block`. Two packs meet at every label they share and are unfolded at the first of them.
+    digits: shares are rounded to so many, once for two packs.
+    """
+    told = runs.where("run IS NOT NULL AND label IS NOT NULL AND spot_id IS NOT NULL").groupBy("spot_id", "run", "label").agg(F.count("*").alias("m"))
+    spots = told.groupBy("spot_id").agg(F.sort_array(F.collect_list(F.struct("run", "label", "m"))).alias("p"))
+    n = spots.count()
+    blocks = n // block + 1
+    salts, tasks = min(blocks, 16), min(1024, 8 + n // 512)
+    own = F.pmod(F.xxhash64("spot_id"), F.lit(blocks)).alias("block")
+    packs = spots.groupBy("p", own).agg(F.min("spot_id").alias("first"), F.collect_list("spot_id").alias("ids"))
+    left = packs.select(F.explode("p").alias("at"), F.pmod("block", F.lit(salts)).cast("int").alias("salt"), "first", "p", "ids").select("at.run", "at.label", "salt", "first", "p", "ids")
+    right = packs.select(F.explode("p").alias("at"), F.col("first").alias("first2"), F.col("p").alias("p2"), F.col("ids").alias("ids2"))
+    right = right.select("at.run", "at.label", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "first2", "p2", "ids2")
+    keys = ["run", "label", "salt"]
+    # A number of partitions that is given stays: by their bytes, the packs would be coalesced into few tasks.
+    met = left.repartition(tasks, *keys).join(right.repartition(tasks, *keys), keys).where("first <= first2")
+    alike = lambda x, y: (x["run"] == y["run"]) & (x["label"] == y["label"])
+    shared = F.filter("p", lambda x: F.exists("p2", lambda y: alike(x, y)))
+    met = met.where((shared[0]["run"] == F.col("run")) & (shared[0]["label"] == F.col("label")))
+    both = F.aggregate("p", F.lit(0).cast("long"), lambda s, x: s + F.aggregate("p2", F.lit(0).cast("long"), lambda t, y: t + F.when(alike(x, y), x["m"] * y["m"]).otherwise(0)))
+    share = both / F.lit(float(n_runs))
+    share = share if digits is None else F.round(share, digits)
+    met = met.select(share.alias("share"), (F.col("first") == F.col("first2")).alias("one"), F.explode("ids").alias("i"), "ids2")
+    met = met.select("share", "one", "i", F.explode("ids2").alias("j")).where("NOT one OR i < j")
+    return met.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "share")
 
 
 def survival(reference: DataFrame, runs: DataFrame, n_runs: int) -> DataFrame:

@@ -653,7 +653,7 @@ def _(spark, sf):
 @query("coassociation", f"WITH {RUNS}, w AS (SELECT * FROM runs WHERE method = 'wild') SELECT a.spot_id AS i, b.spot_id AS j, round(count(*) / 3e0, 6) AS share FROM w a JOIN w b ON a.seed = b.seed AND a.label = b.label AND a.spot_id < b.spot_id GROUP BY 1, 2")
 def _(spark, sf):
     r = ad.runs(spark, sf).where("method = 'wild'").select(F.col("seed").alias("run"), "spot_id", "label")
-    return r6(reports.coassociation(r, 3), "share")
+    return reports.coassociation(r, 3, digits=6)
 
 
 @query("survival", f"WITH {RUNS}, w AS (SELECT seed, spot_id, r.label AS g, e.label AS label FROM runs r JOIN embeddings e ON vec_id = spot_id WHERE method = 'wild') SELECT a.label::VARCHAR AS label, round(avg((a.g = b.g)::INT::DOUBLE), 6) AS survival FROM w a JOIN w b ON a.seed = b.seed AND a.label = b.label AND a.spot_id <> b.spot_id GROUP BY a.label")

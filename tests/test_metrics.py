@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sparkfactors.functions import concordance, factors, spatial
 from sparkfactors.operators import graph
 from sparkfactors.plans import gates, ledger, reports
+from sparkfactors.plans.measure import measured
 from sparkfactors.sources import readers, sinks
 
 
@@ -139,6 +140,24 @@ def test_silhouette_and_ch(spark):
     assert value(spatial.silhouette(p.where("label = '0'"))) is None and value(spatial.calinski_harabasz(p.where("label = '0'"))) is None
 
 
+def test_coassociation_shuffles_no_pairs(spark):
+    r = np.random.default_rng(5)
+    n, n_runs = 600, 3
+    labels = r.integers(0, 3, (n, n_runs))
+    rows = [(s, i, int(labels[i, s])) for i in range(n) for s in range(n_runs)] + [(0, None, 1), (1, n, None), (None, n, 0)]
+    runs = spark.createDataFrame(rows, "run long, spot_id long, label long")
+    with measured(spark) as u:
+        got = {(x["i"], x["j"]): x["share"] for x in reports.coassociation(runs, n_runs, block=50).collect()}
+    share = (labels[:, None] == labels[None]).mean(-1)
+    want = {(i, j): share[i, j] for i in range(n) for j in range(i + 1, n) if share[i, j]}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-12 for k, v in want.items())
+    # 16 bytes of ids for each of over 100,000 pairs would be more, copies of spots' packs are not.
+    assert u.shuffle_write_mb < 1
+    # A spot that a run tells twice counts twice, as in a join of the rows.
+    twice = spark.createDataFrame([(0, 1, 7), (0, 1, 7), (0, 2, 7), (0, 3, 8)], "run long, spot_id long, label long")
+    assert [tuple(x) for x in reports.coassociation(twice, 3, digits=6).collect()] == [(1, 2, 0.666667)]
+
+
 def test_matching():
     m = [(0, 0, 0.9), (0, 1, 0.8), (1, 0, 0.85), (1, 1, 0.1)]
     assert factors.matched_correlation(m) == pytest.approx((0.8 + 0.85) / 2)
