@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -92,49 +94,97 @@ def pair_distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0e0), lambda s, v: s + v))
 
 
-def _distance_sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """id, label, label2, d, n: of each left point the sum of distances to the right points of each label, and their
-    number, itself left out."""
-    a, b = np.stack(left["h"].to_list()), np.stack(right["h2"].to_list())
-    middle = b.mean(axis=0)
-    a, b = a - middle, b - middle
-    d = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * (a @ b.T)
-    same = left["id"].to_numpy()[:, None] == right["id2"].to_numpy()
-    d = np.sqrt(np.maximum(d, 0.0))
-    d[same] = 0.0
-    labels, code = np.unique(right["label2"].to_numpy(dtype=object), return_inverse=True)
-    of = (code[:, None] == np.arange(len(labels))).astype(float)
-    sums, counts = d @ of, (~same).astype(float) @ of
-    rows = np.repeat(np.arange(len(left)), len(labels))
-    out = left[["id", "label"]].iloc[rows].reset_index(drop=True)
-    return out.assign(label2=np.tile(labels, len(left)), d=sums.ravel(), n=counts.ravel())
+def _runs_of(codes: np.ndarray, start: int, stop: int) -> np.ndarray:
+    """Where runs of equal codes begin between start and stop, counted from start."""
+    return np.flatnonzero(np.r_[True, np.diff(codes[start:stop]) != 0])
 
 
-def silhouette(points: DataFrame, block: int = 1024) -> DataFrame:
-    """silhouette: mean of (b - a) / max(a, b) over points (id, label, h: array<double>); a spot alone in its label has
-    a = 0. Null for one label, or with as many labels as points.
+def _distance_sums(points: pd.DataFrame, names: Sequence[str], tile: int = 512) -> pd.DataFrame:
+    """id, t, own, label, d, n: for each point and labeling t the sum of distances to the other points of each label, and
+    their number; own: the label is the point's. points: two blocks x and y of points (x, y, b, id, h, names), or one
+    block with itself; of two blocks, each point meets those of the other.
 
-    Every distance counts, so the work is the square of the points by definition. Points are dealt to blocks of about
-    `block`; each pair of blocks is one product of matrices in a task, which gives sums by point and label.
+    Points are sorted by their labels in all labelings, so a tile of distances is summed by runs of its rows and columns.
     """
-    n = points.count()
-    k = points.select("label").distinct().count()
-    if k < 2 or k >= n:
-        return points.sparkSession.range(1).select(F.lit(None).cast("double").alias("silhouette"))
-    blocks = n // block + 1
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    rows = points.select(F.col("id").cast("long").alias("id"), F.col("label").cast("string").alias("label"), F.col("h").cast("array<double>").alias("h"), own.alias("b"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.select("id", "label", "h", F.col("b").alias("x"), every.alias("y"))
-    right = rows.select(F.col("id").alias("id2"), F.col("label").alias("label2"), F.col("h").alias("h2"), F.col("b").alias("y"), every.alias("x"))
-    sums = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(lambda a, b: _distance_sums(a, b) if len(a) and len(b) else _NO_SUMS, "id long, label string, label2 string, d double, n double")
-    d = sums.groupBy("id", "label", "label2").agg(F.try_divide(F.sum("d"), F.sum("n")).alias("d"))
-    ab = d.groupBy("id").agg(F.coalesce(F.max(F.when(F.col("label") == F.col("label2"), F.col("d"))), F.lit(0e0)).alias("a"), F.min(F.when(F.col("label") != F.col("label2"), F.col("d"))).alias("b"))
+    x, y = points["x"].iloc[0], points["y"].iloc[0]
+    coded = [pd.factorize(points[name]) for name in names]
+    kinds, kind = np.unique(np.stack([c for c, _ in coded], axis=1), axis=0, return_inverse=True)
+    kind = kind.reshape(-1)
+    h = np.stack(points["h"].to_list())
+    h, ids, at = h - h.mean(axis=0), points["id"].to_numpy(), points["b"].to_numpy()
+    length = (h * h).sum(axis=1)
+    left, right = (np.flatnonzero(at == k) for k in (x, y))
+    left, right = (i[np.argsort(kind[i], kind="stable")] for i in (left, right))
+    if not len(left) or not len(right):
+        return _NO_SUMS
+    of_left, of_right = kind[left], kind[right]
+    sums = {k: (np.zeros((len(i), len(kinds))), np.zeros((len(i), len(kinds)))) for k, i in ((x, left), (y, right))}
+    a = np.column_stack([-2 * h[left], length[left], np.ones(len(left))])
+    b = np.column_stack([h[right], np.ones(len(right)), length[right]]).T
+    for r in range(0, len(left), tile):
+        r2 = min(r + tile, len(left))
+        rows = _runs_of(of_left, r, r2)
+        for c in range(0, len(right), tile):
+            c2 = min(c + tile, len(right))
+            columns = _runs_of(of_right, c, c2)
+            d = a[r:r2] @ b[:, c:c2]
+            np.sqrt(np.maximum(d, 0.0, out=d), out=d)
+            if x == y:
+                other = ids[left[r:r2], None] != ids[right[c:c2]]
+                d *= other
+                sums[x][1][r:r2, of_right[c + columns]] += np.add.reduceat(other.astype(float), columns, axis=1)
+            else:
+                sums[y][0][c:c2, of_left[r + rows]] += np.add.reduceat(d, rows, axis=0).T
+            sums[x][0][r:r2, of_right[c + columns]] += np.add.reduceat(d, columns, axis=1)
+    if x != y:
+        for k, others in ((x, of_right), (y, of_left)):
+            sums[k][1][:] = np.bincount(others, minlength=len(kinds))
+    out = [_NO_SUMS]
+    for k, i in dict([(x, left), (y, right)]).items():
+        for t, (code, labels) in enumerate(coded):
+            of = (kinds[:, t][:, None] == np.arange(len(labels))).astype(float)
+            d, n = (m @ of for m in sums[k])
+            row, column = np.nonzero((n > 0) & (code[i] >= 0)[:, None])
+            out.append(pd.DataFrame({"id": ids[i[row]], "t": np.int32(t), "own": code[i[row]] == column, "label": np.asarray(labels, dtype=object)[column], "d": d[row, column], "n": n[row, column]}))
+    return pd.concat([o for o in out if len(o)] or out[:1], ignore_index=True)
+
+
+_NO_SUMS = pd.DataFrame({"id": pd.Series(dtype="int64"), "t": pd.Series(dtype="int32"), "own": pd.Series(dtype=bool), "label": pd.Series(dtype=object), "d": pd.Series(dtype=float), "n": pd.Series(dtype=float)})
+
+
+def silhouettes(points: DataFrame, names: Sequence[str], block: int = 1024) -> DataFrame:
+    """One row, a column for each labeling in names: the mean of (b - a) / max(a, b) over points (id, names, h:
+    array<double>) with a label; a point alone in its label has a = 0. Null for one label, or with as many labels as
+    points.
+
+    Every distance counts, so the work is the square of the points by definition; what is shuffled is not. Points are
+    dealt to blocks of about `block`, but to no more than 16, and each two blocks meet in a task that works tile by
+    tile, so 16 copies of a point are shuffled however many there are. Only blocks that would be too large for a task
+    (of over 65,536 points, less for many labels) are divided further. All labelings share one pass over the distances.
+    """
+    rows = points.select(F.col("id").cast("long").alias("id"), F.col("h").cast("array<double>").alias("h"), *(F.col(c).cast("string").alias(f"l{t}") for t, c in enumerate(names)))
+    codes = [f"l{t}" for t in range(len(names))]
+    size = rows.agg(F.count("*"), F.count_distinct(F.struct(*codes)), *(f(c) for c in codes for f in (F.count, F.count_distinct))).first()
+    n, kinds, each = size[0], size[1], [(size[2 + 2 * t], size[3 + 2 * t]) for t in range(len(names))]
+    defined = [2 <= k < m for m, k in each]
+    if not any(defined):
+        return points.sparkSession.range(1).select(*(F.lit(None).cast("double").alias(c) for c in names))
+    # Sums by point and kind of a block hold 2^22 numbers at most, or those of 2,048 points.
+    blocks = max(min(n // block + 1, 16), n // min(65_536, max(2_048, 2**22 // kinds)) + 1)
+    own, k = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = rows.withColumn("b", own).withColumn("k", k).select(F.least("b", "k").alias("x"), F.greatest("b", "k").alias("y"), "b", "id", "h", *codes)
+    # A number of partitions that is given stays: by their bytes, the blocks would be coalesced into few tasks.
+    dealt = dealt.repartition(min(1024, blocks * (blocks + 1) // 2), "x", "y")
+    sums = dealt.groupBy("x", "y").applyInPandas(lambda p: _distance_sums(p, codes), "id long, t int, own boolean, label string, d double, n double")
+    d = sums.repartition("id").groupBy("id", "t", "own", "label").agg((F.sum("d") / F.sum("n")).alias("d"))
+    ab = d.groupBy("id", "t").agg(F.coalesce(F.max(F.when(F.col("own"), F.col("d"))), F.lit(0e0)).alias("a"), F.min(F.when(~F.col("own"), F.col("d"))).alias("b"))
     s = F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0e0))
-    return ab.agg(F.avg(s).alias("silhouette"))
+    return ab.agg(*(F.avg(F.when((F.col("t") == t) & F.lit(defined[t]), s)).alias(c) for t, c in enumerate(names)))
 
 
-_NO_SUMS = pd.DataFrame({"id": pd.Series(dtype="int64"), "label": pd.Series(dtype=object), "label2": pd.Series(dtype=object), "d": pd.Series(dtype=float), "n": pd.Series(dtype=float)})
+def silhouette(points: DataFrame, block: int = 1024) -> DataFrame:
+    """silhouette: that of the one labeling `label`."""
+    return silhouettes(points, ("label",), block).withColumnRenamed("label", "silhouette")
 
 
 def calinski_harabasz(points: DataFrame) -> DataFrame:

@@ -140,6 +140,53 @@ def test_silhouette_and_ch(spark):
     assert value(spatial.silhouette(p.where("label = '0'"))) is None and value(spatial.calinski_harabasz(p.where("label = '0'"))) is None
 
 
+def test_silhouette_shuffles_as_the_points_grow(spark):
+    r = np.random.default_rng(6)
+
+    def cost(n):
+        p = spark.createDataFrame([(i, str(i % 3), x.tolist()) for i, x in enumerate(r.random((n, 8)))], "id long, label string, h array<double>")
+        with measured(spark) as u:
+            spatial.silhouette(p, block=50).collect()
+        return u.shuffle_write_mb + u.spill_mb
+
+    assert cost(4800) < 6 * cost(1200)
+
+
+def test_silhouette_is_the_same_over_any_blocks_and_partitions(spark):
+    r = np.random.default_rng(8)
+    p = spark.createDataFrame([(i, str(i % 3), x.tolist()) for i, x in enumerate(r.random((1300, 3)))], "id long, label string, h array<double>")
+    whole = value(spatial.silhouette(p, block=5000))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert value(spatial.silhouette(p, block=100)) == pytest.approx(whole) and value(spatial.silhouette(p)) == pytest.approx(whole)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_silhouettes_of_several_labelings(spark):
+    r = np.random.default_rng(7)
+    n = 60
+    h, one, two = r.random((n, 4)), [str(x) for x in r.integers(0, 4, n)], [str(x) for x in r.integers(0, 3, n)]
+    h[10:14] = h[9]
+    one[0], two[1], two[2] = "alone", None, None
+    rows = [(i, a, b, "all", str(i), x.tolist()) for i, (a, b, x) in enumerate(zip(one, two, h, strict=True))]
+    p = spark.createDataFrame(rows, "id long, one string, two string, same string, each string, h array<double>")
+    d = np.sqrt(((h[:, None] - h[None]) ** 2).sum(-1))
+
+    def plain(labels):
+        labels = np.array(labels, dtype=object)
+        has, s = np.array([x is not None for x in labels]), []
+        for i in np.flatnonzero(has):
+            mine = d[i][(labels == labels[i]) & (np.arange(n) != i)]
+            a, b = mine.mean() if len(mine) else 0.0, min(d[i][labels == k].mean() for k in set(labels[has]) - {labels[i]})
+            s.append((b - a) / max(a, b))
+        return np.mean(s)
+
+    for block in (7, 1024):
+        got = spatial.silhouettes(p, ("one", "two", "same", "each"), block).first()
+        assert got["one"] == pytest.approx(plain(one)) and got["two"] == pytest.approx(plain(two)) and got["same"] is None and got["each"] is None
+
+
 def test_coassociation_shuffles_no_pairs(spark):
     r = np.random.default_rng(5)
     n, n_runs = 600, 3
