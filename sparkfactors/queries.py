@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .checkpoints import cut
 from .functions import concordance, factors, spatial
 from .operators import graph, models, prep
 from .operators.kmeans import kmeans
@@ -749,6 +750,7 @@ def _(spark, sf):
 def _(spark, sf):
     p = ad.embedding_points(spark, sf)
     before, after = p, p.withColumn("h", F.slice("h", 1, 8))
-    sec = lambda df: df.withColumn("label", F.pmod("id", F.lit(4)).cast("string"))
-    s = spatial.silhouette
-    return r6(reports.integration_scorecard(s(sec(before)), s(sec(after)), s(before), s(after)), "mixing", "mixing_gain", "conservation", "conservation_gain", "overall")
+    labelled = lambda df: df.select("id", "h", F.pmod("id", F.lit(4)).alias("section"), F.col("label").alias("domain"))
+    b, a = (cut(spatial.silhouettes(labelled(df), ("section", "domain"))) for df in (before, after))
+    scores = reports.integration_scorecard(b.select("section"), a.select("section"), b.select("domain"), a.select("domain"))
+    return r6(scores, "mixing", "mixing_gain", "conservation", "conservation_gain", "overall")
