@@ -158,8 +158,8 @@ def silhouettes(points: DataFrame, names: Sequence[str], block: int = 1024) -> D
     points.
 
     Every distance counts, so the work is the square of the points by definition; what is shuffled is not. Points are
-    dealt to blocks of about `block`, but to no more than 16, and each two blocks meet in a task that works tile by
-    tile, so 16 copies of a point are shuffled however many there are. Only blocks that would be too large for a task
+    dealt to blocks of about `block`, but to no more than 10, and each two blocks meet in a task that works tile by
+    tile, so 10 copies of a point are shuffled however many there are. Only blocks that would be too large for a task
     (of over 65,536 points, less for many labels) are divided further. All labelings share one pass over the distances.
     """
     rows = points.select(F.col("id").cast("long").alias("id"), F.col("h").cast("array<double>").alias("h"), *(F.col(c).cast("string").alias(f"l{t}") for t, c in enumerate(names)))
@@ -170,7 +170,7 @@ def silhouettes(points: DataFrame, names: Sequence[str], block: int = 1024) -> D
     if not any(defined):
         return points.sparkSession.range(1).select(*(F.lit(None).cast("double").alias(c) for c in names))
     # Sums by point and kind of a block hold 2^22 numbers at most, or those of 2,048 points.
-    blocks = max(min(n // block + 1, 16), n // min(65_536, max(2_048, 2**22 // kinds)) + 1)
+    blocks = max(min(n // block + 1, 10), n // min(65_536, max(2_048, 2**22 // kinds)) + 1)
     own, k = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     dealt = rows.withColumn("b", own).withColumn("k", k).select(F.least("b", "k").alias("x"), F.greatest("b", "k").alias("y"), "b", "id", "h", *codes)
     # A number of partitions that is given stays: by their bytes, the blocks would be coalesced into few tasks.

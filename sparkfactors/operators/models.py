@@ -210,7 +210,8 @@ def spatial_smooth_domains(expr: DataFrame, edges: DataFrame, spots: DataFrame,
     if components <= 0:
         raise ValueError("components must be positive")
     v = graph.smooth(edges, expr.select("spot_id", "gene_id", F.col("value").cast("double").alias("v")), "gene_id", alpha, hops)
-    embedding, _ = linalg.pca(dense_rows(v, spots, n_genes), components)
+    # The components need several passes over the rows, which are smoothed and gathered once.
+    embedding, _ = linalg.pca(cut(dense_rows(v, spots, n_genes)), components)
     return _domains(kmeans(embedding, n_domains, seed=seed).labels), embedding
 
 

@@ -246,7 +246,8 @@ def reference_ambiguity(expr: DataFrame, truth: DataFrame, n_genes: int, compone
     if named.count() < 2:
         return none
     values = expr.join(named.select("spot_id"), "spot_id", "left_semi").select("spot_id", "gene_id", F.col("value").cast("double").alias("v"))
-    embedding, _ = linalg.pca(models.dense_rows(values, named, n_genes), components)
+    # The components need several passes over the rows, which are gathered by a shuffle once.
+    embedding, _ = linalg.pca(cut(models.dense_rows(values, named, n_genes)), components)
     points = embedding.join(named.withColumnRenamed("spot_id", "id"), "id")
     return spatial.silhouette(points).select((-F.col("silhouette")).alias("ambiguity"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkfactors.checkpoints import cut
 from sparkfactors.operators import contraction, graph, linalg, models
-from sparkfactors.plans import experiments, gates, ledger, runner
+from sparkfactors.plans import experiments, gates, ledger, measure, runner
 from sparkfactors.sources import readers, synthetic
 
 SMALL = experiments.Config(n_spots_per_section=30, n_genes=16, n_iter=2)
@@ -114,6 +114,27 @@ def test_ambiguity_planes_and_contrast(data, spark):
     assert c["gap"] == pytest.approx(1 - c["correlation"])
 
 
+def test_ambiguity_of_all_pairs_with_rows_gathered_once(spark):
+    """More spots than one block of the silhouette holds, against plain numpy; the values are shuffled once."""
+    r = np.random.default_rng(4)
+    n, genes, components = 1100, 150, 3
+    x, label = r.random((n, genes)) * np.r_[5.0, 4.0, 3.0, np.ones(genes - 3)], r.integers(0, 3, n)
+    expr = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "spot_id long, h array<double>")
+    expr = cut(expr.select("spot_id", F.posexplode("h").alias("g", "value")).select("spot_id", F.col("g").cast("long").alias("gene_id"), "value"))
+    truth = spark.createDataFrame([(i, str(k)) for i, k in enumerate(label)], "spot_id long, gt string")
+    with measure.measured(spark) as once:
+        models.dense_rows(expr.withColumnRenamed("value", "v"), truth, genes).write.format("noop").mode("overwrite").save()
+    with measure.measured(spark) as u:
+        got = experiments.reference_ambiguity(expr, truth, genes, components).first()[0]
+    c = x - x.mean(0)
+    h = c @ np.linalg.svd(c.T @ c)[0][:, :components]
+    d, same = np.sqrt(((h[:, None] - h[None]) ** 2).sum(-1)), np.eye(3)[label]
+    mean = d @ same / (same.sum(0) - same)
+    a, b = mean[same > 0], np.where(same > 0, np.inf, mean).min(1)
+    assert got == pytest.approx(-np.mean((b - a) / np.maximum(a, b)))
+    assert u.shuffle_write_mb + u.spill_mb < 2 * once.shuffle_write_mb
+
+
 def test_components_of_a_long_path(spark):
     """A path needs few rounds, whatever its length."""
     edges = spark.range(3000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))

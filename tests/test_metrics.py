@@ -152,6 +152,18 @@ def test_silhouette_shuffles_as_the_points_grow(spark):
     assert cost(4800) < 6 * cost(1200)
 
 
+def test_silhouette_shuffles_in_proportion_from_ten_blocks_on(spark):
+    r = np.random.default_rng(9)
+
+    def cost(n):
+        p = spark.createDataFrame([(i, str(i % 8), x.tolist()) for i, x in enumerate(r.random((n, 8)))], "id long, label string, h array<double>")
+        with measured(spark) as u:
+            spatial.silhouette(p, block=100).collect()
+        return u.shuffle_write_mb + u.spill_mb
+
+    assert cost(4000) < 4.2 * cost(1000)
+
+
 def test_silhouette_is_the_same_over_any_blocks_and_partitions(spark):
     r = np.random.default_rng(8)
     p = spark.createDataFrame([(i, str(i % 3), x.tolist()) for i, x in enumerate(r.random((1300, 3)))], "id long, label string, h array<double>")
